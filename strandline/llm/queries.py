@@ -15,15 +15,48 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.chat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.token_files import token_files
 
     return token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.quality_rules import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.mixing import mixing_plan
+
+    return mixing_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.media import media_column, media_digest
+
+    return media_digest(media_column(read_table(spark, sf_dir, "documents")))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.sharding import shard
+
+    return shard(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files}
+    found = (op1_chat_formatting, op2_token_files, op4_quality_rules, op6_mixing, op8_media_columns, op10_sharding)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandline.llm import chat, mixing
+
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
