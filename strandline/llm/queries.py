@@ -39,12 +39,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.quality_model import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.media import media_column, media_digest
 
     return media_digest(media_column(read_table(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.simhash import simhash_components
+
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.sharding import shard
 
@@ -52,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_token_files, op4_quality_rules, op6_mixing, op8_media_columns, op10_sharding)
+    found = (op1_chat_formatting, op2_token_files, op4_quality_rules, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
     return {f.__name__: f for f in found}
 
 
