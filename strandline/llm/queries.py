@@ -27,6 +27,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.unigram import encoding_digest, load_unigram
+
+    return encoding_digest(read_table(spark, sf_dir, "documents"), load_unigram(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.quality_rules import quality_rules
 
@@ -64,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_token_files, op4_quality_rules, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
+    found = (op1_chat_formatting, op2_token_files, op3_sentencepiece, op4_quality_rules, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
     return {f.__name__: f for f in found}
 
 
