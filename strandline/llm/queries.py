@@ -39,6 +39,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.substring import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.mixing import mixing_plan
 
@@ -70,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_token_files, op3_sentencepiece, op4_quality_rules, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
+    found = (op1_chat_formatting, op2_token_files, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
     return {f.__name__: f for f in found}
 
 
