@@ -98,7 +98,7 @@ def odd_word_length(d: Doc) -> bool:
 
 
 def repeated_lines(d: Doc) -> bool:
-    return d.n_dup_lines > 0.3 * d.n_lines
+    return d.n_dup_lines >= 3 and d.n_dup_lines > 0.3 * d.n_lines
 
 
 def few_lettered_words(d: Doc) -> bool:
