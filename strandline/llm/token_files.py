@@ -14,49 +14,93 @@ of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import arrow_map, doc_bytes, scratch_path
-from strandline.llm.word_cache import WordCache
+from strandline.llm.word_cache import ColumnarWordCache
 
 FILE_SCHEMA = "seq long, doc_id long, n_tokens long, ids array<int>"
-_encoders: dict[str, WordCache] = {}
+_encoders: dict[str, ColumnarWordCache] = {}
 
+#: Cuts lower-case words of Latin-1 characters, with spaces between, where the vocabulary's own pattern cuts them.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]| |[^ a-z0-9²³¹¼½¾ªµºß-öø-ÿ]+")
+#: Words with other characters, or with control characters and odd spaces, go to the library whole.
+PLAIN = "^[!-~¡-ÿ]+$"
+WORD_END = "</w>"
+BLOCK = 8192
 
-def _encoder(path: str) -> WordCache:
-    """One tokenizer and cache a worker process.
+
+class _Encoder:
+    """Encodes distinct words with the tokenizers library.
 
     The vocabulary's rules never look across white space: it is dropped, and no match of the
-    splitting pattern holds any. So a text's ids are its words' ids in order.
+    splitting pattern holds any. So a text's ids are its words' ids in order. Thousands of plain words go
+    to the library as one text; each of their pieces ends with a token that carries the end-of-word
+    mark, so counting pieces tells where a word's ids end.
     """
-    if path not in _encoders:
-        import os
-
-        from tokenizers import Tokenizer
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def encode_words(words: list[bytes]):
-            for i in range(0, len(words), 4096):
-                block = [w.decode("utf-8", "replace") for w in words[i : i + 4096]]
-                for e in tokenizer.encode_batch_fast(block, add_special_tokens=False):
-                    yield np.array(e.ids, dtype="<u4").tobytes()
+        from tokenizers import Tokenizer
 
-        _encoders[path] = WordCache(encode_words)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
+
+    def encode_whole(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and how many each has."""
+        pieces = PIECES.findall(" ".join(words).lower())
+        (e,) = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(e.ids, dtype=np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        gaps = np.flatnonzero(np.fromiter(map(" ".__eq__, pieces), dtype=bool, count=len(pieces)))
+        last = np.append(gaps - np.arange(len(gaps)), len(pieces) - len(gaps)) - 1  # each word's last piece
+        if len(ends) == len(pieces) - len(gaps) and len(last) == len(words):
+            return ids, np.diff(ends[last], prepend=0)
+        whole = self.encode_whole(words)
+        return np.concatenate(whole), np.array([len(w) for w in whole])
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, PLAIN)
+        easy, odd = words.filter(plain).to_pylist(), self.encode_whole(words.filter(pc.invert(plain)).to_pylist())
+        blocks = [self.encode_block(easy[i : i + BLOCK]) for i in range(0, len(easy), BLOCK)]
+        none = np.zeros(0, dtype=np.int32)
+        flat = np.concatenate([none, *(b[0] for b in blocks), *odd])
+        mask = plain.to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[mask] = np.concatenate([none, *(b[1] for b in blocks)])
+        lengths[~mask] = [len(x) for x in odd]
+        starts = np.zeros(len(words), dtype=np.int64)
+        order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return flat, starts, lengths
+
+
+def _encoder(path: str) -> ColumnarWordCache:
+    """One tokenizer and cache a worker process."""
+    if path not in _encoders:
+        _encoders[path] = ColumnarWordCache(_Encoder(path).encode_words)
     return _encoders[path]
 
 
-def _id_lists(blobs: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(blobs) + 1, dtype=np.int64)
-    np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
+def _with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> pa.ListArray:
+    """Lists of ids with the end id behind each."""
+    ends = np.cumsum(counts + 1)
+    ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype=np.int32)
+    ids[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -70,26 +114,20 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "body")
     )
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def factory():
         count = 0
 
         def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal count
-            words = [body.split() for body in batch.column("body").to_pylist()]
-            blobs = [blob + end for blob in _encoder(tokenizer_path).encode(words)]
-            seq = np.arange(count, count + len(blobs), dtype=np.int64)
-            count += len(blobs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(seq), batch.column("doc_id"), pa.array([len(b) // 4 for b in blobs], type=pa.int64()), _id_lists(blobs)],
-                names=["seq", "doc_id", "n_tokens", "ids"],
-            )
+            flat, counts = _encoder(tokenizer_path).encode(batch.column("body"))
+            seq = np.arange(count, count + len(counts), dtype=np.int64)
+            count += len(counts)
+            return pa.RecordBatch.from_arrays([pa.array(seq), batch.column("doc_id"), pa.array(counts + 1), _with_end(flat, counts, end_id)], names=["seq", "doc_id", "n_tokens", "ids"])
 
         return encode
 
     # factory() is called on the driver; each task unpickles a function with its own count of 0
-    return arrow_map(ordered.select("doc_id", "body"), factory(), FILE_SCHEMA)
+    return arrow_map(ordered.select("doc_id", "body"), factory(), FILE_SCHEMA, rows=4000, size=8 << 20)
 
 
 def write_token_files(
@@ -125,7 +163,7 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     start is a two-level prefix sum: within each file over its own rows, then over the files,
     whose number is bounded by the write's partitions.
     """
-    rows = read_token_files(spark, path).withColumn("file_no", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
+    rows = lengths = read_token_files(spark, path).withColumn("file_no", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("ids")
@@ -139,7 +177,7 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
         )
 
     rows = arrow_map(rows.select("file_no", "seq", "doc_id", "ids"), digest, "file_no long, seq long, doc_id long, n_tokens long, ids_crc32 long")
-    files = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("in_file"))
+    files = lengths.groupBy("file_no").agg(F.sum("n_tokens").alias("in_file"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file_no", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("file_start"))
     earlier = Window.partitionBy("file_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
