@@ -1,13 +1,14 @@
 """Operator 10: sharding by vector bin packing, under the law `bytes` (sizes near equal).
 
 What is packed are units: equal texts (a group) hash to one of ``UNITS`` units, so a group stays
-together; a group above a shard's fair share in bytes, tokens or rows can't, and is cut by a hash of
-its doc_ids into pieces that are units of their own. At most 16 groups can be above the share
-of each measure, so the driver sees a bounded table of units, whatever the corpus. Units are placed
+together. A large group is a unit of its own; one above a shard's fair share in bytes, tokens or rows
+can't stay together, and is cut by a hash of its doc_ids into pieces that are units of their own. Few
+groups can be above a given share, so the driver sees a bounded table of units, whatever the corpus. Units are placed
 in order of size, each into the shard where the dot product of its (bytes, tokens, rows) with the
 shard's residual capacity is highest among those with room for its bytes.
 
-Slots are counted on two levels: inside a unit by a window, over a shard's units on the driver.
+Slots are counted on two levels: by a window inside parts of units (a large group is dealt over many
+parts), over a shard's parts on the driver.
 
 Defined results: a null text counts as empty (size 1, crc32 of no bytes); a null doc_id is carried;
 repeated rows each get a slot; an empty table gives no rows; further columns are not read. A single document
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import stored, word_count
 
 UNITS = 8192
-#: A cut group's pieces hold about this share of a shard.
+#: A piece of a cut group holds about this share of a shard; so do the parts that slots are counted in.
 PIECE = 0.05
 #: What bytes, tokens and rows weigh in the product; bytes lead, as theirs is the law.
 LEAD = np.array([4.0, 1.0, 1.0])
@@ -63,22 +64,29 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     measures = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
     total = rows.agg(*measures).first()
     fair = {m: max(1.0, (total[m] or 0) / shards) for m in ("size", "tokens", "n")}
-    groups = rows.groupBy("content").agg(*measures).where("n > 1")
-    large = groups.where(" or ".join(f"{m} > {fair[m]!r}D" for m in fair)).collect()  # at most 3 x shards rows
-    pieces = F.create_map(*[F.lit(v) for r in large for v in (r["content"], int(np.ceil(max(r[m] / fair[m] for m in fair) / PIECE)))]) if large else None
-    unit = F.pmod("content", F.lit(UNITS))
-    if pieces is not None:
-        n = pieces[F.col("content")]
-        unit = F.when(n.isNull(), unit).otherwise(UNITS + F.pmod(F.xxhash64("content", "doc_id"), n) + F.pmod("content", F.lit(1 << 40)) * 1000)
-    rows = rows.withColumn("unit", unit)
-    units = rows.groupBy("unit").agg(*measures).orderBy("unit").toPandas()  # bounded by UNITS and the pieces
-    placed = pack(units[["size", "tokens", "n"]].to_numpy(dtype=np.float64), shards)
-    units["shard"] = placed.astype(np.int32)
-    units["before"] = units.groupby("shard")["n"].cumsum() - units["n"]
-    table = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in units[["unit", "shard", "before"]].itertuples(index=False)], "unit long, shard int, before long")
-    slot = F.row_number().over(Window.partitionBy("unit").orderBy("content", F.col("doc_id").asc_nulls_first()))
+    # groups above a piece's share of a shard in some measure: at most 3 x shards / PIECE
+    groups = rows.groupBy("content").agg(*measures).where("n > 1").where(" or ".join(f"{m} > {PIECE * fair[m]!r}D" for m in fair)).collect()
+    large = []
+    for number, r in enumerate(sorted(groups, key=lambda r: r["content"])):
+        most = max(r[m] / fair[m] for m in fair)
+        large.append((r["content"], UNITS + (number << 20), int(np.ceil(most / PIECE)) if most > 1 else 1, int(np.ceil(r["n"] / (PIECE * fair["n"])))))
+    large = spark.createDataFrame(large, "content long, first_unit long, pieces int, parts int")
+    deal = F.xxhash64("content", "doc_id")
+    rows = (
+        rows.join(F.broadcast(large), "content", "left")
+        .withColumn("unit", F.coalesce(F.col("first_unit") + F.pmod(deal, F.col("pieces")), F.pmod("content", F.lit(UNITS))))
+        .withColumn("part", F.coalesce(F.pmod(F.shiftright(deal, 20), F.col("parts")), F.lit(0)))
+        .drop("first_unit", "pieces", "parts")
+    )
+    parts = rows.groupBy("unit", "part").agg(*measures).orderBy("unit", "part").toPandas()  # bounded by UNITS and the large groups' parts
+    units = parts.groupby("unit", as_index=False)[["size", "tokens", "n"]].sum()
+    units["shard"] = pack(units[["size", "tokens", "n"]].to_numpy(dtype=np.float64), shards).astype(np.int32)
+    parts = parts.merge(units[["unit", "shard"]], on="unit")
+    parts["before"] = parts.groupby("shard")["n"].cumsum() - parts["n"]
+    table = spark.createDataFrame([tuple(map(int, r)) for r in parts[["unit", "part", "shard", "before"]].itertuples(index=False)], "unit long, part long, shard int, before long")
+    slot = F.row_number().over(Window.partitionBy("unit", "part").orderBy("content", F.col("doc_id").asc_nulls_first()))
     return (
         rows.withColumn("in_unit", slot)
-        .join(F.broadcast(table), "unit")
+        .join(F.broadcast(table), ["unit", "part"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("in_unit") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
     )
