@@ -5,7 +5,8 @@ the excess is shared again by weight (the level at which this settles comes from
 over the sources). A document's expected copies are its source's target over its size. Within
 a source documents stand in order of size and then of a hash of their id; the prefix sums of
 expected copies start at one pseudo-random offset, and a document is emitted once for each integer
-that its step crosses. Standing by size makes the sample take a like share of every size.
+that its step crosses. Standing by size makes the sample take a like share of every size; of sixteen
+equally spaced offsets from one random number a source uses the one that brings it nearest to its target.
 
 All expected copies of a source are equal, so a prefix sum is a rank times that number. Ranks are
 counted on two levels: within blocks of (source, class of size, first byte of the hash), and over the
@@ -66,11 +67,20 @@ def _with_copies(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int, se
     same = sizes["source"].eqNullSafe(blocks["b_source"]) & (sizes["size_class"] == blocks["b_class"]) & (sizes["deal"] == blocks["b_deal"])
     ranked = sizes.withColumn("in_block", in_block).join(blocks, same)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _unit(F.concat(F.lit(seed), F.lit(":"), nil))
+    first = _unit(F.concat(F.lit(seed), F.lit(":"), nil))
     rank = (F.col("before") + F.col("in_block")).cast("double")
-    copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
+
+    def copies(offset: Column) -> Column:
+        return F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
+
+    # sixteen equally spaced offsets from one random number: the one that comes nearest to the target
+    offset = lambda j: (first + j / 16.0) % 1.0
+    tries = ranked.groupBy("b_source").agg(*[F.sum(F.col("size") * copies(offset(j))).alias(f"s{j}") for j in range(16)], F.first("target").alias("t"))
+    tries = tries.select(F.col("b_source").alias("o_source"), F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("t")), F.lit(j).alias("j")) for j in range(16)]))["j"].alias("j"))
+    ranked = ranked.join(tries, F.col("b_source").eqNullSafe(F.col("o_source")))
+    copies = copies(offset(F.col("j")))
     ranked = ranked.withColumn("copies", F.least(copies, F.lit(max_epochs)).cast("long"))
-    return ranked.withColumn("taken", F.col("size") * F.col("copies")).drop("b_source", "b_class", "b_deal", "before", "in_block", "size_class", "deal", "h")
+    return ranked.withColumn("taken", F.col("size") * F.col("copies")).drop("o_source", "j", "b_source", "b_class", "b_deal", "before", "in_block", "size_class", "deal", "h")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
@@ -103,6 +113,11 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
              CAST(('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u,
              CAST(row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(d.size)), substr(d.h, 1, 2), d.size, d.h, d.doc_id) AS DOUBLE) AS k
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) AS BIGINT) AS taken FROM r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT r.*, j, (u + j / 16.0::DOUBLE) % 1.0::DOUBLE AS o FROM r, range(16) AS c(j)),
+y AS (SELECT *, CAST(floor(k * rate + o) - floor((k - 1) * rate + o) AS BIGINT) AS copies FROM x),
+b AS (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS miss FROM y GROUP BY source, j),
+z AS (SELECT source, j FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, j) = 1)
+SELECT y.doc_id, y.size, y.source_size, y.target, CAST(y.size * least(y.copies, 3) AS BIGINT) AS taken
+FROM y JOIN z ON y.source IS NOT DISTINCT FROM z.source AND y.j = z.j
 """
