@@ -36,6 +36,10 @@ def _turn_hash(x: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), x["turn"].isNull(), nil(x["turn"]), x["role"].isNull(), nil(x["role"]), x["text"].isNull(), nil(x["text"]))
 
 
+def _hashing(seed: int):
+    return lambda x: _turn_hash(x, seed)
+
+
 def conversation_parts(turns: DataFrame, part_turns: int) -> DataFrame:
     """conv_id, part and the part's distinct turns in order."""
     return (
@@ -47,7 +51,7 @@ def conversation_parts(turns: DataFrame, part_turns: int) -> DataFrame:
 
 def maximal_conversations(parts: DataFrame) -> DataFrame:
     """conv_id and n_copies of conversations that are nobody's proper prefix, one of each content."""
-    hashed = parts.select("conv_id", "part", *[F.transform("turns", lambda x, s=s: _turn_hash(x, s)).alias(f"h{s}") for s in (1, 2)])
+    hashed = parts.select("conv_id", "part", *[F.transform("turns", _hashing(s)).alias(f"h{s}") for s in (1, 2)])
     hashed = hashed.select(
         "conv_id",
         "part",
