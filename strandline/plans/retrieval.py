@@ -139,7 +139,7 @@ def position_changes(spark, sf):
     return best.select(F.abs(a - b).alias("move")).agg(F.round(F.avg("move"), 6).alias("mean_move"))
 
 
-@query("F6 J49 N4 H7", f"WITH {MEM_SQL}, {VEC_SQL}, r AS (SELECT project_name, id, similarity, row_number() OVER (PARTITION BY project_name ORDER BY similarity DESC, id) AS place FROM vec JOIN mem USING (id)) SELECT project_name, id, round(similarity, 6) AS similarity FROM r WHERE place <= 3 ORDER BY r.similarity DESC, id LIMIT 20")
+@query("F6 N4 H7", f"WITH {MEM_SQL}, {VEC_SQL}, r AS (SELECT project_name, id, similarity, row_number() OVER (PARTITION BY project_name ORDER BY similarity DESC, id) AS place FROM vec JOIN mem USING (id)) SELECT project_name, id, round(similarity, 6) AS similarity FROM r WHERE place <= 3 ORDER BY r.similarity DESC, id LIMIT 20")
 def per_project_topk(spark, sf):
     rows = _similar(spark, sf).join(memories(spark, sf).select("id", "project_name"), "id")
     place = F.row_number().over(Window.partitionBy("project_name").orderBy(F.col("similarity").desc(), "id"))
