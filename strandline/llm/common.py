@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.session import scratch_path, scratch_root, stored
 
-__all__ = ["WORD", "arrow_map", "doc_bytes", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
+__all__ = ["WORD", "arrow_map", "doc_bytes", "fresh", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split()
 #: without arguments cuts UTF-8 at exactly these, and no other UTF-8 byte takes their values.
@@ -35,12 +36,20 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_bytes(docs: DataFrame, *extra: Column) -> DataFrame:
     """doc_id and the text's bytes; whatever else docs holds is pruned from the scan."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *extra)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow over bounded batches; fn turns one batch into another (None: nothing).
 
     The bounds are session settings; those of the last call before an action hold for it.

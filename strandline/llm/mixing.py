@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored, word_count
+from strandline.llm.common import fresh, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -90,16 +90,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     a fixed order of their text.
     """
     names = docs.columns
-    key = ["_mix_id", "_mix_source", "_mix_size", "_mix_nth"]
-    twins = Window.partitionBy("_mix_id", "_mix_source", "_mix_size").orderBy(F.xxhash64("text"), F.col("text"))
-    keyed = docs.withColumns({"_mix_id": F.col("doc_id").cast("long"), "_mix_source": F.col("source").cast("string"), "_mix_size": word_count()})
+    id_, source, size, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("id", "source", "size", "nth", "copies", "copy"))
+    twins = Window.partitionBy(id_, source, size).orderBy(F.xxhash64("text"), F.col("text"))
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), source: F.col("source").cast("string"), size: word_count()})
+    keyed = keyed.withColumn(nth, F.row_number().over(twins)).alias("k")
     plan = mixing_plan(docs, weights, max_epochs, seed)
-    nth = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
-    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", F.row_number().over(nth).alias("p_nth"))
-    keyed = keyed.withColumn("_mix_nth", F.row_number().over(twins))
-    on = keyed["_mix_id"].eqNullSafe(plan["p_id"]) & keyed["_mix_source"].eqNullSafe(plan["p_source"]) & (keyed["_mix_size"] == plan["p_size"]) & (keyed["_mix_nth"] == plan["p_nth"])
-    taken = keyed.join(plan.where("copies > 0"), on).drop(*key, "p_id", "p_source", "p_size", "p_nth")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in names])
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies"))
+    plan = plan.select("doc_id", "source", "size", F.col("copies").alias(copies), place.alias("nth")).where(F.col(copies) > 0).alias("p")
+    same = [F.col(f"k.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in ((id_, "doc_id"), (source, "source"), (size, "size"), (nth, "nth"))]
+    taken = keyed.join(plan, same[0] & same[1] & same[2] & same[3])
+    # a Generate that repeats the row for each of its copies, of which there are max_epochs at most
+    return taken.select(*[F.col(f"k.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 
 ORACLE_SQL = r"""

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandline.llm.common import arrow_map, doc_bytes, text_bytes
+from strandline.llm.common import arrow_map, doc_bytes, fresh, text_bytes
 from strandline.llm.gbdt import Trees, train
 
 SAMPLE_ROWS = 20_000
@@ -115,18 +116,18 @@ def scores(docs: DataFrame, model: Trees) -> DataFrame:
     return arrow_map(doc_bytes(docs), run, "doc_id long, score double")
 
 
-def with_scores(docs: DataFrame, model: Trees, name: str = "_score") -> DataFrame:
-    """docs with all their columns and a score, without a join."""
+def with_scores(docs: DataFrame, model: Trees, name: str) -> DataFrame:
+    """docs with all their columns and a score under a name that they don't have, without a join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    body = "_score_body"
+    body = fresh(docs, "body")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([statistics(b) for b in batch.column(body).to_pylist()])
         kept = [i for i, c in enumerate(batch.schema.names) if c != body]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sent.value.score(x))], names=[*(batch.schema.names[i] for i in kept), name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(docs.withColumn(body, text_bytes()), run, f"{fields}, `{name}` double")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return arrow_map(docs.withColumn(body, text_bytes()), run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
