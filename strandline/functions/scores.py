@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.text import ascii_bounds
+from strandline.functions.text import ascii_bounds, hits
 
 #: How reliable a source is.
 SOURCE_CONFIDENCE = {"user_explicit": 0.9, "documentation": 0.85, "code_indexed": 0.8, "inferred": 0.7, "auto_classified": 0.6, "imported": 0.5, "legacy": 0.5}
@@ -106,14 +106,13 @@ def level_scores(text: Column) -> Column:
     low = F.lower(text)
     entries = []
     for level, patterns in LEVEL_PATTERNS.items():
-        hits = sum((F.when(low.rlike(ascii_bounds(p)), 1).otherwise(0) for p in patterns), F.lit(0))
-        entries += [F.lit(level), F.least(F.lit(1.0), hits / max(1.0, 0.3 * len(patterns)))]
+        n = sum((F.when(hits(low, p), 1).otherwise(0) for p in patterns), F.lit(0))
+        entries += [F.lit(level), F.least(F.lit(1.0), n / max(1.0, 0.3 * len(patterns)))]
     return F.create_map(*entries)
 
 
-def classified_level(text: Column, default: str = "PROJECT_CONTEXT") -> Column:
-    """The best level, the earlier one in a tie; the default below 0.3."""
-    scores = level_scores(text)
+def classified_level(scores: Column, default: str = "PROJECT_CONTEXT") -> Column:
+    """The best level of level_scores(), the earlier one in a tie; the default below 0.3."""
     best = F.array_max(F.array(*[F.struct(scores[level].alias("s"), F.lit(-i).alias("i"), F.lit(level).alias("level")) for i, level in enumerate(LEVEL_PATTERNS)]))
     return F.when(best["s"] >= 0.3, best["level"]).otherwise(default)
 
@@ -131,8 +130,8 @@ def detected_patterns(text: Column) -> Column:
     """array<struct<confidence, kind>>, most confident first: base and a boost for each further hit, at most 0.99."""
     low, found = F.lower(text), []
     for kind, (patterns, base, boost) in TRIGGERS.items():
-        hits = sum((F.regexp_count(low, F.lit(ascii_bounds(p))) for p in patterns), F.lit(0))
-        found.append(F.when(hits > 0, F.struct((-F.least(F.lit(0.99), base + boost * (hits - 1))).alias("c"), F.lit(kind).alias("kind"))))
+        n = sum((F.regexp_count(low, F.lit(ascii_bounds(p))) for p in patterns), F.lit(0))
+        found.append(F.when(n > 0, F.struct((-F.least(F.lit(0.99), base + boost * (n - 1))).alias("c"), F.lit(kind).alias("kind"))))
     return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda s: F.struct((-s["c"]).alias("confidence"), s["kind"].alias("kind")))
 
 

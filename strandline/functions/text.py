@@ -18,6 +18,20 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY)
 
 
+def literal_in(pattern: str) -> str:
+    """The longest plain word that every match of a pattern holds, or ''."""
+    if "|" in pattern or "(?i)" in pattern:
+        return ""
+    found = [m[1] for m in re.finditer(r"(?<![\\\[\w])([a-z]{2,}?)(?=$|[^a-z?*]|[a-z][?*])", re.sub(r"\\[a-zA-Z]", " ", pattern))]
+    return max(found, key=len, default="")
+
+
+def hits(text: Column, pattern: str) -> Column:
+    """text.rlike(pattern) with ASCII word boundaries, after a cheap search for its literal."""
+    literal, found = literal_in(pattern), text.rlike(ascii_bounds(pattern))
+    return F.contains(text, F.lit(literal)) & found if literal else found
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII tokens of two characters or more."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import ascii_bounds, query_tokens, tokens
 from strandline.functions.vector import cosine, vector
+from strandline.session import spread
 
 #: Parameters of BM25, its lower-bounded variant, and reciprocal rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
@@ -29,7 +30,7 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta
     terms = query_tokens(query)
     distinct = list(dict.fromkeys(terms))
     t = tokens(F.col(text))
-    counted = docs.withColumn("_tokens", F.coalesce(t, F.array().cast("array<string>")))
+    counted = spread(docs).withColumn("_tokens", F.coalesce(t, F.array().cast("array<string>")))
     counted = counted.withColumn("_dl", F.size("_tokens"))
     for i, term in enumerate(distinct):
         counted = counted.withColumn(f"_tf{i}", F.size(F.filter("_tokens", _equals(term))))
@@ -51,7 +52,7 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta
 
 def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
     """n_docs, n_tokens, avg_doc_len and n_terms of a corpus."""
-    lists = docs.select(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    lists = spread(docs.select(text)).select(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
     sizes = lists.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("t")).cast("long").alias("n_tokens"), F.avg(F.size("t")).alias("avg_doc_len"))
     terms = lists.select(F.explode("t").alias("term")).distinct().agg(F.count(F.lit(1)).alias("n_terms"))
     return sizes.crossJoin(F.broadcast(terms))  # one row each
@@ -60,7 +61,7 @@ def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
 def document_frequencies(docs: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
     """term, df, idf of every term: the index that keyword search reads."""
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 

@@ -11,6 +11,7 @@ from strandline.functions import text as T
 from strandline.operators import dedup as D
 from strandline.operators import graph as R
 from strandline.plans.registry import query
+from strandline.session import spread
 from strandline.sources import code as K
 from strandline.sources.tables import AS_OF, MEM_SQL, as_of, memories, table
 
@@ -175,7 +176,7 @@ CODE_SQL = r"""code AS (SELECT page_id, html, least(40, 1 + len(regexp_extract_a
 
 def _code(spark, sf):
     h = F.col("html")
-    p = table(spark, sf, "pages").select("page_id", "html")
+    p = spread(table(spark, sf, "pages").select("page_id", "html"))
     return p.withColumns({"cyc": C.cyclomatic(h), "lines": C.code_lines(h), "nest": C.nesting(h), "params": C.parameters(h), "docs": C.documented(h)})
 
 
@@ -206,7 +207,7 @@ WORDS_SQL = "len(list_filter(['password','secret','token','auth','encrypt','perm
 
 @query("K15 K16 K17 K18", f"WITH c AS (SELECT doc_id, {WORDS_SQL} AS n, regexp_matches(text, '\\b(try|catch|except|rescue)\\b|Result<|if err != nil') AS errors, regexp_matches(text, '@(require|login|permission|csrf|admin|authenticated)') AS decorated, greatest(0.0, least(1.0, CASE WHEN regexp_matches(lower(source), '^(main|app|index|server|run|start|handler|init)') THEN 0.5 ELSE 0 END + 0.5 / len(string_split(lang || '/' || source, '/')))) AS near FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS n_keywords, errors, round(least(0.3, CASE WHEN n >= 3 THEN 0.10 WHEN n = 2 THEN 0.06 WHEN n = 1 THEN 0.02 ELSE 0 END + CASE WHEN errors THEN 0.03 ELSE 0 END + CASE WHEN decorated THEN 0.05 ELSE 0 END + near * 0.02)::DOUBLE, 6) AS boost FROM c")
 def criticality_boost(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
     n, errors = F.size(C.security_keywords(F.col("text"))), C.handles_errors(F.col("text"))
     near = C.proximity(F.concat_ws("/", "lang", "source"), F.col("source"))
     return d.select("doc_id", n.alias("n_keywords"), errors.alias("errors"), F.round(C.criticality(n, errors, F.col("text").rlike(C.DECORATORS), near), 6).alias("boost"))
@@ -251,9 +252,8 @@ LEVEL_SQL = "least(1.0, (regexp_matches(lower(text), '\\bprefer')::INT + regexp_
 
 @query("K26 K27", f"WITH l AS (SELECT doc_id, {LEVEL_SQL} FROM documents) SELECT doc_id, CASE WHEN greatest(p, c, s) < 0.3 THEN 'PROJECT_CONTEXT' WHEN p >= c AND p >= s THEN 'USER_PREFERENCE' WHEN c >= s THEN 'PROJECT_CONTEXT' ELSE 'SESSION_STATE' END AS level, round(greatest(p, c, s)::DOUBLE, 6) AS best FROM l")
 def context_classifier(spark, sf):
-    d = table(spark, sf, "documents")
-    best = F.array_max(F.map_values(X.level_scores(F.col("text"))))
-    return d.select("doc_id", X.classified_level(F.col("text")).alias("level"), F.round(best, 6).alias("best"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.level_scores(F.col("text")).alias("s"))
+    return d.select("doc_id", X.classified_level(F.col("s")).alias("level"), F.round(F.array_max(F.map_values("s")), 6).alias("best"))
 
 
 @query("K28", "WITH h AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text), '\\?')) + len(regexp_extract_all(lower(text), '\\b(how|what|why|where)\\b')) AS q, len(regexp_extract_all(lower(text), '\\b(error|exception|bug|fail)')) + len(regexp_extract_all(lower(text), '\\bnot work')) AS d FROM conversations) SELECT conv_id, turn, round(CASE WHEN d > 0 AND least(0.99, 0.8 + 0.1 * (d - 1)) >= CASE WHEN q > 0 THEN least(0.99, 0.7 + 0.1 * (q - 1)) ELSE 0 END THEN least(0.99, 0.8 + 0.1 * (d - 1)) ELSE least(0.99, 0.7 + 0.1 * (q - 1)) END::DOUBLE, 6) AS confidence FROM h WHERE q > 0 OR d > 0")

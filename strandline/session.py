@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = LOCAL_SCRATCH
+        root = f"{LOCAL_SCRATCH}/{os.getpid()}"
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -39,7 +43,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the scratch folder; results that read it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/strandline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows of a few large input partitions over all cores, before heavy per-row work.
+
+    A table with a partition a core or more, as any large one has, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
