@@ -39,6 +39,22 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def text_ratio_above(least: float):
+    """The same where it is at least so much, and 0 elsewhere: upper bounds spare most comparisons."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher = [], difflib.SequenceMatcher(None)
+        for x, y in zip(a, b, strict=True):
+            matcher.set_seqs(x or "", y or "")
+            near = matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least
+            r = matcher.ratio() if near else 0.0
+            out.append(r if r >= least else 0.0)
+        return pd.Series(out)
+
+    return ratio
+
+
 def renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.8) -> DataFrame:
     """old_path, new_path, similarity: the best added file for each deleted one.
 
@@ -49,7 +65,7 @@ def renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.8) -> Dat
     a = deleted.select(F.col("path").alias("old_path"), F.col("content").alias("old"), F.explode(F.array(klass("content") - 1, klass("content"), klass("content") + 1)).alias("size_class"))
     b = added.select(F.col("path").alias("new_path"), F.col("content").alias("new"), klass("content").alias("size_class"))
     pairs = a.join(b, "size_class").where((F.least(F.length("old"), F.length("new")) / F.greatest(F.length("old"), F.length("new"), F.lit(1))) >= 0.5)
-    scored = pairs.withColumn("similarity", text_ratio("old", "new")).where(F.col("similarity") >= threshold)
+    scored = pairs.withColumn("similarity", text_ratio_above(threshold)("old", "new")).where(F.col("similarity") >= threshold)
     place = F.row_number().over(Window.partitionBy("old_path").orderBy(F.col("similarity").desc(), "new_path"))
     return scored.withColumn("place", place).where("place = 1").select("old_path", "new_path", "similarity")
 

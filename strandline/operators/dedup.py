@@ -12,25 +12,24 @@ from strandline.functions.scores import similarity_band
 from strandline.session import stored
 
 
-def similar_pairs(rows: DataFrame, threshold: float, blocks: int | None = None, id_: str = "id", embedding: str = "embedding") -> DataFrame:
-    """a, b, similarity of all pairs a < b with cosine >= threshold: exact.
+#: Rows of one block; a task compares two blocks.
+BLOCK_ROWS = 4000
+
+
+def _block_pairs(rows: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Pairs above the threshold among rows with equal keys. rows: keys, id, v, blocks (how many a key has).
 
     Vectors are dealt into blocks by a hash of their id. Each pair of blocks meets in one task, which
-    multiplies slices of two matrices; the work is quadratic by nature, but spread evenly
-    over blocks * (blocks + 1) / 2 tasks of bounded memory, and only pairs above the threshold leave them.
-    For corpora where that is too much, lsh_pairs() is the approximate way.
+    multiplies slices of two matrices; only pairs above the threshold leave it.
     """
-    blocks = blocks or max(1, int(np.ceil(rows.count() / 4000)))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    v = rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v")).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = v.withColumn("with", other).select("id", "v", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    v = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = v.select(*keys, "id", "v", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, block_ = table.column("id").to_numpy(), table.column("block").to_numpy()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        lists = table.column("v").combine_chunks()
-        m = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(ids), -1)
+        m = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
         left, right = np.flatnonzero(block_ == p), np.flatnonzero(block_ == q)
@@ -44,14 +43,27 @@ def similar_pairs(rows: DataFrame, threshold: float, blocks: int | None = None,
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"a": cols[0], "b": cols[1], "similarity": cols[2]})
 
-    return dealt.groupBy("p", "q").applyInArrow(compare, "a long, b long, similarity double")
+    return dealt.groupBy(*keys, "p", "q").applyInArrow(compare, "a long, b long, similarity double")
+
+
+def similar_pairs(rows: DataFrame, threshold: float, blocks: int | None = None, id_: str = "id", embedding: str = "embedding") -> DataFrame:
+    """a, b, similarity of all pairs a < b with cosine >= threshold: exact.
+
+    The work is quadratic by nature, but spread evenly over blocks * (blocks + 1) / 2 tasks of bounded
+    memory. For corpora where that is too much, lsh_pairs() is the approximate way.
+    """
+    blocks = blocks or max(1, int(np.ceil(rows.count() / BLOCK_ROWS)))
+    return _block_pairs(rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v"), F.lit(blocks).alias("blocks")), threshold, [])
 
 
 def lsh_pairs(rows: DataFrame, threshold: float, planes: int = 8, tables: int = 12, seed: int = 7, id_: str = "id", embedding: str = "embedding") -> DataFrame:
-    """Approximate: pairs that share a bucket of random-hyperplane signs, then checked exactly."""
+    """Approximate: pairs that share a bucket of random-hyperplane signs, then checked exactly.
+
+    Frequent buckets are cut into blocks like the exact join's; no bucket is capped.
+    """
     rng = np.random.default_rng(seed)
-    width = len(rows.select(embedding).first()[0])
-    normals = rng.standard_normal((tables, planes, width))
+    first = rows.select(embedding).first()
+    normals = rng.standard_normal((tables, planes, len(first[0]) if first else 1))
     weights = 1 << np.arange(planes)
 
     @F.pandas_udf("array<long>")
@@ -59,12 +71,10 @@ def lsh_pairs(rows: DataFrame, threshold: float, planes: int = 8, tables: int =
         m = np.stack(v.to_numpy()).astype(np.float64)
         return pd.Series(list(((np.einsum("tpw,nw->ntp", normals, m) > 0) * weights).sum(axis=2)))
 
-    keyed = rows.select(F.col(id_).alias("id"), F.col(embedding).alias("v"), F.posexplode(buckets(embedding)).alias("table", "bucket"))
-    left, right = keyed.select("table", "bucket", F.col("id").alias("a"), F.col("v").alias("va")), keyed.select("table", "bucket", F.col("id").alias("b"), F.col("v").alias("vb"))
-    from strandline.functions.vector import cosine
-
-    near = left.join(right, ["table", "bucket"]).where("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold)
-    return near.select("a", "b", "similarity").dropDuplicates(["a", "b"])
+    keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v"), F.posexplode(buckets(embedding)).alias("table", "bucket"))
+    blocks = keyed.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    near = _block_pairs(keyed.join(blocks, ["table", "bucket"]), threshold, ["table", "bucket"])
+    return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:

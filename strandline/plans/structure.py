@@ -153,7 +153,7 @@ def duplication_score(spark, sf):
 
 @query("G3 N9")
 def lsh_pairs(spark, sf):
-    return D.lsh_pairs(table(spark, sf, "embeddings"), 0.4, planes=5, tables=24, id_="vec_id")
+    return D.lsh_pairs(table(spark, sf, "embeddings"), 0.4, planes=6, tables=32, id_="vec_id")
 
 
 @query("H5", "WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS t FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.t, y.t)) > 0")
