@@ -90,21 +90,21 @@ Rule = Callable[[Doc], bool]
 
 
 def symbol_heavy(d: Doc) -> bool:
-    return d.n_symbols > 0.1 * d.n_words
+    return 10 * d.n_symbols > d.n_words
 
 
 def odd_word_length(d: Doc) -> bool:
-    return not 2.0 * d.n_words <= d.word_chars <= 15.0 * d.n_words
+    return not 2 * d.n_words <= d.word_chars <= 15 * d.n_words
 
 
 def repeated_lines(d: Doc) -> bool:
-    return d.n_dup_lines >= 3 and d.n_dup_lines > 0.3 * d.n_lines
+    return d.n_dup_lines >= 3 and 10 * d.n_dup_lines > 3 * d.n_lines
 
 
 def few_lettered_words(d: Doc) -> bool:
     """Under four fifths of the words hold a letter (any byte beyond ASCII counts as one)."""
     bare = sum(1 for w in d.words if not w.strip(b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
-    return bare > 0.2 * d.n_words
+    return 5 * bare > d.n_words
 
 
 def shouting(d: Doc) -> bool:
@@ -112,11 +112,11 @@ def shouting(d: Doc) -> bool:
     small = d.body.translate(None, UPPER)
     capitals = len(d.body) - len(small)
     ascii_letters = capitals + len(small) - len(small.translate(None, bytes(range(97, 123))))
-    return capitals > 0.3 * max(ascii_letters, 1)
+    return 10 * capitals > 3 * max(ascii_letters, 1)
 
 
 def exclaiming(d: Doc) -> bool:
-    return d.body.count(b"!") > 0.3 * d.n_words
+    return 10 * d.body.count(b"!") > 3 * d.n_words
 
 
 #: The production rules, in no particular order.
@@ -168,3 +168,21 @@ def quality_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[s
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *out])
 
     return arrow_map(doc_bytes(docs), judge, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+c AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '^[!-@\[-`{-~]+$'))) AS bare,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters, length(t) - length(replace(t, '!', '')) AS bangs
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+    OR 5 * bare > n_words OR 10 * capitals > 3 * greatest(letters, 1) OR 10 * bangs > 3 * n_words) AS kept FROM b
+"""

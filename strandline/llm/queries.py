@@ -81,6 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandline.llm import chat, mixing
+    from strandline.llm import chat, mixing, quality_rules
 
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}

@@ -151,7 +151,8 @@ def spanning_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple
 def fingerprint_links(distinct: DataFrame, count: int, radius: int, shard_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
     """u, v: links that connect all fingerprints within the radius. distinct: fp, no repeats."""
     spark = distinct.sparkSession
-    depth = max(0, int(np.ceil(np.log2(max(1, count / shard_rows)))))
+    # a node needs a few sampled fingerprints to be split well; deeper splits are left to the shards' own trees
+    depth = max(0, int(np.ceil(np.log2(max(1, min(count / shard_rows, sample_rows / 5))))))
     share = min(1.0, sample_rows / max(1, count))
     picked = distinct.where((F.xxhash64("fp") / 2.0**64 + 0.5) <= share).orderBy(F.xxhash64("fp")).limit(2 * sample_rows)
     sample = np.array([r[0] for r in picked.collect()], dtype=np.int64).view(np.uint64)
