@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import ascii_bounds, query_tokens, tokens
 from strandline.functions.vector import cosine, vector
-from strandline.session import spread
+from strandline.session import spread, stored
 
 #: Parameters of BM25, its lower-bounded variant, and reciprocal rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
@@ -20,21 +20,19 @@ def _equals(term: str):
     return lambda x: x == term
 
 
-def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta: float | None = None, text: str = "content") -> DataFrame:
-    """docs with `bm25`, 0 for rows without a query term.
+def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta: float | None = None, text: str = "content", id_: str = "id") -> DataFrame:
+    """id and `bm25` of every row, 0 for rows without a query term.
 
-    One pass counts the query's terms and the length of each row; the corpus figures are a single
-    row that is broadcast. A term that the query repeats counts as often. With delta every query term that the
+    One pass over the texts counts the query's terms and the length of each row, a few numbers a row that
+    are written; figures of the corpus and scores come from these. The figures are a single row that is
+    broadcast. A term that the query repeats counts as often. With delta every query term that the
     corpus holds adds idf * delta to every row, also where it doesn't occur.
     """
     terms = query_tokens(query)
     distinct = list(dict.fromkeys(terms))
-    t = tokens(F.col(text))
-    counted = spread(docs).withColumn("_tokens", F.coalesce(t, F.array().cast("array<string>")))
-    counted = counted.withColumn("_dl", F.size("_tokens"))
-    for i, term in enumerate(distinct):
-        counted = counted.withColumn(f"_tf{i}", F.size(F.filter("_tokens", _equals(term))))
-    counted = counted.drop("_tokens")
+    counted = spread(docs.select(id_, text)).select(id_, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
+    counted = counted.select(id_, F.size("_tokens").alias("_dl"), *[F.size(F.filter("_tokens", _equals(t))).alias(f"_tf{i}") for i, t in enumerate(distinct)])
+    counted = stored(counted, "bm25-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(distinct))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row of corpus figures
     score: Column = F.lit(0.0)
@@ -47,7 +45,7 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta
         if delta is not None:
             part = part + F.when(df > 0, idf * delta).otherwise(0.0)
         score = score + part
-    return joined.withColumn("bm25", score).drop("_dl", "_n", "_avgdl", *[f"_{k}{i}" for k in ("tf", "df") for i in range(len(distinct))])
+    return joined.select(id_, score.alias("bm25"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:

@@ -189,7 +189,8 @@ def search_quality(spark, sf):
 
 @query("J16 J17")
 def mmr_rerank(spark, sf):
-    best = S.top(_bm25(spark, sf), "bm25", 50).select(F.lit(QUERY).alias("query"), "id", F.col("bm25").alias("score"), "content")
+    best = S.top(_bm25(spark, sf), "bm25", 50).join(memories(spark, sf).select("id", "content"), "id")
+    best = best.select(F.lit(QUERY).alias("query"), "id", F.col("bm25").alias("score"), "content")
     best = S.scaled(best, "score", "scaled").withColumn("score", F.col("scaled"))
     return S.mmr(S.diversified(best).join(best.select("id", "content"), "id"), 10)
 
@@ -198,7 +199,7 @@ def mmr_rerank(spark, sf):
 def custom_rerank(spark, sf):
     import numpy as np
 
-    scored = S.rescored(_bm25(spark, sf).where("bm25 > 0").withColumn("n", F.length("content")), lambda s, n: s / np.log(n + 2), ["bm25", "n"])
+    scored = S.rescored(_bm25(spark, sf).where("bm25 > 0").join(memories(spark, sf).select("id", F.length("content").alias("n")), "id"), lambda s, n: s / np.log(n + 2), ["bm25", "n"])
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
