@@ -91,14 +91,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     """
     names = docs.columns
     id_, source, size, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("id", "source", "size", "nth", "copies", "copy"))
-    twins = Window.partitionBy(id_, source, size).orderBy(F.xxhash64("text"), F.col("text"))
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), source: F.col("source").cast("string"), size: word_count()})
-    keyed = keyed.withColumn(nth, F.row_number().over(twins)).alias("k")
-    plan = mixing_plan(docs, weights, max_epochs, seed)
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies"))
-    plan = plan.select("doc_id", "source", "size", F.col("copies").alias(copies), place.alias("nth")).where(F.col(copies) > 0).alias("p")
-    same = [F.col(f"k.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in ((id_, "doc_id"), (source, "source"), (size, "size"), (nth, "nth"))]
-    taken = keyed.join(plan, same[0] & same[1] & same[2] & same[3])
+    plan = stored(mixing_plan(docs, weights, max_epochs, seed).select("doc_id", "source", "size", F.col("copies").alias(copies)), "mix-plan")
+    by = [(id_, "doc_id"), (source, "source"), (size, "size")]
+    if plan.groupBy("doc_id", "source", "size").count().where("count > 1").isEmpty():
+        keyed = keyed.alias("k")
+    else:
+        # rows that agree in all three are told apart by their place; else texts need no such sort
+        twins = Window.partitionBy(id_, source, size).orderBy(F.xxhash64("text"), F.col("text"))
+        keyed = keyed.withColumn(nth, F.row_number().over(twins)).alias("k")
+        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(copies)))
+        by.append((nth, "nth"))
+    same = F.lit(True)
+    for a, b in by:
+        same = same & F.col(f"k.{a}").eqNullSafe(F.col(f"p.{b}"))
+    taken = keyed.join(plan.where(F.col(copies) > 0).hint("shuffle_hash").alias("p"), same)
     # a Generate that repeats the row for each of its copies, of which there are max_epochs at most
     return taken.select(*[F.col(f"k.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 

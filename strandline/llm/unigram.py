@@ -249,7 +249,7 @@ def _cache(model: Unigram) -> WordCache:
     """One cache a worker process."""
     if model.key not in _caches:
         _caches.clear()
-        _caches[model.key] = WordCache(model.encode_units)
+        _caches[model.key] = WordCache(model.encode_units, 120_000)
     return _caches[model.key]
 
 
