@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,41 @@ def vector_scores(rows: DataFrame, query: list[float], column: str = "embedding"
     return rows.withColumn("similarity", cosine(F.col(column), vector(query)))
 
 
+def nearest(rows: DataFrame, k: int, block_rows: int = 4000, id_: str = "id", embedding: str = "embedding") -> DataFrame:
+    """query, id, similarity: for each row the k others of greatest cosine, ties to the smaller id. Exact.
+
+    Many searches in one job. Rows are dealt into blocks; a task multiplies one block of queries with one
+    of targets and keeps k of each query, so memory is bounded and k rows a query and block are shuffled.
+    """
+    blocks = max(1, int(np.ceil(rows.count() / block_rows)))
+    v = rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = v.select("id", "v", F.lit(True).alias("asks"), F.col("block").alias("p"), every.alias("q")).union(v.select("id", "v", F.lit(False), every, F.col("block")))
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+        m = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        order = np.argsort(ids[~asks], kind="stable")
+        targets, t = m[~asks][order], ids[~asks][order]
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, int(asks.sum()) if len(t) else 0, 256):
+            q = ids[asks][i : i + 256]
+            s = m[asks][i : i + 256] @ targets.T
+            s[q[:, None] == t[None, :]] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # targets stand by id, so ties go to the smaller one
+            found = np.take_along_axis(s, best, axis=1)
+            keep = np.isfinite(found)
+            out.append((np.repeat(q, keep.sum(axis=1)), t[best][keep], found[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query": cols[0], "id": cols[1], "similarity": cols[2]})
+
+    found = dealt.groupBy("p", "q").applyInArrow(search, "query long, id long, similarity double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "similarity")
+
+
 def normalized(score: Column, partition: Window | None = None) -> Column:
     """Min-max over a list: all zero gives 0, all equal otherwise gives 1."""
     w = partition or Window.partitionBy(F.lit(1))

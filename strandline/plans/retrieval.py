@@ -81,6 +81,11 @@ def cosine_topk_filtered(spark, sf):
     return S.top(_similar(spark, sf).where("label = 3"), "similarity", 10).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("G3 G5 J23", "SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10")
+def nearest_of_all(spark, sf):
+    return S.nearest(_vectors(spark, sf), 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("K3 P1", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / nullif(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 0)) ^ 2)), 6) AS squared, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
 def l2_normalize(spark, sf):
     unit = _vectors(spark, sf).select("id", l2_normalized(F.col("embedding")).alias("u"))

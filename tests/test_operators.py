@@ -215,3 +215,17 @@ def test_streams(spark, tmp_path):
     assert {(r.session_id, r.n_shown) for r in drained(shown_ids(stream()), "update").collect()} >= {(7, 1), (8, 1)}
     assert drained(debounced(stream().withColumnRenamed("session_id", "path")), "append").count() == 2
     assert drained(sliding_stream(stream(), "2 days", "1 day"), "complete").agg(F.sum("n")).first()[0] == 8
+
+
+def test_nearest_over_blocks(spark):
+    import numpy as np
+
+    m = np.random.default_rng(3).standard_normal((90, 8))
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, embedding array<double>")
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = n @ n.T
+    np.fill_diagonal(s, -2)
+    want = {(q, int(i)) for q in range(90) for i in np.argsort(-s[q])[:5]}
+    for block_rows in (25, 1000):
+        assert {(r.query, r.id) for r in S.nearest(v, 5, block_rows).collect()} == want
+    assert S.nearest(v.limit(1), 5).count() == 0 and S.nearest(v.where("false"), 5).count() == 0
