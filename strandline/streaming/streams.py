@@ -16,15 +16,16 @@ from strandline.session import scratch_path
 def event_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> DataFrame:
     """The events file as a stream with event time and a watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(_folder(spark, sf_dir))
+    folder, files = _folder(spark, sf_dir)
+    e = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("latency_ms")).withWatermark("timestamp", lateness)
 
 
-def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """A file source reads folders: the folder of the table's file, or the table itself if it is one."""
+def _folder(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A file source reads folders: that of the table's file, or the table itself if it is one; and which files there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return f"{sf_dir}/events.parquet" if fs.getFileStatus(path).isDirectory() else sf_dir
+    return (f"{sf_dir}/events.parquet", "*.parquet") if fs.getFileStatus(path).isDirectory() else (sf_dir, "events*.parquet")
 
 
 def session_stream(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
