@@ -32,7 +32,8 @@ _encoders: dict[str, ColumnarWordCache] = {}
 
 #: Cuts lower-case words of Latin-1 characters, with spaces between, where the vocabulary's own pattern cuts them.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]| |[^ a-z0-9²³¹¼½¾ªµºß-öø-ÿ]+")
-#: Words with other characters, or with control characters and odd spaces, go to the library whole.
+#: Words with other characters, or with control characters and odd spaces, or that hold a token of the
+#: vocabulary's added ones, go to the library whole.
 PLAIN = "^[!-~¡-ÿ]+$"
 WORD_END = "</w>"
 BLOCK = 8192
@@ -52,8 +53,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
 
     def encode_whole(self, words: list[str]) -> list[np.ndarray]:
@@ -74,6 +75,8 @@ class _Encoder:
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = pc.match_substring_regex(words, PLAIN)
+        if self.added:
+            plain = pc.and_not(plain, pc.match_substring_regex(words, self.added))
         easy, odd = words.filter(plain).to_pylist(), self.encode_whole(words.filter(pc.invert(plain)).to_pylist())
         blocks = [self.encode_block(easy[i : i + BLOCK]) for i in range(0, len(easy), BLOCK)]
         none = np.zeros(0, dtype=np.int32)
