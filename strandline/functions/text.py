@@ -177,9 +177,10 @@ def expanded_full(query: str, synonyms: int = 2, context: int = 3) -> str:
 def expanded_column(text: Column, dictionary: dict[str, list[str]], per_term: int) -> Column:
     """The same for a column of queries."""
     table = F.create_map(*[c for k in sorted(dictionary) for c in (F.lit(k), F.array(*[F.lit(t) for t in sorted(dictionary[k])]))])
-    words = F.split(F.trim(F.lower(text)), r"\s+")
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    words = F.split(F.lower(text), r"\s+")
     related = F.flatten(F.transform(F.array_distinct(words), lambda w: F.slice(F.array_except(F.coalesce(table[w], F.array().cast("array<string>")), words), 1, per_term)))
-    return F.array_join(F.concat(F.split(F.trim(text), r"\s+"), F.array_distinct(related)), " ")
+    return F.array_join(F.concat(F.split(text, r"\s+"), F.array_distinct(related)), " ")
 
 
 TYPOS = {"fucntion": "function", "retrun": "return", "authentcation": "authentication", "databse": "database", "conifg": "config", "improt": "import"}

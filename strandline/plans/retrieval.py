@@ -214,6 +214,14 @@ def query_expansion(spark, sf):
     return c.select("conv_id", "turn", F.col("text").alias("query"), T.expanded_column(F.col("text"), T.SYNONYMS, 3).alias("expanded"))
 
 
+@query("J29 J30 J31")
+def query_expansion_all(spark, sf):
+    """Every row of the table, by synonyms, by code context, and by both. No oracle: SQL has no dictionaries."""
+    text = F.col("text")
+    full = T.expanded_column(T.expanded_column(text, T.SYNONYMS, 2), T.CODE_CONTEXT, 3)
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.alias("query"), T.expanded_column(text, T.SYNONYMS, 3).alias("synonyms"), T.expanded_column(text, T.CODE_CONTEXT, 5).alias("context"), full.alias("expanded"))
+
+
 @query("J32 H4", "WITH k AS (SELECT conv_id, turn, list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 3)), lambda x: NOT list_contains(['the','and','for','with','that','this','from','are','was','not','you','have','has','had','but','all','can','will','what','how','where','when'], x))) AS t FROM conversations) SELECT conv_id, turn, array_to_string(t, ' ') AS terms, CAST(len(t) AS INTEGER) AS n FROM k")
 def key_terms(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.key_terms(F.col("text")).alias("t"))
