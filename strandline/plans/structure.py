@@ -270,6 +270,12 @@ def entities(spark, sf):
     return d.select("doc_id", F.array_join(F.slice(first, 1, 1), " ").alias("first_name"), F.size(snake).alias("n_snake"))
 
 
+@query("K29")
+def entities_all(spark, sf):
+    """Every document, whatever its characters."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.entities(F.col("text")).alias("entities"))
+
+
 @query("K30 M5", "WITH q AS (SELECT conv_id, list(text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id), s AS (SELECT conv_id, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(error|bug|fix|fail|exception)\\b'))) / len(t) AS d, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(how|what|explain|understand|que)\\b'))) / len(t) AS l, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(add|create|implement|build)\\b'))) / len(t) AS i, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(find|where|show|list|der)\\b'))) / len(t) AS e FROM q) SELECT conv_id, CASE WHEN greatest(d, l, i, e) = 0 THEN 'general' WHEN d = greatest(d, l, i, e) THEN 'debugging' WHEN l = greatest(d, l, i, e) THEN 'learning' WHEN i = greatest(d, l, i, e) THEN 'implementation' ELSE 'exploration' END AS intent, round(greatest(d, l, i, e), 6) AS confidence FROM s")
 def intent_detection(spark, sf):
     q = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.collect_list("text").alias("t"))

@@ -19,3 +19,14 @@ def test_query_expansion_of_all_rows(spark, sf):
     odd = [" \n auth  db\tuser ", "bug error", "Test api config", "", "\n"]
     df = spark.createDataFrame([(x,) for x in odd], "q string")
     assert [r[0] for r in df.select(T.expanded_column(F.col("q"), T.SYNONYMS, 3)).collect()] == [T.expanded(x, T.SYNONYMS, 3) for x in odd]
+
+
+def test_entities_of_all_documents(spark, sf):
+    patterns = [re.compile(p, re.ASCII) for p in (r"\b[a-z]+_[a-z_]+\b", r"\b[A-Z][a-z]+[A-Z][A-Za-z]*\b", r"\b[a-z]+\(\)")]
+    brute = lambda t: None if t is None else list(dict.fromkeys(m for p in patterns for m in p.findall(t)))[:10]
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    got = {r.doc_id: r.entities for r in REGISTRY["entities_all"].run(spark, sf).collect()}
+    assert got == {d: brute(t) for d, t in texts.items()} and any(not t.isascii() for t in texts.values())
+    odd = ["été_ab naïve_x éAbCd", "snake_case CamelCase über call()"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    assert [r[0] for r in df.select(X.entities(F.col("t"))).collect()] == [brute(x) for x in odd]
