@@ -59,7 +59,7 @@ def similar_pairs(rows: DataFrame, threshold: float, blocks: int | None = None,
 def lsh_pairs(rows: DataFrame, threshold: float, planes: int = 8, tables: int = 12, seed: int = 7, id_: str = "id", embedding: str = "embedding") -> DataFrame:
     """Approximate: pairs that share a bucket of random-hyperplane signs, then checked exactly.
 
-    Frequent buckets are cut into blocks like the exact join's; no bucket is capped.
+    In each table a row also stands in the bucket across its nearest hyperplane. Frequent buckets are cut into blocks like the exact join's; no bucket is capped.
     """
     rng = np.random.default_rng(seed)
     first = rows.select(embedding).first()
@@ -69,9 +69,11 @@ def lsh_pairs(rows: DataFrame, threshold: float, planes: int = 8, tables: int =
     @F.pandas_udf("array<long>")
     def buckets(v: pd.Series) -> pd.Series:
         m = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series(list(((np.einsum("tpw,nw->ntp", normals, m) > 0) * weights).sum(axis=2)))
+        sides = np.einsum("tpw,nw->ntp", normals, m)
+        own = ((sides > 0) * weights).sum(axis=2)
+        return pd.Series(list(np.concatenate([own, own ^ weights[np.abs(sides).argmin(axis=2)]], axis=1)))
 
-    keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v"), F.posexplode(buckets(embedding)).alias("table", "bucket"))
+    keyed = rows.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("v"), F.posexplode(buckets(embedding)).alias("table", "bucket")).withColumn("table", F.col("table") % tables)
     blocks = keyed.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     near = _block_pairs(keyed.join(blocks, ["table", "bucket"]), threshold, ["table", "bucket"])
     return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

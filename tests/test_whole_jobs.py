@@ -30,3 +30,11 @@ def test_entities_of_all_documents(spark, sf):
     odd = ["été_ab naïve_x éAbCd", "snake_case CamelCase über call()"]
     df = spark.createDataFrame([(x,) for x in odd], "t string")
     assert [r[0] for r in df.select(X.entities(F.col("t"))).collect()] == [brute(x) for x in odd]
+
+
+def test_lsh_recall_of_the_registered_query(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.a, r.b) for r in D.similar_pairs(table(spark, sf, "embeddings"), 0.4, id_="vec_id").collect()}
+    found = {(r.a, r.b) for r in REGISTRY["lsh_pairs"].run(spark, sf).collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact)
+    print("lsh recall", len(found), len(exact))
