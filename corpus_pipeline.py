@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # the small side is hashed: texts need no sort
     one = docs.where(F.col("doc_id").isNotNull()).join(chosen.select(key).hint("shuffle_hash"), F.col("doc_id") == F.col(key), "left_semi")
     if not chosen.where("count > 1").isEmpty():
-        one = one.dropDuplicates(["doc_id"])
+        version = fresh(docs, "version")
+        one = one.withColumn(version, F.xxhash64("text")).dropDuplicates(["doc_id", version])
     return _same_columns(one, docs).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
