@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.session import discard, scratch_path, scratch_root, stored
+from strandline.session import discard, release, scratch_path, scratch_root, stored
 
-__all__ = ["WORD", "arrow_map", "discard", "doc_bytes", "fresh", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
+__all__ = ["WORD", "arrow_map", "bounded_batches", "discard", "doc_bytes", "fresh", "read_table", "release", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split()
 #: without arguments cuts UTF-8 at exactly these, and no other UTF-8 byte takes their values.
@@ -49,15 +49,16 @@ def doc_bytes(docs: DataFrame, *extra: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *extra)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow over bounded batches; fn turns one batch into another (None: nothing).
-
-    The bounds are session settings; those of the last call before an action hold for it.
-    """
-    spark = df.sparkSession
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds Arrow batches. These are session settings; those of the last call before an action hold for it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow over bounded batches; fn turns one batch into another (None: nothing)."""
+    bounded_batches(df.sparkSession, rows, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
