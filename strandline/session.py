@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -74,6 +75,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over, which waits for the driver to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that stored() wrote, once nothing will read it again."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
