@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOCAL_SCRATCH = "/tmp/strandline-scratch"
 
 
@@ -62,6 +64,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@contextlib.contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete an execution's shuffle files when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared scratch folder, reads it back.
 
@@ -69,18 +82,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _cleaned_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over, which waits for the driver to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Deletes a table that stored() wrote, once nothing will read it again."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
