@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.session import discard, release, scratch_path, scratch_root, stored
+from strandline.session import discard, scratch_path, scratch_root, stored
 
-__all__ = ["WORD", "arrow_map", "bounded_batches", "discard", "doc_bytes", "fresh", "read_table", "release", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
+__all__ = ["WORD", "arrow_map", "bounded_batches", "discard", "doc_bytes", "fresh", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split()
 #: without arguments cuts UTF-8 at exactly these, and no other UTF-8 byte takes their values.
