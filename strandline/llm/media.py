@@ -10,7 +10,7 @@ against their median make 64 bits.
 Defined results: a null text is empty; an empty payload is padded to 64 zero bytes; repeated and
 equal texts give equal values; an empty table gives no rows; further columns are not read. A file that
 fails a checksum or is cut short raises ValueError. Memory is bounded by an Arrow batch and a few
-times one text.
+times one text: filters are tried on ROWS rows at a time.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import arrow_map, doc_bytes
+from strandline.llm.common import arrow_map, doc_bytes, stored
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Bytes of compressed data in one IDAT chunk.
 CHUNK_BYTES = 1 << 20
+#: Rows that are filtered at a time.
+ROWS = 4096
 GRID, LOW = 32, 8
 
 
@@ -41,23 +44,29 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def _filtered(rows: np.ndarray) -> np.ndarray:
-    """Rows with their filter byte in front, each by the filter of the smallest residual."""
-    tries = np.stack([rows, rows.copy(), rows.copy()])
-    tries[1][:, 1:] -= rows[:, :-1]
-    tries[2][1:] -= rows[:-1]
-    weight = np.abs(tries.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
-    kind = weight.argmin(axis=0)
-    out = np.empty((rows.shape[0], rows.shape[1] + 1), dtype=np.uint8)
-    out[:, 0] = kind
-    out[:, 1:] = tries[kind, np.arange(rows.shape[0])]
-    return out
+def _filtered(rows: np.ndarray) -> Iterator[bytes]:
+    """Rows with their filter byte in front, each by the filter of the smallest residual; some rows at a time."""
+    for y in range(0, len(rows), ROWS):
+        now = rows[y : y + ROWS]
+        above = np.zeros_like(now)
+        above[1:] = now[:-1]
+        if y:
+            above[0] = rows[y - 1]
+        tries = np.stack([now, now, now - above])
+        tries[1][:, 1:] -= now[:, :-1]
+        weight = np.abs(tries.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
+        kind = weight.argmin(axis=0)
+        out = np.empty((now.shape[0], now.shape[1] + 1), dtype=np.uint8)
+        out[:, 0] = kind
+        out[:, 1:] = tries[kind, np.arange(now.shape[0])]
+        yield out.tobytes()
 
 
 def png_encode(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     """A greyscale PNG whose samples are the payload, which fills whole rows."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
-    data = zlib.compress(_filtered(rows).tobytes(), level)
+    packer = zlib.compressobj(level)
+    data = b"".join([*map(packer.compress, _filtered(rows)), packer.flush()])
     header = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     chunks = [_chunk(b"IDAT", data[i : i + CHUNK_BYTES]) for i in range(0, len(data), CHUNK_BYTES)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", header), *chunks, _chunk(b"IEND", b"")])
@@ -180,6 +189,11 @@ def media_column(docs: DataFrame, level: int = 6) -> DataFrame:
     return arrow_map(doc_bytes(docs), encode, "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame, level: int = 6) -> DataFrame:
+    """The media column as a table in the shared scratch folder, so that what reads it reads stored bytes."""
+    return stored(media_column(docs, level), "media")
+
+
 def media_digest(media: DataFrame) -> DataFrame:
     """Reads each stored file back: its payload's digests, its own, and the image hash."""
 

@@ -3,14 +3,15 @@
 Each source's target is its weighted share of all words, held at ``max_epochs`` times its own size;
 the excess is shared again by weight (the level at which this settles comes from one sorted pass
 over the sources). A document's expected copies are its source's target over its size. Within
-a source documents stand in order of size and then of a hash of their id; the prefix sums of
+a source documents stand in order of size and then of a hash of their id and text; the prefix sums of
 expected copies start at one pseudo-random offset, and a document is emitted once for each integer
-that its step crosses. Standing by size makes the sample take a like share of every size; of sixteen
-equally spaced offsets from one random number a source uses the one that brings it nearest to its target.
+that its step crosses. Standing by size makes the sample take a like share of every size, so a source misses
+its target by less than its largest document.
 
 All expected copies of a source are equal, so a prefix sum is a rank times that number. Ranks are
 counted on two levels: within blocks of (source, class of size, first byte of the hash), and over the
-blocks. A source with any share of all rows is thus dealt over hundreds of blocks.
+blocks. A source with any share of all rows is thus dealt over hundreds of blocks. Identical rows are counted
+before they are shuffled, and have neighbouring ranks.
 
 Defined results: a null text has size 0; a null source is a source, the last; a source of only
 empty documents has target 0; repeated rows are documents of their own; an empty table gives no
@@ -47,60 +48,57 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _place_hash(seed: str) -> Column:
+    """What places a document among those of its size: its id and its text."""
+    digits, text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    return F.md5(F.concat(F.lit(seed), digits, F.lit(":"), F.md5(text.cast("binary"))))
+
+
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row of docs."""
-    nil = F.coalesce(F.col("source"), F.lit("")).cast("string")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
-    return _with_copies(stored(sizes, "mix-sizes"), weights, max_epochs, seed, nil)
+    """doc_id, source, size, h (what placed it), source_size, target, copies and taken for every row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), _place_hash(seed).alias("h"))
+    return _with_copies(stored(rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n")), "mix-sizes"), weights, max_epochs, seed)
 
 
-def _with_copies(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, nil) -> DataFrame:
-    """Adds copies and taken to rows with doc_id, source, size and h."""
+def _with_copies(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
+    """Adds copies and taken to distinct rows with doc_id, source, size, h and their number n, a row each again."""
     block = ["source", "size_class", "deal"]
-    sizes = sizes.withColumn("size_class", F.floor(F.sqrt(F.col("size").cast("double")))).withColumn("deal", F.substring("h", 1, 2))
-    in_block = F.row_number().over(Window.partitionBy(*block).orderBy("size", "h", "doc_id"))
-    blocks = sizes.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("size_class", F.floor(F.sqrt(F.col("size").cast("double")))).withColumn("deal", F.substring("h", 1, 2))
+    earlier = Window.partitionBy(*block).orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    blocks = rows.groupBy(*block).agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("size"))
     before = Window.partitionBy("source").orderBy("size_class", "deal").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    targets = source_targets(sizes.select("source", "size"), weights, max_epochs)
-    blocks = blocks.join(targets, blocks["source"].eqNullSafe(targets["source"])).select(blocks["source"].alias("b_source"), F.col("size_class").alias("b_class"), F.col("deal").alias("b_deal"), "before", "source_size", "target")
-    same = sizes["source"].eqNullSafe(blocks["b_source"]) & (sizes["size_class"] == blocks["b_class"]) & (sizes["deal"] == blocks["b_deal"])
-    ranked = sizes.withColumn("in_block", in_block).join(blocks, same)
+    targets = source_targets(blocks.select("source", "size"), weights, max_epochs).withColumnRenamed("source", "t_source")
+    blocks = blocks.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("b_source"), F.col("size_class").alias("b_class"), F.col("deal").alias("b_deal"), "before", "source_size", "target")
+    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size_class") == F.col("b_class")) & (F.col("deal") == F.col("b_deal"))
+    ranked = rows.withColumn("in_block", in_block).join(blocks, same).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    first = _unit(F.concat(F.lit(seed), F.lit(":"), nil))
-    rank = (F.col("before") + F.col("in_block")).cast("double")
-
-    def copies(offset: Column) -> Column:
-        return F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-
-    # sixteen equally spaced offsets from one random number: the one that comes nearest to the target
-    offset = lambda j: (first + j / 16.0) % 1.0
-    tries = ranked.groupBy("b_source").agg(*[F.sum(F.col("size") * copies(offset(j))).alias(f"s{j}") for j in range(16)], F.first("target").alias("t"))
-    tries = tries.select(F.col("b_source").alias("o_source"), F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("t")), F.lit(j).alias("j")) for j in range(16)]))["j"].alias("j"))
-    ranked = ranked.join(tries, F.col("b_source").eqNullSafe(F.col("o_source")))
-    copies = copies(offset(F.col("j")))
+    offset = _unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit(""))))
+    rank = (F.col("before") + F.col("in_block") + F.col("nth")).cast("double")
+    copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     ranked = ranked.withColumn("copies", F.least(copies, F.lit(max_epochs)).cast("long"))
-    return ranked.withColumn("taken", F.col("size") * F.col("copies")).drop("o_source", "j", "b_source", "b_class", "b_deal", "before", "in_block", "size_class", "deal", "h")
+    return ranked.select("doc_id", "source", "size", "h", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the rows of docs with all their columns, each as often as the mix takes it.
 
-    Copies are found per (doc_id, source, size): rows that agree in all three share their copies in
-    a fixed order of their text.
+    Copies are found per source and (doc_id, text): rows that agree in these share their copies in a fixed order of
+    all their columns.
     """
     names = docs.columns
-    id_, source, size, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("id", "source", "size", "nth", "copies", "copy"))
-    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), source: F.col("source").cast("string"), size: word_count()})
-    plan = stored(mixing_plan(docs, weights, max_epochs, seed).select("doc_id", "source", "size", F.col("copies").alias(copies)), "mix-plan")
-    by = [(id_, "doc_id"), (source, "source"), (size, "size")]
-    if plan.groupBy("doc_id", "source", "size").count().where("count > 1").isEmpty():
+    source, h, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("source", "h", "nth", "copies", "copy"))
+    keyed = docs.withColumns({source: F.col("source").cast("string"), h: _place_hash(seed)})
+    plan = stored(mixing_plan(docs, weights, max_epochs, seed).select("source", "h", F.col("copies").alias(copies)), "mix-plan")
+    by = [(source, "source"), (h, "h")]
+    if plan.groupBy("source", "h").count().where("count > 1").isEmpty():
         keyed = keyed.alias("k")
     else:
-        # rows that agree in all three are told apart by their place; else texts need no such sort
-        twins = Window.partitionBy(id_, source, size).orderBy(F.xxhash64("text"), F.col("text"))
+        # rows that agree in both are told apart by their place; else texts need no such sort
+        twins = Window.partitionBy(source, h).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
         keyed = keyed.withColumn(nth, F.row_number().over(twins)).alias("k")
-        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(copies)))
+        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("source", "h").orderBy(copies)))
         by.append((nth, "nth"))
     same = F.lit(True)
     for a, b in by:
@@ -112,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+                  md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -122,10 +120,6 @@ r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.ta
              CAST(('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u,
              CAST(row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(d.size)), substr(d.h, 1, 2), d.size, d.h, d.doc_id) AS DOUBLE) AS k
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT r.*, j, (u + j / 16.0::DOUBLE) % 1.0::DOUBLE AS o FROM r, range(16) AS c(j)),
-y AS (SELECT *, CAST(floor(k * rate + o) - floor((k - 1) * rate + o) AS BIGINT) AS copies FROM x),
-b AS (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS miss FROM y GROUP BY source, j),
-z AS (SELECT source, j FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, j) = 1)
-SELECT y.doc_id, y.size, y.source_size, y.target, CAST(y.size * least(y.copies, 3) AS BIGINT) AS taken
-FROM y JOIN z ON y.source IS NOT DISTINCT FROM z.source AND y.j = z.j
+y AS (SELECT *, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) AS copies FROM r)
+SELECT doc_id, size, source_size, target, CAST(size * least(copies, 3) AS BIGINT) AS taken FROM y
 """

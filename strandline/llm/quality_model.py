@@ -99,7 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         stats = [statistics(b) for b in batch.column("body").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(stats, type=pa.list_(pa.float64()))], names=["doc_id", "y", "stats"])
 
-    got = arrow_map(rows.select("doc_id", "y", "body"), measure, "doc_id long, y double, stats array<double>").collect()
+    measured = arrow_map(rows.select("doc_id", "y", "body"), measure, "doc_id long, y double, stats array<double>")
+    # a doc_id may stand for many rows, so the bound holds again
+    got = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "stats").limit(sample_rows).collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["stats"]))
     x = np.array([r["stats"] for r in got], dtype=np.float64).reshape(-1, len(STATISTICS))
     return train(x, np.array([r["y"] for r in got], dtype=np.float64))

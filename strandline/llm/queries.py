@@ -58,9 +58,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.llm.media import media_column, media_digest
+    from strandline.llm.media import media_digest, stored_media
 
-    return media_digest(media_column(read_table(spark, sf_dir, "documents")))
+    return media_digest(stored_media(read_table(spark, sf_dir, "documents")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

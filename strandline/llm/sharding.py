@@ -2,7 +2,7 @@
 
 What is packed are units: equal texts (a group) hash to one of ``UNITS`` units, so a group stays
 together. A large group is a unit of its own; one above a shard's fair share in bytes, tokens or rows
-can't stay together, and is cut by a hash of its doc_ids into pieces that are units of their own. Few
+can't stay together, and is cut by a hash of its rows into pieces that are units of their own. Few
 groups can be above a given share, so the driver sees a bounded table of units, whatever the corpus. Units are placed
 in order of size, each into the shard where the dot product of its (bytes, tokens, rows) with the
 shard's residual capacity is highest among those with room for its bytes.
@@ -59,6 +59,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         word_count().alias("tokens"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("content"),
+        F.monotonically_increasing_id().alias("nth"),
     )
     rows = stored(rows, "shard-rows")
     measures = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
@@ -71,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         most = max(r[m] / fair[m] for m in fair)
         large.append((r["content"], UNITS + (number << 20), int(np.ceil(most / PIECE)) if most > 1 else 1, int(np.ceil(r["n"] / (PIECE * fair["n"])))))
     large = spark.createDataFrame(large, "content long, first_unit long, pieces int, parts int")
-    deal = F.xxhash64("content", "doc_id")
+    deal = F.xxhash64("content", "doc_id", "nth")  # rows may share a doc_id, too
     rows = (
         rows.join(F.broadcast(large), "content", "left")
         .withColumn("unit", F.coalesce(F.col("first_unit") + F.pmod(deal, F.col("pieces")), F.pmod("content", F.lit(UNITS))))
@@ -84,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     parts = parts.merge(units[["unit", "shard"]], on="unit")
     parts["before"] = parts.groupby("shard")["n"].cumsum() - parts["n"]
     table = spark.createDataFrame([tuple(map(int, r)) for r in parts[["unit", "part", "shard", "before"]].itertuples(index=False)], "unit long, part long, shard int, before long")
-    slot = F.row_number().over(Window.partitionBy("unit", "part").orderBy("content", F.col("doc_id").asc_nulls_first()))
+    slot = F.row_number().over(Window.partitionBy("unit", "part").orderBy("content", F.col("doc_id").asc_nulls_first(), "nth"))
     return (
         rows.withColumn("in_unit", slot)
         .join(F.broadcast(table), ["unit", "part"])
