@@ -6,12 +6,13 @@ combination of these hashes names every prefix of a conversation. A conversation
 hash is another's proper prefix is dropped by an anti-join, and of identical conversations the
 smallest conv_id stays. What remains is rendered.
 
-Nothing gathers a conversation in one place: it is cut into parts of ``part_turns`` turn numbers,
-hashed within parts, and only the parts' totals meet in a running window. Rendered text comes
-per part, in order, so no string outgrows a part.
+Nothing gathers a conversation in one place. Distinct turns are range-partitioned and numbered in order, so a
+frequent conv_id, or turn number, is dealt over many tasks. A conversation is cut into parts of ``part_turns`` turn
+numbers, and these into pieces of as many rows; turns are hashed within pieces, and only the pieces' totals
+meet in a running window. Rendered text comes per piece, in order, so no row outgrows a piece.
 
-Defined results: turns are ordered by turn, role and text; a repeated row counts once; a null turn
-number comes first, in part -1 with negative ones before it; a null role or text renders as empty but
+Defined results: turns are ordered by turn, role and text, nulls first; a repeated row counts once; null turn
+numbers come first, in a part -1 of their own; a null role or text renders as empty but
 differs from an empty one in comparisons; rows with a null conv_id form one conversation with
 that id; an empty table gives no rows. Further columns are not read. Marker strings inside a
 text are broken with a space so that no text can pose as a turn.
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.common import stored
+
 #: The markers of a rendered turn.
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
@@ -40,21 +43,37 @@ def _hashing(seed: int):
     return lambda x: _turn_hash(x, seed)
 
 
-def conversation_parts(turns: DataFrame, part_turns: int) -> DataFrame:
-    """conv_id, part and the part's distinct turns in order."""
+_ORDER = ("conv_id", "turn", "role", "text")
+
+
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """Distinct turns with seq, which ascends in the order of conv_id, turn, role and text; its upper bits are a partition's."""
+    order = [F.col(c).asc_nulls_first() for c in _ORDER]
+    rows = turns.select(*_ORDER).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumn("seq", F.monotonically_increasing_id()), "turns")
+
+
+def conversation_pieces(rows: DataFrame, part_turns: int) -> DataFrame:
+    """conv_id, part, piece, first_seq and the piece's turns in order, part_turns at most."""
+    rows = rows.withColumns({"part": F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"), "nil": F.col("turn").isNull(), "partition": F.shiftright("seq", 33)})
+    runs = rows.groupBy("conv_id", "nil", "part", "partition").agg(F.min("seq").alias("start"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id", "nil", "part").orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("conv_id").alias("of"), F.col("nil").alias("of_nil"), F.col("part").alias("of_part"), F.col("partition").alias("of_partition"), "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("nil") == F.col("of_nil")) & (F.col("part") == F.col("of_part")) & (F.col("partition") == F.col("of_partition"))
     return (
-        turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part"), F.struct("turn", "role", "text").alias("t"))
-        .groupBy("conv_id", "part")
-        .agg(F.sort_array(F.collect_set("t")).alias("turns"))
+        rows.join(runs, same)
+        .withColumn("piece", F.floor((F.col("seq") - F.col("start") + F.col("before")) / part_turns).cast("long"))
+        .groupBy("conv_id", "nil", "part", "piece")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "turn", "role", "text"))).alias("turns"), F.min("seq").alias("first_seq"))
     )
 
 
-def maximal_conversations(parts: DataFrame) -> DataFrame:
+def maximal_conversations(pieces: DataFrame) -> DataFrame:
     """conv_id and n_copies of conversations that are nobody's proper prefix, one of each content."""
-    hashed = parts.select("conv_id", "part", *[F.transform("turns", _hashing(s)).alias(f"h{s}") for s in (1, 2)])
+    hashed = pieces.select("conv_id", "first_seq", *[F.transform("turns", _hashing(s)).alias(f"h{s}") for s in (1, 2)])
     hashed = hashed.select(
         "conv_id",
-        "part",
+        "first_seq",
         F.size("h1").alias("n"),
         *[_xor_all(F.col(f"h{s}")).alias(f"all{s}") for s in (1, 2)],
         F.transform(
@@ -62,16 +81,17 @@ def maximal_conversations(parts: DataFrame) -> DataFrame:
             lambda i: F.struct(*[_xor_all(F.slice(F.col(f"h{s}"), F.lit(1), i)).alias(f"p{s}") for s in (1, 2)], i.alias("i")),
         ).alias("prefixes"),
     )
-    conversation = Window.partitionBy("conv_id").orderBy("part")
+    conversation = Window.partitionBy("conv_id").orderBy("first_seq")
     before = conversation.rowsBetween(Window.unboundedPreceding, -1)
     rolled = hashed.select(
-        "prefixes",
-        "n",
-        F.lead("part").over(conversation).isNull().alias("ends"),
+        F.col("first_seq").alias("at"),
+        F.lead("first_seq").over(conversation).isNull().alias("ends"),
         *[F.coalesce(F.expr(f"bit_xor(all{s})").over(before), F.lit(0)).alias(f"o{s}") for s in (1, 2)],
     )
     prefixes = (
-        rolled.select("n", "ends", "o1", "o2", F.explode("prefixes").alias("p"))
+        hashed.select("first_seq", "n", "prefixes")
+        .join(rolled, F.col("first_seq") == F.col("at"))
+        .select("n", "ends", "o1", "o2", F.explode("prefixes").alias("p"))
         .where(~(F.col("ends") & (F.col("p.i") == F.col("n"))))
         .select(F.col("o1").bitwiseXOR(F.col("p.p1")).alias("p1"), F.col("o2").bitwiseXOR(F.col("p.p2")).alias("p2"))
         .distinct()
@@ -87,12 +107,13 @@ def render_turn(x: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, part_turns: int = 256) -> DataFrame:
-    """conv_id, part, n_copies (conversations of this content), n_turns and rendered, a row a part."""
-    parts = conversation_parts(turns, part_turns)
-    kept = maximal_conversations(parts).withColumnRenamed("conv_id", "kept_id")
-    return parts.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select(
+    """conv_id, part, piece, n_copies (conversations of this content), n_turns and rendered, a row a piece."""
+    pieces = conversation_pieces(numbered_turns(turns), part_turns)
+    kept = maximal_conversations(pieces).withColumnRenamed("conv_id", "kept_id")
+    return pieces.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select(
         "conv_id",
         "part",
+        "piece",
         "n_copies",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", render_turn), "").alias("rendered"),
@@ -105,9 +126,10 @@ c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY t
 p AS (SELECT DISTINCT turns[1:i] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS i FROM c)),
 u AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns),
 k AS (SELECT u.conv_id, u.n_copies FROM u ANTI JOIN p ON u.turns = p.turns)
-SELECT t.conv_id, CAST(floor(t.turn / 256.0) AS BIGINT) AS part, any_value(k.n_copies) AS n_copies, count(*) AS n_turns,
+SELECT t.conv_id, part, piece, any_value(k.n_copies) AS n_copies, count(*) AS n_turns,
        string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|im_', '< |im_') || chr(10)
          || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-FROM t JOIN k ON t.conv_id = k.conv_id
-GROUP BY t.conv_id, CAST(floor(t.turn / 256.0) AS BIGINT)
+FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // 256 AS piece
+      FROM (SELECT *, CAST(floor(turn / 256.0) AS BIGINT) AS part FROM t)) AS t JOIN k ON t.conv_id = k.conv_id
+GROUP BY t.conv_id, part, piece
 """

@@ -61,24 +61,38 @@ def fingerprint(body: bytes, n: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) for every row."""
+    """doc_id, version (the hash of the text) and fp (the fingerprint's 64 bits as a signed long) for every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(b) for b in batch.column("body").to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fps)], names=["doc_id", "version", "fp"])
 
-    return arrow_map(doc_bytes(docs), run, "doc_id long, fp long")
+    return arrow_map(doc_bytes(docs, F.xxhash64("text").alias("version")), run, "doc_id long, version long, fp long")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each number."""
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class VantageTree:
-    """A complete binary tree of vantage points; leaves are shards."""
+    """A complete binary tree of vantage points; leaves are shards.
+
+    As many levels as the sample can split well have vantage points from it. Below, however deep, a node's point
+    follows from its number, with a radius of 31: half of all fingerprints are nearer.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
-        self.points = np.zeros((1 << depth) - 1, dtype=np.uint64)
-        self.radii = np.full((1 << depth) - 1, 31, dtype=np.int64)
+        self.sampled = min(depth, int(np.log2(max(1, len(sample) / 5))))
+        inner = (1 << self.sampled) - 1
+        self.points = np.zeros(inner, dtype=np.uint64)
+        self.radii = np.full(inner, 31, dtype=np.int64)
         parts = {0: sample}
-        for node in range((1 << depth) - 1):
+        for node in range(inner):
             own = parts.pop(node)
             if len(own):
                 self.points[node] = own[len(own) // 2]
@@ -91,9 +105,9 @@ class VantageTree:
     def route(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers, shards and whether the row is at home there."""
         rows, node, home = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64), np.ones(len(fps), dtype=bool)
-        for _ in range(self.depth):
-            away = np.bitwise_count(fps[rows] ^ self.points[node]).astype(np.int64)
-            mu = self.radii[node]
+        for level in range(self.depth):
+            points, mu = (self.points[node], self.radii[node]) if level < self.sampled else (_mixed(node), 31)
+            away = np.bitwise_count(fps[rows] ^ points).astype(np.int64)
             inside = np.where(home, away <= mu, away <= mu + radius)
             outside = np.where(home, away > mu, away > mu - radius)
             visits = home & (away <= mu) & (away > mu - radius)
@@ -151,8 +165,7 @@ def spanning_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple
 def fingerprint_links(distinct: DataFrame, count: int, radius: int, shard_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
     """u, v: links that connect all fingerprints within the radius. distinct: fp, no repeats."""
     spark = distinct.sparkSession
-    # a node needs a few sampled fingerprints to be split well; deeper splits are left to the shards' own trees
-    depth = max(0, int(np.ceil(np.log2(max(1, min(count / shard_rows, sample_rows / 5))))))
+    depth = max(0, int(np.ceil(np.log2(max(1, count / shard_rows)))))
     share = min(1.0, sample_rows / max(1, count))
     picked = distinct.where((F.xxhash64("fp") / 2.0**64 + 0.5) <= share).orderBy(F.xxhash64("fp")).limit(2 * sample_rows)
     sample = np.array([r[0] for r in picked.collect()], dtype=np.int64).view(np.uint64)
@@ -174,12 +187,17 @@ def fingerprint_links(distinct: DataFrame, count: int, radius: int, shard_rows:
     return routed.groupBy("shard").applyInArrow(search, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id for every row of docs."""
+def placed_components(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, version, fp, label (the smallest fingerprint of its component) and component_id for every row of docs."""
     rows = stored(fingerprints(docs), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     labels = connected_components(fingerprint_links(distinct, distinct.count(), radius))
     placed = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    placed = placed.join(ids, "label").select("fp", "component_id")
-    return rows.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = placed.join(ids, "label").select("fp", "label", "component_id")
+    return rows.join(placed, "fp")
+
+
+def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id for every row of docs."""
+    return placed_components(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

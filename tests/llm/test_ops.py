@@ -64,7 +64,6 @@ def test_token_files(spark, odd_docs, no_docs):
 
     path = Q.tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = sorted(token_files(odd_docs, path).collect(), key=lambda r: r.start)
     want = sorted(((-1 if i is None else i, t) for i, t, _ in rows_of(odd_docs)), key=lambda x: x[0])
     start = 0
@@ -483,3 +482,79 @@ def test_pipeline_stages(spark, sf, odd_docs, no_docs):
         assert stage(spark, no_docs, sf).count() == 0, name
         assert stage(spark, odd_docs, sf).count() >= 0, name
     assert os.path.isdir(sf)
+
+
+def test_chat_hot_turns_are_cut_by_rows(spark):
+    from strandline.llm.chat import format_chats
+
+    rows = [(None, 0, "user", f"{i:05d}") for i in range(3000)] + [(None, None, "user", "first"), (None, -700, "user", "low"), (4, 0, "user", "00000")] + [(9, 0, "user", "same")] * 500
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    hot = sorted((r for r in got if r.conv_id is None and r.part == 0), key=lambda r: r.piece)
+    assert [r.n_turns for r in hot] == [256] * 11 + [184]
+    assert "".join(r.rendered for r in hot) == "".join(f"<|im_start|>user\n{i:05d}<|im_end|>\n" for i in range(3000))
+    assert {(r.conv_id, r.part, r.n_turns) for r in got if r.conv_id is not None or r.part < 0} == {(None, -1, 1), (None, -3, 1), (4, 0, 1), (9, 0, 1)}
+
+
+def test_cosine_hash_brute_force():
+    from strandline.llm.media import cosine_hash
+
+    rng = np.random.default_rng(6)
+    for height in (1, 5, 32, 77):
+        rows = rng.integers(0, 256, (height, 64)).astype(np.uint8)
+        columns = [[(int(r[2 * x]) + int(r[2 * x + 1])) / 2 for x in range(32)] for r in rows]
+        grid = []
+        for band in range(32):
+            lo, hi = band * height // 32, max((band + 1) * height // 32, band * height // 32 + 1)
+            grid.append([sum(columns[y][x] for y in range(lo, hi)) / (hi - lo) for x in range(32)])
+        low = [round(sum(grid[y][x] * np.cos(np.pi / 32 * (y + 0.5) * v) * np.cos(np.pi / 32 * (x + 0.5) * u) for y in range(32) for x in range(32)), 6) for v in range(8) for u in range(8)]
+        middle = sorted(low[1:])[31]
+        assert cosine_hash(rows) == f"{int(''.join('1' if c > middle else '0' for c in low), 2):016x}"
+
+
+def test_sharding_of_equal_rows(spark):
+    from strandline.llm.sharding import shard
+
+    hot = [(None, "the same text, over and over, without an id") for _ in range(3000)]
+    rest = [(i, f"text {i} " * (1 + i % 7)) for i in range(1000)] + [(i, f"pair {i % 150}") for i in range(2000, 2300)]
+    got = shard(spark.createDataFrame(hot + rest, "doc_id long, text string")).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 16
+    assert len(size) == 16 and all(abs(v / mean - 1) < 0.03 for v in size.values())
+    of = {r.doc_id: r.shard for r in got if r.doc_id is not None}
+    assert all(of[2000 + k] == of[2150 + k] for k in range(150))  # equal texts stay together
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_statistics_brute_force():
+    from strandline.llm.quality_model import STATISTICS, statistics
+
+    body = "The cat, the dog!\n\nThe cat, 42 | a@b.c\nThe cat, the dog!\n#1".encode()
+    got = dict(zip(STATISTICS, statistics(body), strict=True))
+    w = body.split()
+    assert got["log_words"] == pytest.approx(np.log(1 + len(w))) and got["word_length"] == pytest.approx(sum(map(len, w)) / len(w))
+    assert got["distinct_words"] == pytest.approx(len(set(w)) / len(w) ** 0.8) and got["common_word"] == pytest.approx(3 / len(w))
+    assert got["capitals"] == pytest.approx(3 / len(body)) and got["pipes"] == pytest.approx(1 / len(body)) and got["digits"] == pytest.approx(3 / len(body))
+    assert got["log_lines"] == pytest.approx(np.log(5)) and got["repeated_lines"] == pytest.approx(1 / 4)
+    pairs = list(zip(w, w[1:], strict=False))
+    assert got["repeated_pairs"] == pytest.approx(1 - len(set(pairs)) / len(pairs))
+    assert statistics(b"")[0] == 0 and len(statistics(b"")) == len(STATISTICS)
+
+
+def test_mixing_of_equal_rows_and_missing_ids(spark):
+    from strandline.llm.mixing import mix, mixing_plan
+
+    rows = [(None, f"{'word ' * (1 + i % 40)}{i}", "a") for i in range(800)] + [(7, "same words here", "b")] * 900 + [(1000 + i, "x " * 30, "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing_plan(df).collect()
+    assert len(plan) == len(rows) and sum(r.doc_id == 7 for r in plan) == 900
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 42 for s, t in target.items())
+    again = mixing_plan(df.repartition(7)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, plan))
+    assert mix(df).count() == sum(r.copies for r in plan)
