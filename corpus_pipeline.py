@@ -16,7 +16,7 @@ from strandline.llm.common import discard, fresh, read_table, stored
 from strandline.llm.mixing import mix
 from strandline.llm.quality_model import THRESHOLD, fit, with_scores
 from strandline.llm.queries import tokenizer_path
-from strandline.llm.simhash import simhash_components
+from strandline.llm.simhash import placed_components
 from strandline.llm.substring import remove_passages, repeated_passages
 from strandline.llm.unigram import encode_documents, load_unigram
 
@@ -33,19 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id.
+    """One document of each SimHash component: the one with the smallest doc_id, and of its texts the least hash.
 
     Rows without a doc_id have no component of their own to stand for and stay; of identical rows
-    with the chosen doc_id one stays.
+    that are chosen one stays.
     """
-    found = simhash_components(docs)
-    key = fresh(docs, "chosen")
-    chosen = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).count(), "chosen")
-    # the small side is hashed: texts need no sort
-    one = docs.where(F.col("doc_id").isNotNull()).join(chosen.select(key).hint("shuffle_hash"), F.col("doc_id") == F.col(key), "left_semi")
-    if not chosen.where("count > 1").isEmpty():
-        version = fresh(docs, "version")
-        one = one.withColumn(version, F.xxhash64("text")).dropDuplicates(["doc_id", version])
+    own = placed_components(docs).where("doc_id = component_id").groupBy("label", "doc_id").agg(F.min("version").alias("version"), F.count(F.lit(1)).alias("n"))
+    chosen = stored(own.select("doc_id", "version", "n"), "chosen")
+    key, version = fresh(docs, "chosen_id"), fresh(docs, "chosen_version")
+    ids = chosen.select(F.col("doc_id").alias(key), F.col("version").alias(version)).hint("shuffle_hash")  # texts need no sort
+    one = docs.where(F.col("doc_id").isNotNull()).join(ids, (F.col("doc_id") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version)), "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        text = fresh(docs, "version")
+        one = one.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text])
     return _same_columns(one, docs).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -33,9 +34,11 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, a laptop) a local folder is set.
+    Only a local session (tests, a laptop) may leave it unset, and gets a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = f"{LOCAL_SCRATCH}/{os.getpid()}"
         atexit.register(shutil.rmtree, root, ignore_errors=True)
