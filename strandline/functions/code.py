@@ -21,7 +21,7 @@ DECISIONS = {
 BRACES = ("javascript", "typescript", "java", "go", "rust")
 INDENT = {"python": 4, "javascript": 2, "typescript": 2, "java": 4, "go": 1, "rust": 4}
 MAX_CYCLOMATIC, MAX_LINES, MAX_NESTING, MAX_PARAMS = 20, 500, 5, 5
-EXTENSIONS = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust"}
+EXTENSIONS = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "sql": "sql", "php": "php", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
 
 
 def language_of(path: Column) -> Column:

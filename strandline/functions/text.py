@@ -47,35 +47,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-#: Regex presets by name: fixed values of the search surface, in the dialect that Java and RE2 share.
+#: The search surface's regex presets, by name.
 PRESETS = {
-    "error_handlers": r"(try|catch|except|finally|rescue)\b",
+    "error_handlers": r"(try|catch|except|rescue)\s*[:\{]",
     "bare_except": r"except\s*:",
-    "broad_catch": r"(except\s+Exception|catch\s*\(\s*Exception)",
-    "todo_comments": r"(TODO|XXX|NOTE):?",
-    "fixme_comments": r"(FIXME|HACK|BUG):?",
-    "deprecated": r"(@deprecated|@Deprecated|DEPRECATED)",
-    "async_functions": r"async\s+(def|function)\b",
-    "decorators": r"@\w+",
-    "static_methods": r"(@staticmethod|\bstatic\s)",
-    "security_keywords": r"(password|secret|token|api_key|credential)",
-    "auth_patterns": r"(auth|login|permission|session)",
-    "config_keys": r"(config|settings|environ)",
-    "magic_numbers": r"\b\d{2,}\b",
-    "urls": r"https?://[^\s\"'<>]+",
-    "print_calls": r"(print|console\.log)\s*\(",
+    "broad_catch": r"catch\s*\(\s*Exception",
+    "empty_catch": r"catch\s*\([^)]+\)\s*\{\s*\}",
+    "TODO_comments": r"(TODO|FIXME|HACK|XXX|NOTE)[:|\s]",
+    "deprecated_markers": r"@deprecated|@Deprecated|DEPRECATED",
+    "security_keywords": r"(password|secret|token|api[_-]?key|private[_-]?key)",
+    "auth_patterns": r"(authenticate|authorize|permission|access[_-]?control)",
+    "deprecated_apis": r"(deprecated\(|@Deprecated|__deprecated__|OBSOLETE)",
+    "async_patterns": r"(async\s+def|await\s+|Promise\.|async\s+function)",
+    "magic_numbers": r"\b\d{3,}\b",
+    "long_lines": r"^.{120,}$",
+    "multiple_returns": r"return\s+.*\n.*return\s+",
+    "config_keys": r"(config\.|env\[|process\.env\.|getenv\()",
+    "hardcoded_urls": r"https?://[^\s\"']+",
 }
+#: Patterns see whole texts: ^ and $ at each \n, and . also for line ends.
+FLAGS = "(?dms)"
 
 
 def preset(pattern: str) -> str:
-    """A pattern, or the preset that '@preset:name' names."""
+    """A pattern, or the preset that '@preset:name' names, with FLAGS and ASCII word boundaries."""
     if not pattern.startswith("@preset:"):
         re.compile(pattern)
-        return ascii_bounds(pattern)
+        return FLAGS + ascii_bounds(pattern)
     name = pattern.removeprefix("@preset:")
     if name not in PRESETS:
         raise ValueError(f"unknown preset {name!r}")
-    return ascii_bounds(PRESETS[name])
+    return FLAGS + ascii_bounds(PRESETS[name])
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -174,13 +176,25 @@ def expanded_full(query: str, synonyms: int = 2, context: int = 3) -> str:
     return expanded(expanded(query, SYNONYMS, synonyms), CODE_CONTEXT, context)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body uses it, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def expanded_column(text: Column, dictionary: dict[str, list[str]], per_term: int) -> Column:
     """The same for a column of queries."""
     table = F.create_map(*[c for k in sorted(dictionary) for c in (F.lit(k), F.array(*[F.lit(t) for t in sorted(dictionary[k])]))])
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
-    words = F.split(F.lower(text), r"\s+")
-    related = F.flatten(F.transform(F.array_distinct(words), lambda w: F.slice(F.array_except(F.coalesce(table[w], F.array().cast("array<string>")), words), 1, per_term)))
-    return F.array_join(F.concat(F.split(text, r"\s+"), F.array_distinct(related)), " ")
+
+    def related(words: Column) -> Column:
+        new = lambda w: F.slice(F.array_except(F.coalesce(table[w], F.array().cast("array<string>")), words), 1, per_term)
+        return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), new)))
+
+    whole = lambda t: F.array_join(F.concat(F.split(t, r"\s+"), _bound(F.split(F.lower(t), r"\s+"), related)), " ")
+    return _bound(F.regexp_replace(text, r"^\s+|\s+$", ""), whole)
+
+
+def expanded_full_column(text: Column, synonyms: int = 2, context: int = 3) -> Column:
+    return expanded_column(expanded_column(text, SYNONYMS, synonyms), CODE_CONTEXT, context)
 
 
 TYPOS = {"fucntion": "function", "retrun": "return", "authentcation": "authentication", "databse": "database", "conifg": "config", "improt": "import"}

@@ -98,3 +98,17 @@ def resolved_imports(imports: DataFrame, files: DataFrame, candidates: Column) -
     tried = imports.select("src", "module", F.posexplode(candidates).alias("place", "file_path"))
     found = tried.join(files.select("file_path").distinct(), "file_path")
     return found.groupBy("src", "module").agg(F.min(F.struct("place", "file_path")).alias("best")).select("src", "module", F.col("best.file_path").alias("dst"))
+
+
+def statistics(edges: DataFrame, k: int = 5) -> DataFrame:
+    """figure, node, n, mean: the number of nodes with the mean degree, then the k nodes of most edges out and in."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outgoing"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("incoming"))
+    both = out.join(into, "node", "full_outer").na.fill(0, ["outgoing", "incoming"])
+    whole = both.agg(F.count(F.lit(1)).alias("n"), F.sum("outgoing").alias("edges"))
+    kind = edges.schema["src"].dataType
+    rows = whole.select(F.lit("all").alias("figure"), F.lit(None).cast(kind).alias("node"), "n", F.round(F.col("edges") / F.col("n"), 6).alias("mean"))
+    for name in ("outgoing", "incoming"):
+        best = both.orderBy(F.col(name).desc(), "node").limit(k)
+        rows = rows.union(best.select(F.lit(name), "node", F.col(name), F.lit(None).cast("double")))
+    return rows

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scores as X
@@ -52,10 +53,24 @@ def relative_date_filter(spark, sf):
     return memories(spark, sf).where(F.col("created_at") >= F.expr(f"timestamp_ntz'{since}'")).select("id")
 
 
-@query("C10 C12 C15", "SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"''<>]+')) AS urls, len(regexp_extract_all(html, '\\b\\d{2,}\\b')) AS numbers FROM pages WHERE regexp_matches(html, '(config|settings|environ)') OR regexp_matches(html, '\\b\\d{2,}\\b')")
+@query("C10 C12", "SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"'']+')) AS urls, len(regexp_extract_all(html, '\\b\\d{3,}\\b')) AS numbers FROM pages WHERE regexp_matches(html, '(?ms)^.{120,}$') OR regexp_matches(html, '\\b\\d{3,}\\b')")
 def regex_count(spark, sf):
-    p = table(spark, sf, "pages").where(T.matches(F.col("html"), "@preset:config_keys") | T.matches(F.col("html"), "@preset:magic_numbers"))
-    return p.select("page_id", T.match_count(F.col("html"), "@preset:urls").cast("long").alias("urls"), T.match_count(F.col("html"), "@preset:magic_numbers").cast("long").alias("numbers"))
+    p = table(spark, sf, "pages").where(T.matches(F.col("html"), "@preset:long_lines") | T.matches(F.col("html"), "@preset:magic_numbers"))
+    return p.select("page_id", T.match_count(F.col("html"), "@preset:hardcoded_urls").cast("long").alias("urls"), T.match_count(F.col("html"), "@preset:magic_numbers").cast("long").alias("numbers"))
+
+
+#: A text for each preset, and one that holds several.
+SNIPPETS = ["try: x", "try:\n  f()\nexcept:\n  pass", "catch (Exception e) {}", "// TODO: later", "@Deprecated", "password = 1", "authorize(user)", "await f()", "n = 12345", "y" * 130, "return 1\nreturn 2\n", "config.port", "see https://x.org/a'", "nothing"]
+_PRESET_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({n!r}, '(?ms){p.replace(chr(39), chr(39) * 2)}')" for n, p in T.PRESETS.items()) + ") AS p(preset, pattern)"
+_SNIPPET_SQL = "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, x.replace("'", "''").replace("\n", "' || chr(10) || '")) for i, x in enumerate(SNIPPETS)) + ") AS s(snippet, body)"
+
+
+@query("C15", f"WITH p AS ({_PRESET_SQL}), s AS ({_SNIPPET_SQL}) SELECT snippet, preset, len(regexp_extract_all(body, pattern)) AS n FROM p, s WHERE regexp_matches(body, pattern)")
+def regex_presets(spark, sf):
+    """Every preset over a few literal texts."""
+    s = spark.createDataFrame(list(enumerate(SNIPPETS)), "snippet int, body string")
+    found = [s.where(T.matches(F.col("body"), f"@preset:{n}")).select("snippet", F.lit(n).alias("preset"), T.match_count(F.col("body"), f"@preset:{n}").cast("long").alias("n")) for n in T.PRESETS]
+    return functools.reduce(DataFrame.union, found)
 
 
 @query("C11", "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"[^\"]*\"'), ' ') AS links FROM pages")

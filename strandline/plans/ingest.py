@@ -13,7 +13,7 @@ from strandline.plans.retrieval import VEC_SQL, _similar
 from strandline.plans.structure import EDGE_SQL, _edges
 from strandline.session import scratch_path
 from strandline.sources import code as K
-from strandline.sources import git_log
+from strandline.sources import git_log, statements
 from strandline.sources.tables import MEM_SQL, memories, table
 
 MEM = f"WITH {MEM_SQL}"
@@ -28,14 +28,14 @@ def _sources(spark, sf):
     return table(spark, sf, "part").select(F.concat(F.lit("src/"), "p_partkey", F.when(even, ".py").otherwise(".go")).alias("path"), F.when(even, py).otherwise(go).alias("content"), F.when(even, "python").otherwise("go").alias("language"))
 
 
-@query("A3 A4 A15 P3 P4", "SELECT 'src/' || p_partkey || '.py' AS path, unnest(['class', 'function']) AS unit_type, unnest([replace(p_name, ' ', '_'), 'size']) AS name, unnest([4, 5])::INTEGER AS start_line, 6::INTEGER AS end_line FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'src/' || p_partkey || '.go', 'function', replace(p_name, ' ', '_'), 5, 7 FROM part WHERE p_partkey % 2 = 1")
+@query("A3 A4 P3 P4", "SELECT 'src/' || p_partkey || '.py' AS path, unnest(['class', 'function']) AS unit_type, unnest([replace(p_name, ' ', '_'), 'size']) AS name, unnest([4, 5])::INTEGER AS start_line, 6::INTEGER AS end_line FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'src/' || p_partkey || '.go', 'function', replace(p_name, ' ', '_'), 5, 7 FROM part WHERE p_partkey % 2 = 1")
 def code_units(spark, sf):
     return K.code_units(_sources(spark, sf)).select("path", "unit_type", "name", "start_line", "end_line")
 
 
-@query("A3 A10", "SELECT 'src/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.go' END AS path, CASE WHEN p_partkey % 2 = 0 THEN 'os' ELSE 'fmt' END AS module, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END::INTEGER AS line, false AS relative FROM part")
+@query("A3", "SELECT 'src/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.go' END AS path, CASE WHEN p_partkey % 2 = 0 THEN 'os' ELSE 'fmt' END AS module, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END::INTEGER AS line, false AS relative FROM part")
 def import_lines(spark, sf):
-    return K.import_details(_sources(spark, sf)).select("path", "module", "line", "relative")
+    return statements.import_details(_sources(spark, sf)).select("path", "module", "line", "relative")
 
 
 @query("P6", "SELECT event_id, 'k' AS name, 1::INTEGER AS start_line FROM events")

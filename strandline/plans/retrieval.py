@@ -208,18 +208,31 @@ def custom_rerank(spark, sf):
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
-@query("J29 J30 J31", "SELECT conv_id, turn, text AS query, text AS expanded FROM conversations WHERE NOT regexp_matches(lower(text), '\\b(auth|bug|config|db|delete|error|fetch|function|test|user|api)\\b') AND turn = 0 AND text = trim(regexp_replace(text, '[\\s]+', ' ', 'g'))")
-def query_expansion(spark, sf):
-    c = table(spark, sf, "conversations").where("turn = 0").where(r"text = trim(regexp_replace(text, '[\\s]+', ' '))").where(~F.lower("text").rlike(r"\b(auth|bug|config|db|delete|error|fetch|function|test|user|api)\b"))
-    return c.select("conv_id", "turn", F.col("text").alias("query"), T.expanded_column(F.col("text"), T.SYNONYMS, 3).alias("expanded"))
+def _expanded_sql(name: str, source: str, text: str, dictionary: dict[str, list[str]], per_term: int) -> str:
+    """CTEs that add a column for T.expanded_column: distinct words in order, related terms that aren't words of the text."""
+    table = "MAP {" + ", ".join(f"'{k}': {sorted(v)!r}" for k, v in sorted(dictionary.items())) + "}"
+    bare = f"regexp_replace({text}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+    words = lambda x: f"string_split_regex({x}, '[ \\t\\n\\x0B\\f\\r]+')"
+    once = lambda x: f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+    return f"""{name}1 AS MATERIALIZED (SELECT *, {words(bare)} AS w, {words(f"lower({bare})")} AS low FROM {source}),
+{name}2 AS MATERIALIZED (SELECT *, list_transform({once("low")}, lambda x: list_filter(coalesce({table}[x], []), lambda t: NOT list_contains(low, t))[1:{per_term}]) AS r FROM {name}1),
+{name}3 AS MATERIALIZED (SELECT *, flatten(r) AS f FROM {name}2),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (w, low, r, f), array_to_string(list_concat(w, {once("f")}), ' ') AS {name}_text FROM {name}3)"""
+
 
+#: What a user types before the words of a turn, so that every row has something to expand.
+PHRASES = ["fix the auth bug", "Fetch USER config", "db error", "delete test user", "api function", "test  api", "auth auth login", ""]
+_TYPED = f"({PHRASES!r})[conv_id % {len(PHRASES)} + 1] || ' ' || text"
 
-@query("J29 J30 J31")
-def query_expansion_all(spark, sf):
-    """Every row of the table, by synonyms, by code context, and by both. No oracle: SQL has no dictionaries."""
+
+@query("J29 J30 J31", f"""WITH c AS (SELECT conv_id, turn, {_TYPED} AS query FROM conversations), {_expanded_sql("syn", "c", "query", T.SYNONYMS, 3)}, {_expanded_sql("ctx", "syn", "query", T.CODE_CONTEXT, 5)},
+{_expanded_sql("two", "ctx", "query", T.SYNONYMS, 2)}, {_expanded_sql("whole", "two", "two_text", T.CODE_CONTEXT, 3)} SELECT conv_id, turn, query, syn_text AS synonyms, ctx_text AS context, whole_text AS expanded FROM whole""")
+def query_expansion(spark, sf):
+    """Every row of the table, by synonyms, by code context, and by both."""
+    typed = F.concat(F.element_at(F.array(*[F.lit(x) for x in PHRASES]), F.col("conv_id").cast("int") % len(PHRASES) + 1), F.lit(" "), "text")
     text = F.col("text")
-    full = T.expanded_column(T.expanded_column(text, T.SYNONYMS, 2), T.CODE_CONTEXT, 3)
-    return table(spark, sf, "conversations").select("conv_id", "turn", text.alias("query"), T.expanded_column(text, T.SYNONYMS, 3).alias("synonyms"), T.expanded_column(text, T.CODE_CONTEXT, 5).alias("context"), full.alias("expanded"))
+    full = T.expanded_full_column(text)
+    return table(spark, sf, "conversations").withColumn("text", typed).select("conv_id", "turn", text.alias("query"), T.expanded_column(text, T.SYNONYMS, 3).alias("synonyms"), T.expanded_column(text, T.CODE_CONTEXT, 5).alias("context"), full.alias("expanded"))
 
 
 @query("J32 H4", "WITH k AS (SELECT conv_id, turn, list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 3)), lambda x: NOT list_contains(['the','and','for','with','that','this','from','are','was','not','you','have','has','had','but','all','can','will','what','how','where','when'], x))) AS t FROM conversations) SELECT conv_id, turn, array_to_string(t, ' ') AS terms, CAST(len(t) AS INTEGER) AS n FROM k")

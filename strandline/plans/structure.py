@@ -262,18 +262,13 @@ def pattern_detect(spark, sf):
     return c.where(F.size("p") > 0).select("conv_id", "turn", F.round(F.col("p")[0]["confidence"], 6).alias("confidence"))
 
 
-@query("K29", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+[A-Z][A-Za-z]*\\b'), lambda x: true)[1:1], ' ') AS first_name, CAST(len(list_distinct(regexp_extract_all(text, '\\b[a-z]+_[a-z_]+\\b'))) AS INTEGER) AS n_snake FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def entities(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    snake = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[a-z]+_[a-z_]+\b"), F.lit(0)))
-    first = F.filter(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+[A-Z][A-Za-z]*\b"), F.lit(0)), lambda x: F.lit(True))
-    return d.select("doc_id", F.array_join(F.slice(first, 1, 1), " ").alias("first_name"), F.size(snake).alias("n_snake"))
+NAMES_SQL = r"list_concat(list_concat(regexp_extract_all(text, '\b[a-z]+_[a-z_]+\b'), regexp_extract_all(text, '\b[A-Z][a-z]+[A-Z][A-Za-z]*\b')), regexp_extract_all(text, '\b[a-z]+\(\)'))"
 
 
-@query("K29")
-def entities_all(spark, sf):
+@query("K29", f"WITH n AS (SELECT doc_id, {NAMES_SQL} AS n FROM documents) SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i)[1:10], ' ') AS entities FROM n")
+def entities(spark, sf):
     """Every document, whatever its characters."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.entities(F.col("text")).alias("entities"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.array_join(X.entities(F.col("text")), " ").alias("entities"))
 
 
 @query("K30 M5", "WITH q AS (SELECT conv_id, list(text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id), s AS (SELECT conv_id, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(error|bug|fix|fail|exception)\\b'))) / len(t) AS d, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(how|what|explain|understand|que)\\b'))) / len(t) AS l, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(add|create|implement|build)\\b'))) / len(t) AS i, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(find|where|show|list|der)\\b'))) / len(t) AS e FROM q) SELECT conv_id, CASE WHEN greatest(d, l, i, e) = 0 THEN 'general' WHEN d = greatest(d, l, i, e) THEN 'debugging' WHEN l = greatest(d, l, i, e) THEN 'learning' WHEN i = greatest(d, l, i, e) THEN 'implementation' ELSE 'exploration' END AS intent, round(greatest(d, l, i, e), 6) AS confidence FROM s")
@@ -299,7 +294,7 @@ def human_time(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.human_time(F.floor(F.col("o_totalprice") / 50)).alias("shown"))
 
 
-@query("K38 A12", "SELECT doc_id, left(CASE WHEN length(regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1)) > 0 THEN regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1) ELSE trim(text) END, 200) AS summary FROM documents")
+@query("K38", "SELECT doc_id, left(CASE WHEN length(regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1)) > 0 THEN regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1) ELSE trim(text) END, 200) AS summary FROM documents")
 def text_summary(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
 
@@ -318,7 +313,7 @@ def unit_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", unit_id(lit("web"), F.col("url"), lit(1), lit("page")).alias("unit_id"), n.cast("long").alias("n"))
 
 
-@query("A10 A11", "WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS module FROM pages) SELECT page_id, array_to_string(list_sort(list_distinct(list(module))), ' ') AS modules, count(*) AS n_imports FROM i GROUP BY page_id")
+@query("A11", "WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS module FROM pages) SELECT page_id, array_to_string(list_sort(list_distinct(list(module))), ' ') AS modules, count(*) AS n_imports FROM i GROUP BY page_id")
 def import_metadata(spark, sf):
     i = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("module"))
     return K.dependency_metadata(i).select(F.col("path").alias("page_id"), F.array_join("modules", " ").alias("modules"), "n_imports")

@@ -21,6 +21,11 @@ _BRACE_UNITS = [
     ("function", re.compile(r"^\s*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+([A-Za-z_]\w*)\s*\(", re.M)),
     ("class", re.compile(r"^\s*(?:export\s+)?(?:pub\s+)?(?:public\s+)?(?:class|struct|interface|enum|trait)\s+([A-Za-z_]\w*)", re.M)),
 ]
+#: A definition of C or C++: a type, a name, parameters and an opening brace; what looks like one but isn't.
+_C_FUNCTION = re.compile(r"^(?!\s*(?:else|return|typedef|#))[A-Za-z_][\w:<>,*&~ \t]*?[\s*&]([A-Za-z_~][\w:~]*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{", re.M)
+_SQL_OBJECT = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(table|view|function|procedure|trigger)\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)", re.M | re.I)
+_RUBY_UNIT = re.compile(r"^([ \t]*)(def|class|module)[ \t]+([\w.:?!=]+)", re.M)
+_YAML_KEY = re.compile(r"^([A-Za-z_][\w .-]*?)[ \t]*:(?=\s|$)", re.M)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -51,8 +56,28 @@ def parse_units(source: str, language: str) -> list[dict]:
         at = {k: next((i + 1 for i, x in enumerate(lines) if re.search(rf"[\"\[]?{re.escape(str(k))}[\"\]]?\s*[:=\]]", x)), 1) for k in keys}
         return [{"unit_type": "config", "name": str(k), "signature": str(k), "start_line": at[k], "end_line": at[k], "content": lines[at[k] - 1]} for k in keys]
     out = []
-    for kind, pattern in _BRACE_UNITS:
+    unit = lambda kind, name, start, end: {"unit_type": kind, "name": name, "signature": lines[start - 1].strip(), "start_line": start, "end_line": end, "content": "\n".join(lines[start - 1 : end])}
+    at_line = lambda at: source.count("\n", 0, at) + 1
+    if language == "yaml":
+        found = [(m[1], at_line(m.start())) for m in _YAML_KEY.finditer(source)]
+        last = max((i for i, x in enumerate(lines, start=1) if x.strip()), default=0)
+        return [unit("config", name, start, (found[i + 1][1] - 1 if i + 1 < len(found) else last)) for i, (name, start) in enumerate(found)]
+    if language == "ruby":
+        for m in _RUBY_UNIT.finditer(source):
+            start = at_line(m.start(2))
+            end = next((i for i in range(start + 1, len(lines) + 1) if re.match(rf"{m[1]}end\b", lines[i - 1])), start)
+            out.append(unit("function" if m[2] == "def" else "class", m[3], start, end))
+        return out
+    if language == "sql":
+        for m in _SQL_OBJECT.finditer(source):
+            stop = source.find(";", m.end())
+            out.append(unit("function" if m[1].lower() in ("function", "procedure", "trigger") else "class", m[2], at_line(m.start(1)), at_line(stop if stop >= 0 else len(source))))
+        return out
+    patterns = [*_BRACE_UNITS[1:], ("function", _C_FUNCTION)] if language in ("c", "cpp") else _BRACE_UNITS
+    for kind, pattern in patterns:
         for m in pattern.finditer(source):
+            if m[1] in ("if", "for", "while", "switch", "catch"):
+                continue
             start = source.count("\n", 0, m.start(1)) + 1
             depth, end, seen = 0, start, False
             for end in range(start, len(lines) + 1):
@@ -74,34 +99,6 @@ def code_units(files: DataFrame) -> DataFrame:
     return files.withColumn("unit", F.explode(units("content", "language"))).select("path", "language", "unit.*")
 
 
-#: Import statements by language: (pattern, group of the module), in the dialect that Java and RE2 share.
-IMPORTS = {
-    "python": [r"(?m)^\s*import\s+([\w.]+)", r"(?m)^\s*from\s+([\w.]+)\s+import\b"],
-    "javascript": [r"(?m)^\s*import\s[^;\n]*?from\s+['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"],
-    "java": [r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"],
-    "go": [r"(?m)^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"", r"(?m)^\s+(?:\w+\s+)?\"([\w./-]+)\"\s*$"],
-    "rust": [r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(?m)^\s*extern\s+crate\s+(\w+)"],
-}
-IMPORTS["typescript"] = IMPORTS["javascript"]
-
-
-def imports(content: Column, language: Column) -> Column:
-    """Modules that a source imports, in order of patterns and places; none for other languages."""
-    none = F.array().cast("array<string>")
-    out = None
-    for name, patterns in IMPORTS.items():
-        found = F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns])
-        out = F.when(language == name, found) if out is None else out.when(language == name, found)
-    return out.otherwise(none)
-
-
-def import_details(files: DataFrame) -> DataFrame:
-    """path, module, line, relative, statement: a row an import line."""
-    lines = files.select("path", "language", F.posexplode(F.split("content", "\n")).alias("at", "statement"))
-    found = lines.withColumn("module", F.explode(imports(F.col("statement"), F.col("language"))))
-    return found.select("path", "module", (F.col("at") + 1).alias("line"), F.col("module").startswith(".").alias("relative"), F.trim("statement").alias("statement"))
-
-
 def dependency_metadata(found: DataFrame) -> DataFrame:
     """path, modules (sorted, distinct), n_imports."""
     return found.groupBy("path").agg(F.sort_array(F.collect_set("module")).alias("modules"), F.count(F.lit(1)).alias("n_imports"))
@@ -114,18 +111,13 @@ def import_candidates(source: Column, module: Column) -> Column:
     return F.array(*[F.concat(base, F.lit(x)) for x in (".py", ".js", ".ts", ".jsx", ".tsx", "/__init__.py", "/index.js", "/index.ts")])
 
 
-def docstrings(content: Column) -> Column:
-    """Python doc strings and block comments of a source, as strings."""
-    return F.transform(F.regexp_extract_all(content, F.lit(r"(?s)\"\"\"(.*?)\"\"\""), F.lit(1)), lambda x: F.trim(x))
-
-
 def linked_docstrings(docs: DataFrame, code: DataFrame) -> DataFrame:
     """doc (path, doc_id, start, end) with the unit it documents, or null.
 
     In Python the first unit that holds the doc's start; elsewhere the first that starts within five
     lines behind its end. Both join on the path and compare lines within it.
     """
-    near = F.when(F.col("language") == "python", (F.col("d.start") > F.col("u.start_line")) & (F.col("d.start") <= F.col("u.end_line"))).otherwise(F.col("u.start_line").between(F.col("d.end"), F.col("d.end") + 5))
+    near = F.when(F.col("d.language") == "python", (F.col("d.start") > F.col("u.start_line")) & (F.col("d.start") <= F.col("u.end_line"))).otherwise(F.col("u.start_line").between(F.col("d.end"), F.col("d.end") + 5))
     both = docs.alias("d").join(code.alias("u"), (F.col("d.path") == F.col("u.path")) & near, "left")
     return both.groupBy("d.path", "d.doc_id").agg(F.min(F.struct("u.start_line", "u.name")).alias("first")).select("path", "doc_id", F.col("first.name").alias("unit"))
 

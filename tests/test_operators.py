@@ -15,6 +15,7 @@ from strandline.operators import metrics as M
 from strandline.operators import search as S
 from strandline.operators.filters import MemoryFilter, parse_date, parse_query, validated_sort
 from strandline.sources import code as K
+from strandline.sources import statements
 
 
 def one(spark, column):
@@ -187,7 +188,7 @@ def test_code_sources(spark, tmp_path):
     files = K.read_files(spark, str(tmp_path))
     units = {(r.name, r.unit_type, r.start_line, r.end_line) for r in K.code_units(files).collect()}
     assert units == {("A", "class", 4, 7), ("f", "function", 6, 7), ("go", "function", 2, 4)}
-    found = {(r.module, r.line, r.relative) for r in K.import_details(files).collect()}
+    found = {(r.module, r.line, r.relative) for r in statements.import_details(files).collect()}
     assert found == {("os", 1, False), (".b", 2, True), ("./q", 1, True)}
     assert K.parse_units("def broken(", "python") == [] and [u["name"] for u in K.parse_units('a = 1\n[b]\nc = 2', "toml")] == ["a", "b"]
     paths = spark.createDataFrame([("src/a.py",), ("build/x.o",), ("a/node_modules/b.js",), ("x.log",)], "p string")
@@ -202,7 +203,7 @@ def test_text(spark):
     assert one(spark, T.spelling_candidates(F.lit("fucntion"), ["function", "junction"], 2))[0] == "function"
     with pytest.raises(ValueError):
         T.preset("@preset:none")
-    assert [(m.line, m.column) for m in one(spark, T.match_lines(F.lit("a\nb TODO\nTODO"), "@preset:todo_comments"))] == [(2, 3), (3, 1)]
+    assert [(m.line, m.column) for m in one(spark, T.match_lines(F.lit("a\nb TODO: x\nTODO y"), "@preset:TODO_comments"))] == [(2, 3), (3, 1)]
 
 
 def test_streams(spark, tmp_path):
