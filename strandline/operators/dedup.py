@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import similarity_band
-from strandline.session import stored
+from strandline.operators.components import connected_components
 
 
 #: Rows of one block; a task compares two blocks.
@@ -79,22 +79,10 @@ def lsh_pairs(rows: DataFrame, threshold: float, planes: int = 8, tables: int =
     return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, cluster (its smallest id) of everything that pairs connect, by star rounds."""
-    edges = stored(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u <> v").distinct(), "cluster-edges")
-    mark = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "cluster-edges")
-        now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("cluster")).union(edges.select("v", "v").distinct())
+def clusters(pairs: DataFrame) -> DataFrame:
+    """id, cluster (its smallest id) of everything that pairs connect."""
+    found = connected_components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return found.select(F.col("node").alias("id"), F.col("label").alias("cluster")).union(found.select("label", "label").distinct())
 
 
 def cluster_figures(members: DataFrame, pairs: DataFrame) -> DataFrame:

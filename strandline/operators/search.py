@@ -59,7 +59,7 @@ def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
-    """term, df, idf of every term: the index that keyword search reads."""
+    """term, df, idf of every term."""
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
     df = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
@@ -110,13 +110,6 @@ def nearest(rows: DataFrame, k: int, block_rows: int = 4000, id_: str = "id", em
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "similarity")
 
 
-def normalized(score: Column, partition: Window | None = None) -> Column:
-    """Min-max over a list: all zero gives 0, all equal otherwise gives 1."""
-    w = partition or Window.partitionBy(F.lit(1))
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi > lo, (score - lo) / (hi - lo)).when(hi != 0, F.lit(1.0)).otherwise(F.lit(0.0))
-
-
 def scaled(df: DataFrame, score: str, to: str) -> DataFrame:
     """Min-max of a whole table by a broadcast row of its bounds: no single-task window."""
     bounds = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.functions.vector import l2_normalized
 from strandline.operators import search as S
+from strandline.operators.keyword_index import index_scores, write_index
 from strandline.plans.registry import query
+from strandline.session import scratch_path
 from strandline.sources.tables import AS_OF, LOG_SQL, MEM_SQL, as_of, memories, query_log, table
 
 QUERY = "the error of token handling"
@@ -51,6 +53,15 @@ def bm25_topk(spark, sf):
     return S.top(_bm25(spark, sf), "bm25", 10).select("id", F.round("bm25", 6).alias("score"))
 
 
+@query("J2 J10 J7", f"{WITH_KW} SELECT id, round(bm25, 6) AS score FROM kw WHERE bm25 > 0 ORDER BY bm25 DESC, id LIMIT 10")
+def keyword_index_topk(spark, sf):
+    """The index is written, written again, and the newest whole version read for the query's terms."""
+    path = scratch_path(spark, "keyword-index")
+    write_index(memories(spark, sf).select("id", "content").limit(5), path)
+    write_index(memories(spark, sf).select("id", "content"), path)
+    return S.top(index_scores(spark, path, QUERY), "bm25", 10).select("id", F.round("bm25", 6).alias("score"))
+
+
 @query("J5", f"{WITH_KW} SELECT id, round(bm25, 6) AS score FROM kw")
 def bm25_all_scores(spark, sf):
     return _bm25(spark, sf).select("id", F.round("bm25", 6).alias("score"))
@@ -66,7 +77,7 @@ def term_stats(spark, sf):
     return S.corpus_stats(memories(spark, sf)).withColumn("avg_doc_len", F.round("avg_doc_len", 6))
 
 
-@query("J2 J3 J10", f"WITH {MEM_SQL}, t AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM mem), n AS (SELECT count(*) AS n FROM mem) SELECT term, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, n")
+@query("J2 J3", f"WITH {MEM_SQL}, t AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM mem), n AS (SELECT count(*) AS n FROM mem) SELECT term, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, n")
 def document_frequency(spark, sf):
     return S.document_frequencies(memories(spark, sf)).withColumn("idf", F.round("idf", 6))
 

@@ -85,23 +85,29 @@ def drained(stream: DataFrame, mode: str, name: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
 
 
-def upserted_usage(log: DataFrame) -> DataFrame:
-    """Usage per session user, upserted by micro-batch: each batch reads a version and writes the next.
+def upserted_usage(log: DataFrame, folder: str | None = None) -> DataFrame:
+    """Usage per session user, upserted by micro-batch: each batch reads the last version before it and writes its own.
 
-    A replayed batch finds its own version written and reads the one before, so it counts once.
+    Versions and the stream's checkpoint stand in a folder. A later call with the same folder resumes there, in a new
+    session, too; a replayed batch writes its own version again from the one before, so it counts once.
     """
     spark = log.sparkSession
-    at = scratch_path(spark, "usage")
-    last: list[int] = []
+    at = folder or scratch_path(spark, "usage")
+
+    def known() -> list[int]:
+        """Versions that were written whole."""
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path(at))] if fs.exists(path(at)) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(path(f"{at}/{n}/_SUCCESS")))
 
     def sink(df: DataFrame, epoch: int) -> None:
         new = usage(df.withColumnRenamed("session_id", "item"), "item", "timestamp", "latency_ms")
-        before = [e for e in last if e < epoch]
-        out = usage_update(spark.read.parquet(f"{at}/v{max(before)}"), new, "item") if before else new
+        before = [e for e in known() if e < epoch]
+        out = usage_update(spark.read.parquet(f"{at}/v{before[-1]}"), new, "item") if before else new
         out.write.mode("overwrite").parquet(f"{at}/v{epoch}")
-        last.append(epoch)
 
     q = log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{at}/v{max(last)}")
+    out = spark.read.parquet(f"{at}/v{known()[-1]}")
     return out.select("item", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_used").cast("timestamp_ntz").alias("last_used"), "use_count", "last_score")

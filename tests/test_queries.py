@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandline.plans import analytics, flows, ingest, retrieval, sources, structure  # noqa: F401
+from strandline.plans import analytics, flows, ingest, retrieval, sources, structure, upkeep  # noqa: F401
 from strandline.plans.registry import REGISTRY
 
 
