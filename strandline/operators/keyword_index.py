@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import query_tokens, tokens
@@ -40,27 +40,58 @@ def write_index(docs: DataFrame, path: str, id_: str = "id", text: str = "conten
     # a row's tokens stand in one task: they are counted there before anything is shuffled
     counted = lists.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     posted = counted.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-    posted.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/postings")
-    lists.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/figures")
+    # a frequent term's bucket may hold many rows: large partitions are split, small ones joined
+    posted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/postings")
+    terms = spark.read.parquet(f"{at}/postings").select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+    sizes = lists.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("long").alias("n_tokens"), F.avg("dl").alias("avg_doc_len"))
+    sizes.crossJoin(F.broadcast(terms)).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/figures")  # one row each
     return version
 
 
+def figures(spark: SparkSession, path: str) -> DataFrame:
+    """n_docs, n_tokens, avg_doc_len, n_terms and buckets of the newest whole version: one row."""
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}/figures")
+
+
+def all_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}/postings")
+
+
+def document_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """term, df and idf of every term."""
+    df = all_postings(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(figures(spark, path).select("n_docs"))).select("term", "df", _idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
 def postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """term, id, tf and dl of some terms: only their buckets and row groups are read."""
-    at = f"{path}/v{versions(spark, path)[-1]}"
-    buckets = spark.read.parquet(f"{at}/figures").first()["buckets"]
+    buckets = figures(spark, path).first()["buckets"]
     mine = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
-    return spark.read.parquet(f"{at}/postings").where(F.col("bucket").isin(mine) & F.col("term").isin(terms)).select("term", "id", "tf", "dl")
+    return all_postings(spark, path).where(F.col("bucket").isin(mine) & F.col("term").isin(terms)).select("term", "id", "tf", "dl")
 
 
-def index_scores(spark: SparkSession, path: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """id and bm25 of the rows that hold a term of the query. A term that the query repeats counts as often."""
-    wanted = Counter(query_tokens(query))
+def index_scores(spark: SparkSession, path: str, query: str, k1: float = K1, b: float = B, ids: DataFrame | None = None, delta: float | None = None) -> DataFrame:
+    """id and bm25 of the rows that hold a term of the query, or of all ids (0 for the others).
+
+    A term that the query repeats counts as often. With delta every query term that the corpus holds adds idf * delta
+    to every id.
+    """
+    wanted = Counter(query_tokens(query)) or Counter({"": 0})
     posts = postings(spark, path, sorted(wanted))
-    figures = spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}/figures").select("n", "avgdl")
-    often = F.create_map(*[F.lit(x) for kv in sorted(wanted.items()) for x in kv]) if wanted else F.lit(None)
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("often", often[F.col("term")] if wanted else F.lit(0))
-    df = df.crossJoin(F.broadcast(figures))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("often") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return posts.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))  # df: a row a term of the query
+    often = F.create_map(*[F.lit(x) for kv in sorted(wanted.items()) for x in kv])
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("often", often[F.col("term")])
+    df = df.crossJoin(F.broadcast(figures(spark, path).select("n_docs", "avg_doc_len")))  # one row
+    df = df.withColumn("idf", _idf(F.col("n_docs"), F.col("df")))
+    part = F.col("often") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_doc_len")))
+    found = posts.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))  # df: a row a term of the query
+    if ids is None:
+        return found
+    every = ids.join(found, "id", "left").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    if delta is None:
+        return every
+    plus = df.agg(F.coalesce(F.sum(F.col("often") * F.col("idf") * delta), F.lit(0.0)).alias("plus"))
+    return every.crossJoin(F.broadcast(plus)).select("id", (F.col("bm25") + F.col("plus")).alias("bm25"))  # one row

@@ -50,21 +50,6 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, delta
     return joined.select(id_, score.alias("bm25"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
-    """n_docs, n_tokens, avg_doc_len and n_terms of a corpus."""
-    lists = spread(docs.select(text)).select(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    sizes = lists.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("t")).cast("long").alias("n_tokens"), F.avg(F.size("t")).alias("avg_doc_len"))
-    terms = lists.select(F.explode("t").alias("term")).distinct().agg(F.count(F.lit(1)).alias("n_terms"))
-    return sizes.crossJoin(F.broadcast(terms))  # one row each
-
-
-def document_frequencies(docs: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
-    """term, df, idf of every term."""
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    df = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-
-
 def top(df: DataFrame, score: str, k: int, id_: str = "id") -> DataFrame:
     """The k best rows; ties go to the smaller id. Each partition keeps k rows before they meet."""
     return df.orderBy(F.col(score).desc(), F.col(id_)).limit(k)

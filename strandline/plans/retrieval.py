@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.functions.vector import l2_normalized
 from strandline.operators import search as S
-from strandline.operators.keyword_index import index_scores, write_index
+from strandline.operators.keyword_index import document_frequencies, figures, index_scores, write_index
 from strandline.plans.registry import query
 from strandline.session import scratch_path
 from strandline.sources.tables import AS_OF, LOG_SQL, MEM_SQL, as_of, memories, query_log, table
@@ -44,8 +44,28 @@ def _similar(spark: SparkSession, sf: str) -> DataFrame:
     return S.vector_scores(_vectors(spark, sf), query_vector(spark, sf)).select("id", "label", "similarity")
 
 
+_INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def keyword_index(spark: SparkSession, sf: str) -> str:
+    """Where the index of the rows' contents stands: written when it is first asked for, and again when the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stamp = " ".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, sf)
+    if _INDEXES.get(key, ("",))[0] != stamp:
+        at = _INDEXES[key][1] if key in _INDEXES else scratch_path(spark, "keyword-index")
+        write_index(_contents(spark, sf), at)
+        _INDEXES[key] = (stamp, at)
+    return _INDEXES[key][1]
+
+
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def _bm25(spark: SparkSession, sf: str, **k) -> DataFrame:
-    return S.bm25_scores(memories(spark, sf).select("id", "content"), QUERY, **k)
+    return index_scores(spark, keyword_index(spark, sf), QUERY, ids=_contents(spark, sf).select("id"), **k)
 
 
 @query("J1 J2 J3 J4 J7 F1", f"{WITH_KW} SELECT id, round(bm25, 6) AS score FROM kw ORDER BY bm25 DESC, id LIMIT 10")
@@ -57,8 +77,8 @@ def bm25_topk(spark, sf):
 def keyword_index_topk(spark, sf):
     """The index is written, written again, and the newest whole version read for the query's terms."""
     path = scratch_path(spark, "keyword-index")
-    write_index(memories(spark, sf).select("id", "content").limit(5), path)
-    write_index(memories(spark, sf).select("id", "content"), path)
+    write_index(_contents(spark, sf).where("id < 5"), path)  # a first state of the corpus
+    write_index(_contents(spark, sf), path)
     return S.top(index_scores(spark, path, QUERY), "bm25", 10).select("id", F.round("bm25", 6).alias("score"))
 
 
@@ -67,6 +87,12 @@ def bm25_all_scores(spark, sf):
     return _bm25(spark, sf).select("id", F.round("bm25", 6).alias("score"))
 
 
+@query("J4 J5", f"{WITH_KW} SELECT id, round(bm25 + plus, 6) AS score FROM kw")
+def bm25_scan(spark, sf):
+    """The same figures by one pass over the texts of rows that no index holds."""
+    return S.bm25_scores(_contents(spark, sf), QUERY, delta=1.0).select("id", F.round("bm25", 6).alias("score"))
+
+
 @query("J6", f"{WITH_KW} SELECT id, round(bm25 + plus, 6) AS score FROM kw ORDER BY bm25 + plus DESC, id LIMIT 10")
 def bm25_plus_topk(spark, sf):
     return S.top(_bm25(spark, sf, delta=1.0), "bm25", 10).select("id", F.round("bm25", 6).alias("score"))
@@ -74,12 +100,12 @@ def bm25_plus_topk(spark, sf):
 
 @query("J8", f"WITH {MEM_SQL}, t AS (SELECT list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t FROM mem) SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_tokens, round(avg(len(t)), 6) AS avg_doc_len, (SELECT count(DISTINCT u) FROM (SELECT unnest(t) AS u FROM t)) AS n_terms FROM t")
 def term_stats(spark, sf):
-    return S.corpus_stats(memories(spark, sf)).withColumn("avg_doc_len", F.round("avg_doc_len", 6))
+    return figures(spark, keyword_index(spark, sf)).select("n_docs", "n_tokens", F.round("avg_doc_len", 6).alias("avg_doc_len"), "n_terms")
 
 
 @query("J2 J3", f"WITH {MEM_SQL}, t AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM mem), n AS (SELECT count(*) AS n FROM mem) SELECT term, count(*) AS df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, n")
 def document_frequency(spark, sf):
-    return S.document_frequencies(memories(spark, sf)).withColumn("idf", F.round("idf", 6))
+    return document_frequencies(spark, keyword_index(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 @query("G3 K1 K2 P2", f"WITH {VEC_SQL} SELECT id, round(similarity, 6) AS similarity FROM vec ORDER BY vec.similarity DESC, id LIMIT 10")

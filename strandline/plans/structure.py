@@ -140,7 +140,9 @@ def canonical_members(spark, sf):
     return D.canonical(D.clusters(_pairs(spark, sf)), rows)
 
 
-@query("I14 Q23")
+@query("I14", f"""WITH RECURSIVE {PAIR_SQL}, o AS (SELECT a, list_sort(list(DISTINCT b)) AS bs, row_number() OVER (ORDER BY a) AS k FROM pairs GROUP BY a),
+r(k, taken, leader, mine) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN list_contains(taken, o.a) THEN taken ELSE list_concat(list_concat(taken, [o.a]), list_filter(bs, lambda x: NOT list_contains(taken, x))) END, o.a,
+ CASE WHEN list_contains(taken, o.a) THEN [] ELSE list_filter(bs, lambda x: NOT list_contains(taken, x)) END FROM r JOIN o ON o.k = r.k + 1) SELECT leader, unnest(mine) AS member FROM r""")
 def greedy_leaders(spark, sf):
     return D.greedy_leaders(_pairs(spark, sf))
 
