@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from strandline.session import discard, scratch_path, scratch_root, stored
 
-__all__ = ["WORD", "arrow_map", "bounded_batches", "discard", "doc_bytes", "fresh", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
+__all__ = ["WORD", "arrow_map", "bounded_batches", "discard", "doc_bytes", "fresh", "joined", "read_table", "scratch_path", "scratch_root", "stored", "text_bytes", "word_count"]
 
 #: A word is a run of anything but the six ASCII white-space characters. bytes.split()
 #: without arguments cuts UTF-8 at exactly these, and no other UTF-8 byte takes their values.
@@ -57,6 +57,18 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, of about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        held.append(batch)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow over bounded batches; fn turns one batch into another (None: nothing)."""
     bounded_batches(df.sparkSession)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import arrow_map, doc_bytes, scratch_path
+from strandline.llm.common import arrow_map, bounded_batches, doc_bytes, joined, scratch_path
 from strandline.llm.word_cache import ColumnarWordCache
 
 FILE_SCHEMA = "seq long, doc_id long, n_tokens long, ids array<int>"
@@ -37,6 +38,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 PLAIN = "^[!-~¡-ÿ]+$"
 WORD_END = "</w>"
 BLOCK = 8192
+JOINED_BYTES = 6 << 20
 
 
 class _Encoder:
@@ -117,20 +119,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "body")
     )
-    def factory():
-        count = 0
+    bounded_batches(docs.sparkSession)
 
-        def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+        for batch in joined(batches, JOINED_BYTES):  # the more words at once, the fewer calls of the library
             flat, counts = _encoder(tokenizer_path).encode(batch.column("body"))
             seq = np.arange(count, count + len(counts), dtype=np.int64)
             count += len(counts)
-            return pa.RecordBatch.from_arrays([pa.array(seq), batch.column("doc_id"), pa.array(counts + 1), _with_end(flat, counts, end_id)], names=["seq", "doc_id", "n_tokens", "ids"])
-
-        return encode
+            yield pa.RecordBatch.from_arrays([pa.array(seq), batch.column("doc_id"), pa.array(counts + 1), _with_end(flat, counts, end_id)], names=["seq", "doc_id", "n_tokens", "ids"])
 
-    # factory() is called on the driver; each task unpickles a function with its own count of 0
-    return arrow_map(ordered.select("doc_id", "body"), factory(), FILE_SCHEMA)
+    return ordered.select("doc_id", "body").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_token_files(
