@@ -75,12 +75,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.lexical import ranked_search
+
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.resampling import importance_resampling
+
+    return importance_resampling(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.vector_links import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_token_files, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding)
+    found = (op1_chat_formatting, op2_token_files, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_mixing, op7_quality_classifier, op8_media_columns, op9_simhash, op10_sharding, op11_lexical_search, op12_importance_resampling, op13_vector_links)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandline.llm import chat, mixing, quality_rules
+    from strandline.llm import chat, lexical, mixing, quality_rules, resampling, vector_links
 
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op12_importance_resampling": resampling.ORACLE_SQL, "op13_vector_links": vector_links.ORACLE_SQL}

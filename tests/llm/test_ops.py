@@ -455,7 +455,7 @@ def test_sharding(spark, odd_docs, no_docs, sf):
 
 
 def test_queries_are_whole():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 14)]
     json.dumps(Q.oracle_sql())
 
 
