@@ -11,11 +11,11 @@ its target by less than its largest document.
 All expected copies of a source are equal, so a prefix sum is a rank times that number. Ranks are
 counted on two levels: within blocks of (source, class of size, first byte of the hash), and over the
 blocks. A source with any share of all rows is thus dealt over hundreds of blocks. Identical rows are counted
-before they are shuffled, and have neighbouring ranks.
+before they are shuffled, and have neighbouring ranks; where they become rows again, they are dealt in pieces of bounded size.
 
 Defined results: a null text has size 0; a null source is a source, the last; a source of only
 empty documents has target 0; repeated rows are documents of their own; an empty table gives no
-rows. Further columns are carried by mix(), unread by mixing_plan().
+rows; a very long text is one row, read by a pattern in the JVM. Further columns are carried by mix(), unread by mixing_plan().
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import fresh, stored, word_count
 
 WEIGHTS = (5, 2, 1)
+#: Identical rows that become rows again at one place.
+PIECE = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -72,7 +74,9 @@ def _with_copies(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, see
     targets = source_targets(blocks.select("source", "size"), weights, max_epochs).withColumnRenamed("source", "t_source")
     blocks = blocks.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("b_source"), F.col("size_class").alias("b_class"), F.col("deal").alias("b_deal"), "before", "source_size", "target")
     same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size_class") == F.col("b_class")) & (F.col("deal") == F.col("b_deal"))
-    ranked = rows.withColumn("in_block", in_block).join(blocks, same).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    pieces = rows.withColumn("in_block", in_block).join(blocks, same).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    dealt = pieces.repartition("h", "doc_id", "piece")
+    ranked = dealt.withColumn("nth", F.explode(F.sequence(F.col("piece") * PIECE + 1, F.least(F.col("n"), (F.col("piece") + 1) * PIECE))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit(""))))
     rank = (F.col("before") + F.col("in_block") + F.col("nth")).cast("double")
@@ -88,26 +92,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     all their columns.
     """
     names = docs.columns
-    source, h, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("source", "h", "nth", "copies", "copy"))
+    source, h, part, nth, copies, copy = (fresh(docs, f"mix_{n}") for n in ("source", "h", "part", "nth", "copies", "copy"))
     keyed = docs.withColumns({source: F.col("source").cast("string"), h: _place_hash(seed)})
-    plan = stored(mixing_plan(docs, weights, max_epochs, seed).select("source", "h", F.col("copies").alias(copies)), "mix-plan")
-    by = [(source, "source"), (h, "h")]
-    if plan.groupBy("source", "h").count().where("count > 1").isEmpty():
-        keyed = keyed.alias("k")
-    else:
-        # rows that agree in both are told apart by their place; else texts need no such sort
-        twins = Window.partitionBy(source, h).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-        keyed = keyed.withColumn(nth, F.row_number().over(twins)).alias("k")
-        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("source", "h").orderBy(copies)))
-        by.append((nth, "nth"))
-    same = F.lit(True)
-    for a, b in by:
-        same = same & F.col(f"k.{a}").eqNullSafe(F.col(f"p.{b}"))
-    taken = keyed.join(plan.where(F.col(copies) > 0).hint("shuffle_hash").alias("p"), same)
+    plan = mixing_plan(docs, weights, max_epochs, seed).groupBy("source", "h", "copies").agg(F.count(F.lit(1)).alias("n"))
+    # rows that agree in both: the first so many have the fewest copies, and so on; a row each of up to max_epochs + 1 numbers
+    up_to = F.sum("n").over(Window.partitionBy("source", "h").orderBy("copies"))
+    plan = stored(plan.select("source", "h", F.col("copies").alias(copies), (up_to - F.col("n")).alias("above"), up_to.alias("up_to")), "mix-plan")
+    same = F.col(f"k.{source}").eqNullSafe(F.col("p.source")) & (F.col(f"k.{h}") == F.col("p.h"))
+    if not plan.where("up_to > 1").isEmpty():
+        keyed = _numbered(keyed, [source, h], names, part, nth)
+        same = same & (F.col(f"k.{nth}") > F.col("p.above")) & (F.col(f"k.{nth}") <= F.col("p.up_to"))
+    taken = keyed.alias("k").join(plan.where(F.col(copies) > 0).hint("shuffle_hash").alias("p"), same)
     # a Generate that repeats the row for each of its copies, of which there are max_epochs at most
     return taken.select(*[F.col(f"k.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).drop(copy)
 
 
+def _numbered(rows: DataFrame, keys: list[str], names: list[str], part: str, nth: str) -> DataFrame:
+    """rows with their number (from 1) among those of equal keys, counted in the parts that read them and then over the parts."""
+    rows = stored(rows.withColumn(part, F.spark_partition_id()), "mix-parts")  # parts stay what they were, whoever reads them
+    counts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = {c: fresh(rows, f"of_{c}") for c in (*keys, part, "before")}
+    counts = counts.select(*[F.col(c).alias(of[c]) for c in (*keys, part)], before.alias(of["before"]))
+    own = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names])))
+    same = F.col(of[part]) == F.col(part)
+    for c in keys:
+        same = same & F.col(of[c]).eqNullSafe(F.col(c))
+    placed = rows.withColumn(nth, own).join(counts, same)
+    return placed.withColumn(nth, F.col(nth) + F.col(of["before"])).drop(*of.values())
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                   md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
