@@ -38,7 +38,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 PLAIN = "^[!-~¡-ÿ]+$"
 WORD_END = "</w>"
 BLOCK = 8192
-JOINED_BYTES = 6 << 20
+JOINED_BYTES = 4 << 20
 
 
 class _Encoder:
@@ -116,7 +116,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     """
     ordered = (
         doc_bytes(docs, F.xxhash64("text").alias("tie"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
+        .withColumn("origin", F.spark_partition_id())  # deals out identical rows, which may stand in any order
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie", "origin")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "body")
     )
     bounded_batches(docs.sparkSession)
