@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import arrow_map, doc_bytes, stored
 from strandline.llm.components import connected_components
+from strandline.llm.unions import Unions
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -141,25 +142,13 @@ def _links(home: np.ndarray, seek: np.ndarray, radius: int, link, leaf: int = 10
             _links(home[i : i + leaf], seek, radius, link, leaf)
 
 
-def spanning_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+def spanning_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of all pairs within the radius, of home with home and visitors."""
-    above: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := above.get(x, x)) != x:
-            above[x] = above.get(y, y)
-            x = y
-        return x
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        differ = a != b
-        for x, y in zip(a[differ].tolist(), b[differ].tolist(), strict=True):
-            if (p := root(x)) != (q := root(y)):
-                above[max(p, q)] = min(p, q)
-
-    _links(home, np.concatenate([home, visitors]), radius, link)
-    found = [x for x in above if root(x) != x]
-    return found, [root(x) for x in found]
+    every = np.unique(np.concatenate([home, visitors]))
+    parts = Unions(len(every))
+    _links(home, np.concatenate([home, visitors]), radius, lambda a, b: parts.link(np.searchsorted(every, a), np.searchsorted(every, b)))
+    linked = np.flatnonzero(parts.label != np.arange(len(every)))
+    return every[linked], every[parts.label[linked]]
 
 
 def fingerprint_links(distinct: DataFrame, count: int, radius: int, shard_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
@@ -180,7 +169,7 @@ def fingerprint_links(distinct: DataFrame, count: int, radius: int, shard_rows:
         fps = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy(zero_copy_only=False)
         a, b = spanning_links(np.sort(fps[home]), fps[~home], radius)
-        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+        signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
         return pa.table({"u": signed(a), "v": signed(b)})
 
     routed = arrow_map(distinct.select("fp"), route, "shard long, home boolean, fp long")
