@@ -7,8 +7,10 @@ block's share at most. These entries are exchanged by hash in compact arrays; wh
 entries of other blocks, each of its blocks is told its first place of all. Inside a block the rest is
 arithmetic on arrays.
 
-The seeds of all places are exchanged, in as many turns by hash as keep a task's share near
-SEEDS_A_TASK. Longer seeds are tried only where all short seeds inside them are shared, by several first holders.
+The seeds of all places are exchanged. Their hashes are dealt into slots, whose number is in proportion to the words of the
+corpus: a task gets as many slots as its share asks for, sorted, and holds one of them at a time. There are TURNS passes over
+the corpus, each with its part of the slots, at every size: they halve the disk that the exchange takes. Longer seeds are tried only
+where all short seeds inside them are shared, by several first holders; these keep all 64 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from strandline.llm.common import bounded_batches, doc_bytes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK_WORDS, BLOCK_DOCS = 1 << 18, 1 << 16
-SEEDS_A_TASK = 1 << 21
+SEEDS_A_SLOT = 1 << 21
+TURNS = 2
+#: Stands for the length of long seeds; their lengths are part of their hashes.
+LONG = 0
 BLOCK_SCHEMA = "block long, words long, doc_ids array<long>, versions array<long>, lengths array<int>, codes binary"
-ENTRY_SCHEMA, ENTRY_ARROW = "bucket int, block long, data binary", pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+ENTRY_SCHEMA, ENTRY_ARROW = "slot int, block long, data binary", pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 REPLY_SCHEMA, REPLY_ARROW = "block long, k int, slot long, data binary", pa.schema([("block", pa.int64()), ("k", pa.int32()), ("slot", pa.int64()), ("data", pa.binary())])
 #: Marks an entry of a seed that several documents of the block hold.
 SEVERAL = np.uint32(1 << 31)
@@ -83,18 +88,33 @@ class Block:
         return at[at + k <= (self.starts + self.lengths)[self.doc[at]]]
 
 
+def slot_count(words: int, parts: int) -> int:
+    """Slots for the seeds of so many words: of bounded size each, and some for each task and turn."""
+    return TURNS * max(parts, -(-words // (TURNS * SEEDS_A_SLOT)))
+
+
+def slots_of(h: np.ndarray, slots: int) -> np.ndarray:
+    """Slots ascend with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+
+
+def key_type(k: int) -> str:
+    """What an entry holds of a hash: all of it, or the low half, beside its slot."""
+    return "<u8" if k == LONG else "<u4"
+
+
 class Seeds:
-    """The seeds of some places of a block, grouped. slots: among how many slots hashes are dealt."""
+    """The seeds of some places of a block, grouped. slots: among how many slots hashes are dealt; whole: keys are whole hashes."""
 
-    def __init__(self, block: Block, at: np.ndarray, k: int, slots: int, turn: tuple[int, int] | None = None):
+    def __init__(self, block: Block, at: np.ndarray, k: int, slots: int, turn: tuple[int, int] | None = None, whole: bool = False):
         h = seed_hashes(block.codes, at, k)
-        slot = ((h >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
-        key = (slot << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        slot = slots_of(h, slots)
+        key = h if whole else (slot << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         if turn:
             now = (slot >= turn[0]) & (slot < turn[1])
             at, key = at[now], key[now]
-        self.block, self.k, self.at = block, k, at
-        self.order = stable_order(key, 32 + slots.bit_length())
+        self.block, self.k, self.at, self.slots, self.whole = block, k, at, slots, whole
+        self.order = stable_order(key, 64 if whole else 32 + slots.bit_length())
         key = key[self.order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
@@ -107,13 +127,14 @@ class Seeds:
         self.several = self.first_doc != doc[self.group + self.size - 1]
         self.first_pos = at[self.order[self.group]] - block.starts[self.first_doc]
 
-    def entries(self, first_slot: int) -> list[tuple[int, int, bytes]]:
-        """bucket, block and data: the block's distinct seeds by bucket."""
-        slot = (self.key >> np.uint64(32)).astype(np.int64)
+    def entries(self) -> list[tuple[int, int, bytes]]:
+        """slot, block and data: the block's distinct seeds by slot."""
+        slot = (slots_of(self.key, self.slots) if self.whole else self.key >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else []
-        low, doc = (self.key & np.uint64(0xFFFFFFFF)).astype("<u4"), self.first_doc.astype("<u2")
+        low = self.key.astype("<u8") if self.whole else (self.key & np.uint64(0xFFFFFFFF)).astype("<u4")
+        doc = self.first_doc.astype("<u2")
         pos = self.first_pos.astype("<u4") | np.where(self.several, SEVERAL, np.uint32(0))
-        return [(int(slot[a]) - first_slot, self.block.number, low[a:b].tobytes() + doc[a:b].tobytes() + pos[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [(int(slot[a]), self.block.number, low[a:b].tobytes() + doc[a:b].tobytes() + pos[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def resolved(self, key: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each of the places: the row and place of the seed's first holder, and whether several documents hold it.
@@ -179,52 +200,61 @@ def entry_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     return _batches(rows, ENTRY_ARROW)
 
 
-def short_entries(blocks_: DataFrame, k: int, parts: int, turns: int, turn: int) -> DataFrame:
-    """The entries of one turn: seeds at all places, by bucket."""
+def short_entries(blocks_: DataFrame, k: int, slots: int, turn: int) -> DataFrame:
+    """The entries of one turn: seeds at all places, by slot."""
+    first, end = (slots * t // TURNS for t in (turn, turn + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                yield from entry_rows(Seeds(block, block.places(k), k, parts * turns, (turn * parts, (turn + 1) * parts)).entries(turn * parts))
+                yield from entry_rows(Seeds(block, block.places(k), k, slots, (first, end)).entries())
 
     return blocks_.mapInArrow(run, ENTRY_SCHEMA)
 
 
-def first_holders(entries: DataFrame, k: int, parts: int, first_slot: int = 0) -> DataFrame:
-    """What each block is told: low hash bits, row and place of the first holder of seeds that other blocks have, too."""
-    dealt = entries.repartitionById(parts, "bucket")
+def first_holders(entries: DataFrame, k: int, parts: int) -> DataFrame:
+    """What each block is told: key, row and place of the first holder of seeds that other blocks have, too.
+
+    A task gets its slots one behind the other and holds one at a time.
+    """
+    dealt = entries.repartitionById(parts, F.pmod("slot", F.lit(parts))).sortWithinPartitions("slot")
+    key, size = key_type(k), np.dtype(key_type(k)).itemsize
 
-    def met(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
+    def met(slot: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
         rows.sort()
-        n = [len(data) // 10 for _, data in rows]
-        low = np.concatenate([np.frombuffer(data, "<u4", m) for (_, data), m in zip(rows, n, strict=True)])
-        doc = np.concatenate([np.frombuffer(data, "<u2", m, 4 * m) for (_, data), m in zip(rows, n, strict=True)])
-        pos = np.concatenate([np.frombuffer(data, "<u4", m, 6 * m) for (_, data), m in zip(rows, n, strict=True)])
+        n = [len(data) // (size + 6) for _, data in rows]
+        low = np.concatenate([np.frombuffer(data, key, m) for (_, data), m in zip(rows, n, strict=True)])
+        doc = np.concatenate([np.frombuffer(data, "<u2", m, size * m) for (_, data), m in zip(rows, n, strict=True)])
+        pos = np.concatenate([np.frombuffer(data, "<u4", m, (size + 2) * m) for (_, data), m in zip(rows, n, strict=True)])
         of = np.repeat(np.arange(len(rows)), n)
-        order = stable_order(low, 32)
+        order = stable_order(low, 8 * size)
         low_in_order = low[order]
         new = np.ones(len(low), dtype=bool)
         new[1:] = low_in_order[1:] != low_in_order[:-1]
         group = np.flatnonzero(new)
-        size = np.diff(np.append(group, len(low)))
-        first = np.repeat(order[group], size)
-        told = np.repeat(size > 1, size)
+        sizes = np.diff(np.append(group, len(low)))
+        first = np.repeat(order[group], sizes)
+        told = np.repeat(sizes > 1, sizes)
         at, first = order[told], first[told]
         numbers = np.array([b for b, _ in rows], dtype=np.int64)
         row, place = numbers[of[first]] * BLOCK_DOCS + doc[first], pos[first] & ~SEVERAL
         to = np.lexsort((place, row, of[at]))  # equal rows side by side: files and shuffles compress them
         at, row, place = at[to], row[to], place[to]
         edges = np.flatnonzero(np.concatenate([[True], of[at][1:] != of[at][:-1], [True]])) if len(at) else []
-        return [(int(numbers[of[at[a]]]), k, first_slot + bucket, low[at[a:b]].tobytes() + row[a:b].astype("<i8").tobytes() + place[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [(int(numbers[of[at[a]]]), k, slot, low[at[a:b]].tobytes() + row[a:b].astype("<i8").tobytes() + place[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        now, held = -1, []
         for batch in batches:
-            for bucket, block, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "data")), strict=True):
-                held.setdefault(bucket, []).append((block, data))
-        for bucket in list(held):
-            yield from _batches(met(bucket, held.pop(bucket)), REPLY_ARROW)
+            for slot, block, data in zip(*(batch.column(c).to_pylist() for c in ("slot", "block", "data")), strict=True):
+                if slot != now and held:
+                    yield from _batches(met(now, held), REPLY_ARROW)
+                    held = []
+                now = slot
+                held.append((block, data))
+        if held:
+            yield from _batches(met(now, held), REPLY_ARROW)
 
     return dealt.mapInArrow(run, REPLY_SCHEMA)
 
@@ -234,10 +264,11 @@ def told(replies: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     rows = [(slot, data) for kk, slot, data in zip(*(replies.column(c).to_pylist() for c in ("k", "slot", "data")), strict=True) if kk == k]
     if not rows:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    n = [len(data) // 16 for _, data in rows]
-    key = np.concatenate([np.frombuffer(d, "<u4", m).astype(np.uint64) | np.uint64(s << 32) for (s, d), m in zip(rows, n, strict=True)])
-    row = np.concatenate([np.frombuffer(d, "<i8", m, 4 * m) for (_, d), m in zip(rows, n, strict=True)])
-    pos = np.concatenate([np.frombuffer(d, "<u4", m, 12 * m) for (_, d), m in zip(rows, n, strict=True)]).astype(np.int64)
+    kind, size = key_type(k), np.dtype(key_type(k)).itemsize
+    n = [len(data) // (size + 12) for _, data in rows]
+    key = np.concatenate([np.frombuffer(d, kind, m).astype(np.uint64) | np.uint64(0 if k == LONG else s << 32) for (s, d), m in zip(rows, n, strict=True)])
+    row = np.concatenate([np.frombuffer(d, "<i8", m, size * m) for (_, d), m in zip(rows, n, strict=True)])
+    pos = np.concatenate([np.frombuffer(d, "<u4", m, (size + 8) * m) for (_, d), m in zip(rows, n, strict=True)]).astype(np.int64)
     order = np.argsort(key, kind="stable")
     return key[order], row[order], pos[order]
 

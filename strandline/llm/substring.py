@@ -38,12 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from strandline.llm.common import WORD, arrow_map, bounded_batches, discard, fresh, stored, text_bytes
-from strandline.llm.shared_seeds import BLOCK_DOCS, ENTRY_ARROW, ENTRY_SCHEMA, SEEDS_A_TASK, Block, Seeds, blocks, entry_rows, first_holders, scattered, short_entries, told
+from strandline.llm.shared_seeds import BLOCK_DOCS, ENTRY_ARROW, ENTRY_SCHEMA, LONG, TURNS, Block, Seeds, blocks, entry_rows, first_holders, scattered, short_entries, slot_count, told
 
 #: Words of a short seed, and of a longer one besides min_words.
 K, LONGER = 4, 10
-#: Marks what a block is told of long seeds; their lengths are part of their hashes.
-LONG = 0
 #: Words between neighbouring anchors of one chain, and of a hole inside one passage, at most.
 MAX_GAP, MAX_HOLE = 48, 10
 #: Places from one seed of an anchor to the next, at most: further ones could step over an insertion and a deletion.
@@ -259,7 +257,7 @@ def _short_links(block: Block, replies: pa.Table, slots: int) -> tuple[np.ndarra
     return seeds.at, *seeds.resolved(*told(replies, K))
 
 
-def long_entries(blocks_: DataFrame, replies: DataFrame, slots: int, parts: int, lengths: list[int]) -> DataFrame:
+def long_entries(blocks_: DataFrame, replies: DataFrame, slots: int, lengths: list[int]) -> DataFrame:
     """The entries of longer seeds, at places all of whose short seeds are shared, by several first holders."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -268,20 +266,20 @@ def long_entries(blocks_: DataFrame, replies: DataFrame, slots: int, parts: int,
             block = Block(row)
             short = _short_links(block, right, slots)
             for k in lengths:
-                rows += Seeds(block, scattered(block, *short, K, k), k, parts).entries(0)
+                rows += Seeds(block, scattered(block, *short, K, k), k, slots, whole=True).entries()
         return pa.Table.from_batches(entry_rows(rows), schema=ENTRY_ARROW)
 
     return blocks_.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, ENTRY_SCHEMA)
 
 
-def chains(blocks_: DataFrame, replies: DataFrame, slots: int, parts: int, lengths: list[int], least: list[tuple[int, int]]) -> DataFrame:
+def chains(blocks_: DataFrame, replies: DataFrame, slots: int, lengths: list[int], least: list[tuple[int, int]]) -> DataFrame:
     """Pieces of chains, with the words they span in their own document. A group is one block and what it was told."""
 
     def linked(block: Block, right: pa.Table) -> tuple[np.ndarray, ...]:
         at, row, pos, shared = short = _short_links(block, right, slots)
         found = [(at, row, pos, np.full(len(at), K), shared)]
         for k in lengths:
-            seeds = Seeds(block, scattered(block, *short, K, k), k, parts)
+            seeds = Seeds(block, scattered(block, *short, K, k), k, slots, whole=True)
             found.append((seeds.at, *seeds.resolved(*told(right, LONG))[:2], np.full(len(seeds.at), k), np.ones(len(seeds.at), dtype=bool)))
         at, row, pos, size, shared = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = shared & (row != block.first_row + block.doc[at])
@@ -348,7 +346,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         return []
     if len(a) == len(b):
         same = np.flatnonzero(a == b)
-        if 2 * len(same) >= len(a):
+        if len(same) >= len(a) - 1:  # no subsequence of two different arrays is longer
             return [(i, i) for i in same.tolist()]
     at: dict[int, int] = {}
     for j, word in enumerate(b.tolist()):
@@ -618,16 +616,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     bounded_batches(spark)
     held = stored(blocks(docs.select("doc_id", "text"), min_words), "blocks")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    turns = max(1, -(-int(held.agg(F.sum("words")).first()[0] or 0) // (parts * SEEDS_A_TASK)))
-    replies = []
-    for turn in range(turns):
-        replies.append(stored(first_holders(short_entries(held, K, parts, turns, turn), K, parts, turn * parts), "replies"))
+    slots = slot_count(int(held.agg(F.sum("words")).first()[0] or 0), parts)
+    replies = [stored(first_holders(short_entries(held, K, slots, turn), K, parts), "replies") for turn in range(TURNS)]
     short = replies[0]
     for more in replies[1:]:
         short = short.union(more)
     lengths = long_lengths(min_words)
-    replies.append(stored(first_holders(long_entries(held, short, parts * turns, parts, lengths), LONG, parts), "replies"))
-    pieces = stored(chains(held, short.union(replies[-1]), parts * turns, parts, lengths, least_shared(min_words, min_identity)), "chains")
+    replies.append(stored(first_holders(long_entries(held, short, slots, lengths), LONG, parts), "replies"))
+    pieces = stored(chains(held, short.union(replies[-1]), slots, lengths, least_shared(min_words, min_identity)), "chains")
     for x in replies:
         discard(x)
     runs = joined_runs(aligned_pieces(held, pieces, min_words, min_identity), min_words, min_identity)
