@@ -33,14 +33,8 @@ def index_plan(diff: DataFrame, new: DataFrame, full_above: float = 0.7) -> Data
     return per.crossJoin(F.broadcast(n)).withColumn("full_reindex", (F.col("to_add") + F.col("to_update") + F.col("to_delete")) > full_above * F.col("_n")).drop("_n")
 
 
-@F.pandas_udf(DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts by matching blocks, from 0 to 1."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
 def text_ratio_above(least: float):
-    """The same where it is at least so much, and 0 elsewhere: upper bounds spare most comparisons."""
+    """Similarity of two texts by matching blocks, from 0 to 1, where it is at least so much, and 0 elsewhere: upper bounds spare most comparisons."""
 
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -55,16 +49,38 @@ def text_ratio_above(least: float):
     return ratio
 
 
+#: Characters of a shingle, and how many shingles of a deleted file look for partners.
+SHINGLE, RAREST = 5, 48
+
+
+def shingles(content: Column, n: int = SHINGLE) -> Column:
+    """Distinct hashes of all runs of n characters; a shorter text is one run."""
+    last = F.greatest(F.length(content) - n + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(content, i, F.lit(n)))))
+
+
+def rename_candidates(deleted: DataFrame, added: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """old_path, new_path: pairs that share one of a deleted file's rarest shingles, of those that added files hold at all.
+
+    Rare is what few pairs share: the number of deleted files with a shingle times that of added ones. Frequent shingles
+    are asked for only by files that hold no others.
+    """
+    a = deleted.select(F.col("path").alias("old_path"), F.explode(shingles(F.coalesce("content", F.lit("")))).alias("s"))
+    b = added.select(F.col("path").alias("new_path"), F.explode(shingles(F.coalesce("content", F.lit("")))).alias("s"))
+    held = b.groupBy("s").agg(F.count(F.lit(1)).alias("n_new")).join(a.groupBy("s").agg(F.count(F.lit(1)).alias("n_old")), "s")
+    place = F.row_number().over(Window.partitionBy("old_path").orderBy(F.col("n_new") * F.col("n_old"), "s"))
+    asked = a.join(held, "s").withColumn("place", place).where(F.col("place") <= rarest).select("old_path", "s")
+    return asked.join(b, "s").select("old_path", "new_path").distinct()
+
+
 def renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.8) -> DataFrame:
     """old_path, new_path, similarity: the best added file for each deleted one.
 
-    Sizes must be within a factor of two. Files meet by classes of size (powers of two, and the
-    neighbours'), not all with all.
+    Sizes must be within a factor of two. Only files that share a rare shingle are compared. An empty file has no partner but empty ones.
     """
-    klass = lambda c: F.floor(F.log2(F.length(c) + 1)).cast("int")
-    a = deleted.select(F.col("path").alias("old_path"), F.col("content").alias("old"), F.explode(F.array(klass("content") - 1, klass("content"), klass("content") + 1)).alias("size_class"))
-    b = added.select(F.col("path").alias("new_path"), F.col("content").alias("new"), klass("content").alias("size_class"))
-    pairs = a.join(b, "size_class").where((F.least(F.length("old"), F.length("new")) / F.greatest(F.length("old"), F.length("new"), F.lit(1))) >= 0.5)
+    pairs = rename_candidates(deleted, added)
+    pairs = pairs.join(deleted.select(F.col("path").alias("old_path"), F.col("content").alias("old")), "old_path").join(added.select(F.col("path").alias("new_path"), F.col("content").alias("new")), "new_path")
+    pairs = pairs.where((F.least(F.length("old"), F.length("new")) / F.greatest(F.length("old"), F.length("new"), F.lit(1))) >= 0.5)
     scored = pairs.withColumn("similarity", text_ratio_above(threshold)("old", "new")).where(F.col("similarity") >= threshold)
     place = F.row_number().over(Window.partitionBy("old_path").orderBy(F.col("similarity").desc(), "new_path"))
     return scored.withColumn("place", place).where("place = 1").select("old_path", "new_path", "similarity")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import similarity_band
 from strandline.operators.components import connected_components
+from strandline.session import discard, stored
 
 
 #: Rows of one block; a task compares two blocks.
@@ -101,28 +102,28 @@ def canonical(members: DataFrame, rows: DataFrame) -> DataFrame:
     return members.join(rows, "id").groupBy("cluster").agg(best.alias("b")).select("cluster", F.col("b.id").alias("canonical"))
 
 
-def greedy_leaders(pairs: DataFrame, group: Column | None = None) -> DataFrame:
+def greedy_leaders(pairs: DataFrame) -> DataFrame:
     """leader, member: in id order, a row that follows no leader leads all later rows similar to it.
 
-    The order makes this sequential within a connected component, so each component is one group.
+    Leaders are the lexicographically first maximal independent set. In a round every row that has only later neighbours left
+    leads, and its neighbours are taken; both leave with their pairs. Rounds are as many as the longest chain of decisions. A member's leader is
+    the first of its neighbours that lead, which is known when all are decided.
     """
-    members = clusters(pairs)
-    own = pairs.join(members, pairs["a"] == members["id"]).select("cluster", "a", "b")
-
-    def lead(p: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, list[int]] = {}
-        for a, b in zip(p["a"], p["b"], strict=True):
-            after.setdefault(a, []).append(b)
-        taken, out = set(), []
-        for a in sorted(after):
-            if a in taken:
-                continue
-            mine = [b for b in sorted(set(after[a])) if b not in taken]
-            taken.update([a, *mine])
-            out += [(a, b) for b in mine]
-        return pd.DataFrame(out, columns=["leader", "member"])
-
-    return own.groupBy("cluster").applyInPandas(lead, "leader long, member long")
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    left, taken = pairs, []
+    while not left.isEmpty():
+        first = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti")
+        taken.append(stored(left.join(first, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct(), "taken"))
+        gone = taken[-1].union(first)
+        rest = left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        before, left = left, stored(rest.select("a", "b"), "pairs")
+        if before is not pairs:
+            discard(before)
+    follow = pairs.select(F.col("b").alias("a")).where("false")
+    for x in taken:
+        follow = follow.union(x)
+    led = pairs.join(follow, "a", "left_anti")
+    return led.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader")).select("leader", "member")
 
 
 def duplication_score(pairs: DataFrame, ids: DataFrame, least: float = 0.75) -> DataFrame:

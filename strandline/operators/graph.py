@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strandline.session import stored
+from strandline.session import discard, scratch_path, stored
 
 
 def dependencies(edges: DataFrame, node) -> DataFrame:
@@ -23,51 +24,111 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
     """node, depth (the least) of what a start reaches in up to depth steps, without the start.
 
-    start: node. Each round joins the last ring with the edges and drops what is known; a ring is
-    written before the next, so the plan doesn't grow and lost executors cost one round.
+    start: node. Edges are written once. All rings stand in one table, a folder for each depth: a round joins the last ring
+    with the edges, drops what the table holds and adds its own folder, so the plan doesn't grow and lost executors cost one round.
     """
-    known = start.select("node", F.lit(0).alias("depth"))
-    ring = known
+    spark = edges.sparkSession
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    at = scratch_path(spark, "visited")
+    start.select("node").distinct().write.parquet(f"{at}/depth=0")
+    node = start.select("node").schema
     for d in range(1, depth + 1):
+        ring = spark.read.schema(node).parquet(f"{at}/depth={d - 1}")
         step = ring.join(edges, ring["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        ring = stored(step.join(known.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")), "ring")
-        if ring.isEmpty():
+        known = spark.read.schema(node).parquet(*[f"{at}/depth={i}" for i in range(d)])
+        step.join(known, "node", "left_anti").write.parquet(f"{at}/depth={d}")
+        if spark.read.schema(node).parquet(f"{at}/depth={d}").isEmpty():
             break
-        known = known.unionByName(ring)
-    return known.where("depth > 0")
+    return spark.read.schema(StructType([*node.fields, StructField("depth", IntegerType())])).option("basePath", at).parquet(at).where("depth > 0")
 
 
 def shortest_path(edges: DataFrame, source, target, depth: int = 10) -> DataFrame:
     """One row with path (array) and hops, the least one in node order; no row if there is none.
 
-    A node keeps only its best path, so rows stay within the number of nodes.
+    A node keeps only its best path, so rows stay within the number of nodes. Edges are written once, paths in one table with a
+    folder for each length.
     """
     spark = edges.sparkSession
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
     kind = edges.schema["src"].dataType
     best = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path"))
-    ring = best
-    for _ in range(depth):
-        if not ring.where(F.col("node") == target).isEmpty():
+    schema, at = best.schema, scratch_path(spark, "paths")
+    best.write.parquet(f"{at}/0")
+    for d in range(depth + 1):
+        ring = spark.read.schema(schema).parquet(f"{at}/{d}")
+        if d == depth or ring.isEmpty() or not ring.where(F.col("node") == target).isEmpty():
             break
         step = ring.join(edges, ring["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("node").agg(F.min("path").alias("path"))
-        ring = stored(step.join(best.select("node"), "node", "left_anti"), "paths")
-        if ring.isEmpty():
-            break
-        best = best.unionByName(ring)
-    return best.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
+        known = spark.read.schema(schema).parquet(*[f"{at}/{i}" for i in range(d + 1)])
+        step.groupBy("node").agg(F.min("path").alias("path")).join(known.select("node"), "node", "left_anti").write.parquet(f"{at}/{d + 1}")
+    return ring.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
+
+
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and label: the least node that reaches it, itself included. Only labels that changed are sent on."""
+    labels = stored(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
+    while not (moved := labels.where("moved")).isEmpty():
+        sent = moved.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+        now = labels.join(sent, "node", "left")
+        before, labels = labels, stored(now.select("node", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("moved")), "labels")
+        discard(before)
+    return labels.select("node", "label")
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """node, component (its smallest node): nodes that reach each other, by forward and backward colouring.
+
+    A round drops nodes without an edge in or out, which are alone; colours each other node with the least one that reaches
+    it; and goes back from the nodes that kept their own colour within that colour: what it meets is one component. Its
+    nodes leave with their edges. What a round leaves is written, and rounds end when no edge is left.
+    """
+    live = stored(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    found: list[DataFrame] = []
+    while not live.isEmpty():
+        for _ in range(trims):
+            both = live.select(F.col("src").alias("node")).intersect(live.select("dst"))
+            kept = live.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            before, live = live, stored(kept.select("src", "dst"), "edges")
+            n = before.count()
+            discard(before)
+            if live.count() == n:
+                break
+        colours = stored(_least_reaching(live, live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()), "colours")
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        coloured = stored(live.join(of("src"), "src").join(of("dst"), "dst"), "coloured")
+        back = coloured.where("src_label = dst_label").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = colours.where("node = label").select("node")
+        own = reachable(back, roots, depth=1 << 30).select("node").union(roots).distinct()
+        found.append(stored(colours.join(own, "node", "left_semi").select("node", F.col("label").alias("component")), "components"))
+        done = found[-1].select("node")
+        before, live = live, stored(live.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        for x in (before, colours, coloured):
+            discard(x)
+    every = found[0] if found else None
+    for more in found[1:]:
+        every = every.union(more)
+    if every is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """cycle: each simple cycle of up to longest nodes once, begun at its smallest node."""
-    paths = edges.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
+    """cycle: each simple cycle of up to longest nodes once, begun at its smallest node.
+
+    A cycle stands within one strong component, so paths are followed there only: a graph without cycles has none.
+    """
+    of = stored(strong_components(edges), "components")
+    end = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     out = edges.where("src = dst").select(F.array("src").alias("cycle"))
+    edges = stored(edges.where("src <> dst").join(end("src"), "src").join(end("dst"), "dst").where("of_src = of_dst").select("src", "dst").distinct(), "edges")
+    paths = edges.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
     for _ in range(longest - 1):
+        if paths.isEmpty():
+            break
         step = paths.join(edges, paths["last"] == edges["src"])
         out = out.unionByName(step.where(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle")))
         paths = stored(step.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")), "cycle-paths")
-        if paths.isEmpty():
-            break
     return out.distinct()
 
 

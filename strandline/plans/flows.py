@@ -218,3 +218,32 @@ def stream_usage_upsert(spark, sf):
     from strandline.streaming.streams import event_stream, upserted_usage
 
     return upserted_usage(event_stream(spark, sf))
+
+
+QUIET_MS, LATE_MS, GAP_MS = 2 * 3600 * 1000, 3600 * 1000, 30 * 60 * 1000
+
+
+@query("L1", f"""WITH e AS (SELECT user_id AS path, event_id, value, epoch_ms(ts) AS at_ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS next, max(epoch_ms(ts)) OVER () - {LATE_MS} AS mark FROM events)
+SELECT path, at_ms, event_id, value FROM e WHERE next - at_ms >= {QUIET_MS} OR next IS NULL AND at_ms + {QUIET_MS} <= mark""")
+def stream_debounced(spark, sf):
+    """The last change of each path before it was quiet for two hours; paths that may still change wait in the state."""
+    from strandline.streaming.state import last_after_quiet, with_rocksdb
+    from strandline.streaming.streams import drained, event_stream
+
+    with_rocksdb(spark)
+    e = event_stream(spark, sf).select("timestamp", F.col("session_id").alias("path"), F.unix_millis("timestamp").alias("at"), F.col("id").alias("place"), F.col("id").alias("event_id"), F.col("latency_ms").alias("value"))
+    return drained(last_after_quiet(e, "path", {"event_id": "long", "value": "double"}, quiet_ms=QUIET_MS, key_type="long"), "append").select("path", F.col("at").alias("at_ms"), "event_id", "value")
+
+
+@query("L3", f"""WITH e AS (SELECT user_id AS session_id, event_id % 10 AS id, epoch_ms(ts) AS at_ms, max(epoch_ms(ts)) OVER () - {LATE_MS} AS mark, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id % 10) AS gap FROM events),
+g AS (SELECT *, sum((coalesce(gap, 0) > {GAP_MS})::INT) OVER (PARTITION BY session_id ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) AS k FROM e),
+l AS (SELECT session_id, max(at_ms) AS last, count(DISTINCT id) AS n_shown, any_value(mark) AS mark FROM g WHERE k = (SELECT max(k) FROM g AS h WHERE h.session_id = g.session_id) GROUP BY session_id)
+SELECT session_id, last, n_shown FROM l UNION ALL SELECT session_id, last, 0 FROM l WHERE last + {GAP_MS} <= mark""")
+def stream_shown_ids(spark, sf):
+    """Each session's distinct ids after the data, and 0 once the watermark has passed its end."""
+    from strandline.streaming.state import shown_in_session, with_rocksdb
+    from strandline.streaming.streams import drained, event_stream
+
+    with_rocksdb(spark)
+    e = event_stream(spark, sf).select("timestamp", "session_id", (F.col("id") % 10).alias("id"), F.unix_millis("timestamp").alias("at"))
+    return drained(shown_in_session(e, GAP_MS), "update").select("session_id", "last", "n_shown")

@@ -114,3 +114,67 @@ def json_round_trip(spark, sf):
     path = scratch_path(spark, "export")
     export_json(memories(spark, sf).select("id", "category", "importance"), path)
     return import_json(spark, path, "id long, category string, importance double").withColumn("importance", F.round("importance", 6))
+
+
+def _dumps(spark, sf):
+    """Orders as commits and their lines as changes, written as a folder of dumps of many commits each."""
+    head = table(spark, sf, "orders").select(F.col("o_orderkey").alias("dump"), F.lit(0).alias("line"), F.expr(DUMP).alias("value"))
+    body = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    body = body.select(F.col("l_orderkey").alias("dump"), F.col("l_linenumber").alias("line"), F.concat_ws("\t", F.col("l_quantity").cast("long"), "l_linenumber", F.concat(F.lit("f"), "l_partkey")).alias("value"))
+    path = scratch_path(spark, "dumps")
+    head.unionByName(body).repartitionByRange(4, "dump").sortWithinPartitions("dump", "line").select("value").write.text(path)
+    return path
+
+
+@query("A8 A9", "SELECT CAST(l_orderkey AS VARCHAR) AS commit_hash, 'f' || l_partkey AS file_path, CAST(l_quantity AS BIGINT) AS lines_added, CAST(l_linenumber AS BIGINT) AS lines_deleted FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def git_dump_changes(spark, sf):
+    """Large dumps, each read by several tasks that cut it at commits."""
+    from strandline.sources import folders
+
+    folders.register(spark)
+    return spark.read.format("git_dump").option("range_bytes", 1 << 17).load(_dumps(spark, sf))
+
+
+@query("A8", "SELECT CAST(o_orderkey AS VARCHAR) AS commit_hash, o_custkey || '@example.com' AS author_email, o_orderdate AS author_date, o_orderpriority || ' | more' AS message FROM orders WHERE o_custkey = 7 AND o_orderdate >= TIMESTAMP '1994-01-01'")
+def git_dump_commits(spark, sf):
+    """One author's commits: the author is tested at the source."""
+    from strandline.sources import folders
+
+    folders.register(spark)
+    c = spark.read.format("git_dump").option("table", "commits").load(_dumps(spark, sf))
+    return c.where("author_name = 'Author 7' AND author_date >= timestamp_ntz'1994-01-01'").select("commit_hash", "author_email", "author_date", "message")
+
+
+FOLDER_SQL = "SELECT priority AS folder, count(*) AS n_lines, CAST(sum(length(line) + 1) AS BIGINT) AS n_bytes FROM (SELECT o_orderpriority AS priority, o_orderkey || ' ' || o_orderstatus AS line FROM orders) GROUP BY 1"
+
+
+def _folder(spark, sf):
+    """Orders as text files, in a folder for each priority."""
+    path = scratch_path(spark, "folder")
+    table(spark, sf, "orders").select("o_orderpriority", F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("value")).repartition(3).write.partitionBy("o_orderpriority").text(path)
+    return path
+
+
+def _per_folder(files):
+    folder = F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1))
+    lines = F.size(F.split("content", "\n")) - 1
+    return files.groupBy(folder.alias("folder")).agg(F.sum(lines).cast("long").alias("n_lines"), F.sum("size").cast("long").alias("n_bytes"))
+
+
+@query("A4", FOLDER_SQL)
+def folder_scan(spark, sf):
+    """Every file below a folder, as a batch."""
+    from strandline.sources import folders
+
+    folders.register(spark)
+    return _per_folder(spark.read.format("watched_folder").option("suffix", ".txt").load(_folder(spark, sf)))
+
+
+@query("A4 L1", FOLDER_SQL)
+def folder_stream(spark, sf):
+    """The same as a stream whose offset is the last file's time and path."""
+    from strandline.sources import folders
+    from strandline.streaming.streams import drained
+
+    folders.register(spark)
+    return _per_folder(drained(spark.readStream.format("watched_folder").option("suffix", ".txt").load(_folder(spark, sf)), "append"))

@@ -79,6 +79,17 @@ def graph_cycles(spark, sf):
     return R.cycles(_repos(spark, sf)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+SCC_SQL = """edges AS (SELECT s_suppkey AS src, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS dst FROM supplier UNION SELECT s_suppkey, (s_suppkey * 3) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_suppkey % 4 > 0)"""
+
+
+@query("I6 I9", f"WITH RECURSIVE {SCC_SQL}, walk(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM walk JOIN edges ON src = y), n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, least(node, coalesce((SELECT min(a.y) FROM walk a JOIN walk b ON a.x = b.y AND a.y = b.x WHERE a.x = node), node)) AS component FROM n")
+def strong_components(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey")
+    s = s.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n"))))
+    to = lambda c: s.select(F.col("s_suppkey").alias("src"), (c % F.col("n")).alias("dst"))
+    return R.strong_components(to(F.col("s_suppkey") * 7 + 3).union(to(F.col("s_suppkey") * 3).where("src % 4 > 0")))
+
+
 @query("I10", f"WITH RECURSIVE {REPO_SQL}, walk(node) AS (SELECT 1 UNION SELECT dst FROM walk JOIN edges ON src = node) SELECT count(*) > 0 AS closes FROM walk WHERE node = 6")
 def cycle_guard(spark, sf):
     return spark.createDataFrame([(R.closes_cycle(_repos(spark, sf), 6, 1),)], "closes boolean")
@@ -89,11 +100,18 @@ def degree_stats(spark, sf):
     return R.degrees(_edges(spark, sf))
 
 
-@query("D10 L8", "WITH w AS (SELECT p_partkey AS name, string_split(p_name, ' ') AS w, p_name || '(' AS content FROM part), n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS u FROM part), c AS (SELECT DISTINCT w[1] AS src, w[2] AS dst FROM w) SELECT src, dst FROM c WHERE dst IN (SELECT u FROM n) AND src <> dst")
+CALL_SQL = """u AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') AS name FROM part), n AS (SELECT count(*) AS n FROM part),
+c AS (SELECT u.name AS src, a.name AS x, b.name AS y FROM u, n JOIN u AS a ON a.k = (u.k * 7) % n JOIN u AS b ON b.k = (u.k * 3 + 1) % n)"""
+
+
+@query("D10 L8", f"WITH {CALL_SQL} SELECT DISTINCT src, dst FROM (SELECT src, x AS dst FROM c UNION ALL SELECT src, y FROM c) WHERE src <> dst")
 def call_edges(spark, sf):
-    p = table(spark, sf, "part")
-    units = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), F.concat("p_name", F.lit("(")).alias("content"))
-    return R.call_edges(units)
+    """Parts as functions; each calls two others, and one that is no unit."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    at = lambda key, name: p.select(F.col("k").alias(key), F.col("name").alias(name))
+    units = p.crossJoin(F.broadcast(n)).withColumns({"kx": F.col("k") * 7 % F.col("n"), "ky": (F.col("k") * 3 + 1) % F.col("n")}).join(at("kx", "x"), "kx").join(at("ky", "y"), "ky")
+    return R.call_edges(units.select("name", F.format_string("def run():\n    return %s(1) + %s (2) + unknown_%s(name)\n", "x", "y", "name").alias("content")))
 
 
 @query("D11 Q27", "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), k AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS file_path FROM p), i AS (SELECT DISTINCT path AS src, split_part(path, '/', 1) AS module FROM p), t AS (SELECT src, module, module || '/' || ext AS f, place FROM i, (VALUES ('de', 0), ('en', 1), ('es', 2), ('fr', 3)) v(ext, place)) SELECT src, module, arg_min(f, place) AS dst FROM t JOIN k ON f = file_path GROUP BY src, module")
