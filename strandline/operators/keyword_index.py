@@ -1,4 +1,13 @@
-"""A stored keyword index: postings by term, so that a search reads the lists of its own terms and no text."""
+"""A stored keyword index in segments: a search reads the lists of its own terms, and of these the blocks it needs.
+
+A segment holds the postings of some documents: a row for each term and zone, a zone being some 256 documents of like length.
+The row's head says how often its term stands in a document at most and how long the shortest one is, which bounds the zone's scores whatever the
+corpus becomes. A segment is never changed. What replaces or deletes a document is a later segment with a list of dead (segment, id) and with
+document frequencies that may be negative: those of all segments add up to the corpus' own. merge() writes what lives as one segment.
+
+A version is a manifest: which segments count, and the corpus' figures. It comes last, so readers change from one whole version to the next.
+Writers claim a version by creating a file, which only one of them can.
+"""
 
 from __future__ import annotations
 
@@ -10,68 +19,220 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import query_tokens, tokens
 from strandline.operators.search import K1, B
-from strandline.session import spread
+from strandline.session import discard, spread, stored
+
+BUCKETS, ZONE = 64, 256
+#: Zones that a search for the best rows looks into for its first threshold.
+FIRST_ZONES = 8
+POSTINGS = "term string, zone int, n int, max_tf int, min_dl int, entries array<struct<id: {id}, tf: int, dl: int>>, segment int, bucket int"
+FORWARD = "id {id}, dl int, terms array<struct<term: string, tf: int>>, segment int"
+TERMS = "term string, df long, segment int, bucket int"
+DEAD = "in_segment int, id {id}, segment int"
 
-BUCKETS = 64
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The whole versions of what is stored below a path, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, fs = _fs(spark, path)
     if not fs.exists(folder):
         return []
-    found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("v")]
-    done = "figures/_SUCCESS"
-    return sorted(int(p.getName()[1:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, done)))
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(_fs(spark, f"{path}/{n}/figures/_SUCCESS")[0]))
 
 
-def write_index(docs: DataFrame, path: str, id_: str = "id", text: str = "content", buckets: int = BUCKETS) -> int:
-    """Writes the next version of the index and returns its number.
+def claimed_version(spark: SparkSession, path: str) -> int:
+    """A version number that no other writer has or gets."""
+    folder, fs = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    n = max((int(x[1:].partition(".")[0]) for x in names if x[0] == "v" and x[1:].partition(".")[0].isdigit()), default=0) + 1
+    while not fs.createNewFile(_fs(spark, f"{path}/v{n}.claim")[0]):
+        n += 1
+    return n
 
-    Postings (term, id, tf, dl) are partitioned by a bucket of the term and sorted by it, with Bloom filters. The
-    figures of the corpus come last: a version without them isn't seen, so readers change from one whole version to the next.
-    """
-    spark = docs.sparkSession
-    version = max(versions(spark, path), default=0) + 1
-    at = f"{path}/v{version}"
-    lists = spread(docs.select(id_, text)).select(F.col(id_).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    lists = lists.select("id", "t", F.size("t").alias("dl"))
-    # a row's tokens stand in one task: they are counted there before anything is shuffled
-    counted = lists.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    posted = counted.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+
+def figures(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """n_docs, n_tokens, avg_doc_len, n_terms and what a version consists of: one row."""
+    return spark.read.parquet(f"{path}/v{version or versions(spark, path)[-1]}/figures")
+
+
+def bucket_of(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+def _read(spark: SparkSession, path: str, what: str, segments: list[int], schema: str) -> DataFrame:
+    read = spark.read.schema(schema)
+    if not segments:
+        return spark.createDataFrame([], schema)
+    return read.option("basePath", f"{path}/{what}").parquet(*[f"{path}/{what}/segment={n}" for n in segments])
+
+
+class Version:
+    """The tables of one version."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark, self.path = spark, path
+        self.row = figures(spark, path, version).first()
+        kind = self.row["id_type"]
+        self.postings = _read(spark, path, "postings", self.row["segments"], POSTINGS.format(id=kind))
+        self.forward = _read(spark, path, "forward", self.row["segments"], FORWARD.format(id=kind))
+        self.terms = _read(spark, path, "terms", self.row["term_segments"], TERMS)
+        self.dead = _read(spark, path, "dead", self.row["dead_segments"], DEAD.format(id=kind)).select(F.col("in_segment").alias("segment"), "id")
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows (segment, id, ...) without dead ones."""
+        return rows.join(self.dead, ["segment", "id"], "left_anti") if self.row["dead_segments"] else rows
+
+    def of_terms(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        """Rows of some terms: only their buckets and row groups are read."""
+        mine = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        return table.where(F.col("bucket").isin(mine) & F.col("term").isin(terms))
+
+
+def _counted(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, dl, terms (term, tf) of every row: one pass over the texts."""
+    lists = spread(docs.select(F.col(id_).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t")))
+    lists = lists.withColumn("dl", F.size("t"))
+    counted = lists.select("id", "dl", F.explode_outer("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))  # a document's own terms
+    return counted.groupBy("id", "dl").agg(held.alias("terms"))
+
+
+def _write_segment(forward: DataFrame, path: str, number: int) -> None:
+    """Postings and forward rows of a segment. forward: a stored table of id, dl, terms."""
+    length = F.floor(F.log2(F.col("dl") + 1.0) * 4).cast("int")
+    sizes = {r[0]: r[1] for r in forward.groupBy(length.alias("k")).agg(F.count(F.lit(1))).collect()}  # four classes a doubling of length
+    first, zones = 0, {}
+    for k, n in sorted(sizes.items()):
+        zones[k] = (first, max(1, -(-n // ZONE)))
+        first += zones[k][1]
+    pick = lambda i: F.create_map(*[F.lit(x) for k, v in zones.items() for x in (k, v[i])])[length]
+    zone = (pick(0) + F.pmod(F.xxhash64("id"), pick(1))).cast("int") if zones else F.lit(0)
+    entries = forward.select("id", "dl", zone.alias("zone"), F.explode("terms").alias("e")).select("id", "dl", "zone", "e.term", "e.tf")
+    blocks = entries.groupBy("term", "zone").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("id", "tf", "dl")).alias("entries"))
     # a frequent term's bucket may hold many rows: large partitions are split, small ones joined
-    posted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/postings")
-    terms = spark.read.parquet(f"{at}/postings").select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
-    sizes = lists.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("long").alias("n_tokens"), F.avg("dl").alias("avg_doc_len"))
-    sizes.crossJoin(F.broadcast(terms)).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/figures")  # one row each
-    return version
+    blocks = blocks.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "zone")
+    blocks.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings/segment={number}")
+    forward.sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/forward/segment={number}")
 
 
-def figures(spark: SparkSession, path: str) -> DataFrame:
-    """n_docs, n_tokens, avg_doc_len, n_terms and buckets of the newest whole version: one row."""
-    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}/figures")
+def _write_terms(counts: DataFrame, path: str, number: int) -> None:
+    """counts: term, df (may be negative)."""
+    rows = counts.groupBy("term").agg(F.sum("df").cast("long").alias("df")).where("df <> 0").withColumn("bucket", bucket_of(F.col("term")))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={number}")
 
 
-def all_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}/postings")
+def _publish(spark: SparkSession, path: str, number: int, kind: str, parts: dict, docs: int, n_tokens: int, stamp: str) -> int:
+    terms = _read(spark, path, "terms", parts["term_segments"], TERMS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").count()
+    row = (docs, n_tokens, n_tokens / docs if docs else None, terms, kind, stamp, parts["segments"], parts["term_segments"], parts["dead_segments"])
+    spark.createDataFrame([row], "n_docs long, n_tokens long, avg_doc_len double, n_terms long, id_type string, stamp string, segments array<int>, term_segments array<int>, dead_segments array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/figures")
+    return number
 
 
-def document_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    """term, df and idf of every term."""
-    df = all_postings(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(figures(spark, path).select("n_docs"))).select("term", "df", _idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
+def _totals(forward: DataFrame) -> tuple[int, int]:
+    row = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def write_index(docs: DataFrame, path: str, id_: str = "id", text: str = "content", stamp: str = "") -> int:
+    """Writes a version that holds these documents alone, as one segment, and returns its number."""
+    spark, number = docs.sparkSession, claimed_version(docs.sparkSession, path)
+    forward = stored(_counted(docs, id_, text), "forward")
+    _write_segment(forward, path, number)
+    _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
+    done = _publish(spark, path, number, dict(forward.dtypes)["id"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), stamp)
+    discard(forward)
+    return done
+
+
+def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None, deleted: DataFrame | None = None, id_: str = "id", text: str = "content") -> int:
+    """The next version: docs replace those of their ids or are new, deleted (id) go. No older segment is written again."""
+    number, now = claimed_version(spark, path), Version(spark, path)
+    kind, parts = now.row["id_type"], {k: list(now.row[k]) for k in ("segments", "term_segments", "dead_segments")}
+    new = stored(_counted(docs, id_, text), "forward") if docs is not None else None
+    gone = deleted.select(F.col(id_).cast(kind).alias("id")) if deleted is not None else spark.createDataFrame([], f"id {kind}")
+    gone = gone.union(new.select("id")) if new is not None else gone
+    dead = stored(now.live(now.forward.join(gone.distinct(), "id", "left_semi")), "dead")
+    counts = dead.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("df"))
+    n_docs, n_tokens = now.row["n_docs"], now.row["n_tokens"]
+    lost = _totals(dead)
+    if lost[0]:
+        dead.select(F.col("segment").alias("in_segment"), "id").write.mode("overwrite").parquet(f"{path}/dead/segment={number}")
+        parts["dead_segments"].append(number)
+    if new is not None and (added := _totals(new))[0]:
+        _write_segment(new, path, number)
+        parts["segments"].append(number)
+        counts = counts.union(new.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")))
+        n_docs, n_tokens = n_docs + added[0], n_tokens + added[1]
+    _write_terms(counts, path, number)
+    parts["term_segments"].append(number)
+    return _publish(spark, path, number, kind, parts, n_docs - lost[0], n_tokens - lost[1], "")
+
+
+def merge(spark: SparkSession, path: str) -> int:
+    """The next version: all living documents in one segment, from the forward rows; no text is read."""
+    number, now = claimed_version(spark, path), Version(spark, path)
+    forward = stored(now.live(now.forward).select("id", "dl", "terms"), "forward")
+    _write_segment(forward, path, number)
+    _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
+    return _publish(spark, path, number, now.row["id_type"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), now.row["stamp"])
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes all versions but the newest, and segments that none of these name."""
+    every = versions(spark, path)
+    rows = [figures(spark, path, v).first() for v in every[-keep:]]
+    for v in every[:-keep]:
+        at, fs = _fs(spark, f"{path}/v{v}")
+        fs.delete(at, True)
+    for what, column in (("postings", "segments"), ("forward", "segments"), ("terms", "term_segments"), ("dead", "dead_segments")):
+        folder, fs = _fs(spark, f"{path}/{what}")
+        used = {f"segment={n}" for r in rows for n in r[column]}
+        for f in fs.listStatus(folder) if fs.exists(folder) else []:
+            n = f.getPath().getName().partition("=")[2]
+            if f.getPath().getName() not in used and n.isdigit() and int(n) <= every[-1]:  # later ones are being written
+                fs.delete(f.getPath(), True)
 
 
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """term, id, tf and dl of some terms: only their buckets and row groups are read."""
-    buckets = figures(spark, path).first()["buckets"]
-    mine = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
-    return all_postings(spark, path).where(F.col("bucket").isin(mine) & F.col("term").isin(terms)).select("term", "id", "tf", "dl")
+def document_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """term, df and idf of every term, from the stored counts."""
+    now = Version(spark, path)
+    df = now.terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return df.select("term", "df", _idf(F.lit(now.row["n_docs"]), F.col("df")).alias("idf"))
+
+
+class Query:
+    """A query's weights in a version: they depend on its own terms alone."""
+
+    def __init__(self, spark: SparkSession, path: str, query: str, k1: float, b: float):
+        self.version, self.k1, self.b = Version(spark, path), k1, b
+        often = Counter(query_tokens(query))
+        rows = self.version.of_terms(self.version.terms, sorted(often)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if often else None
+        rows = rows.select("term", _idf(F.lit(self.version.row["n_docs"]), F.col("df"))).collect() if often else []  # a row a term of the query
+        self.idf = {r[0]: often[r[0]] * r[1] for r in rows}
+        self.blocks = self.version.of_terms(self.version.postings, sorted(self.idf) or [""])
+
+    def part(self, tf: Column, dl: Column) -> Column:
+        weight = F.create_map(*[F.lit(x) for kv in sorted(self.idf.items()) for x in kv])[F.col("term")] if self.idf else F.lit(0.0)
+        return weight * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(self.version.row["avg_doc_len"] or 1.0)))
+
+    def plus(self, delta: float | None) -> float:
+        return sum(self.idf.values()) * delta if delta else 0.0
+
+    def scores(self, blocks: DataFrame) -> DataFrame:
+        rows = blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.id", "e.tf", "e.dl")
+        return self.version.live(rows).groupBy("id").agg(F.sum(self.part(F.col("tf"), F.col("dl"))).alias("bm25"))
+
+    def zones(self) -> DataFrame:
+        """segment, zone and bound: no document of the zone scores more. Heads of blocks are read, no entries."""
+        return self.blocks.groupBy("segment", "zone").agg(F.sum(self.part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
 
 
 def index_scores(spark: SparkSession, path: str, query: str, k1: float = K1, b: float = B, ids: DataFrame | None = None, delta: float | None = None) -> DataFrame:
@@ -80,18 +241,30 @@ def index_scores(spark: SparkSession, path: str, query: str, k1: float = K1, b:
     A term that the query repeats counts as often. With delta every query term that the corpus holds adds idf * delta
     to every id.
     """
-    wanted = Counter(query_tokens(query)) or Counter({"": 0})
-    posts = postings(spark, path, sorted(wanted))
-    often = F.create_map(*[F.lit(x) for kv in sorted(wanted.items()) for x in kv])
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("often", often[F.col("term")])
-    df = df.crossJoin(F.broadcast(figures(spark, path).select("n_docs", "avg_doc_len")))  # one row
-    df = df.withColumn("idf", _idf(F.col("n_docs"), F.col("df")))
-    part = F.col("often") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_doc_len")))
-    found = posts.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("bm25"))  # df: a row a term of the query
-    if ids is None:
-        return found
-    every = ids.join(found, "id", "left").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-    if delta is None:
-        return every
-    plus = df.agg(F.coalesce(F.sum(F.col("often") * F.col("idf") * delta), F.lit(0.0)).alias("plus"))
-    return every.crossJoin(F.broadcast(plus)).select("id", (F.col("bm25") + F.col("plus")).alias("bm25"))  # one row
+    q = Query(spark, path, query, k1, b)
+    found = q.scores(q.blocks)
+    if ids is not None:
+        found = ids.join(found, "id", "left").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    return found.withColumn("bm25", F.col("bm25") + q.plus(delta)) if delta is not None else found
+
+
+def needed_blocks(q: Query, k: int) -> DataFrame:
+    """The blocks of zones that may hold one of the k best rows: those whose bound reaches the k-th score of the most promising zones."""
+    zones = stored(q.zones(), "zones")
+    in_zones = lambda z: q.blocks.join(z.select("segment", "zone"), ["segment", "zone"], "left_semi")
+    first = q.scores(in_zones(zones.orderBy(F.col("bound").desc(), "segment", "zone").limit(FIRST_ZONES)))
+    best = [r[0] for r in first.select("bm25").orderBy(F.col("bm25").desc()).limit(k).collect()]
+    least = best[-1] * (1 - 1e-12) if len(best) == k else 0.0  # sums may differ in their last bits
+    return in_zones(zones.where(F.col("bound") >= least))
+
+
+def index_top(spark: SparkSession, path: str, query: str, k: int, k1: float = K1, b: float = B, delta: float | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The k best rows by bm25, ties to the smaller id; ids (id) fill up with rows without a term of the query, if fewer match.
+
+    Zones that can't reach the k-th place are left out before their entries are read.
+    """
+    q = Query(spark, path, query, k1, b)
+    found = stored(q.scores(needed_blocks(q, k)).orderBy(F.col("bm25").desc(), "id").limit(k), "best")
+    if ids is not None and (n := found.count()) < k:
+        found = found.union(ids.join(found, "id", "left_anti").orderBy("id").limit(k - n).select("id", F.lit(0.0)))
+    return found.withColumn("bm25", F.col("bm25") + q.plus(delta)).orderBy(F.col("bm25").desc(), "id")

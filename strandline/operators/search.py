@@ -95,9 +95,13 @@ def nearest(rows: DataFrame, k: int, block_rows: int = 4000, id_: str = "id", em
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "similarity")
 
 
-def scaled(df: DataFrame, score: str, to: str) -> DataFrame:
-    """Min-max of a whole table by a broadcast row of its bounds: no single-task window."""
-    bounds = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+def scaled(df: DataFrame, score: str, to: str, rows: int | None = None) -> DataFrame:
+    """Min-max of a whole table by a broadcast row of its bounds: no single-task window.
+
+    rows: how many rows the table has with those that df leaves out because they score 0.
+    """
+    lowest = F.min(score) if rows is None else F.when(F.count(F.lit(1)) < rows, F.least(F.min(score), F.lit(0.0))).otherwise(F.min(score))
+    bounds = df.agg(lowest.alias("_lo"), F.max(score).alias("_hi"))
     lo, hi = F.col("_lo"), F.col("_hi")
     value = F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).when(hi != 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return df.crossJoin(F.broadcast(bounds)).withColumn(to, value).drop("_lo", "_hi")
@@ -109,13 +113,13 @@ def ranked(df: DataFrame, score: str, rank: str, k: int, id_: str = "id") -> Dat
     return top(df, score, k, id_).withColumn(rank, F.row_number().over(w) - 1)
 
 
-def weighted_fusion(vectors: DataFrame, keywords: DataFrame, alpha: float, k: int) -> DataFrame:
+def weighted_fusion(vectors: DataFrame, keywords: DataFrame, alpha: float, k: int, rows: int | None = None) -> DataFrame:
     """id, score: alpha * scaled similarity + (1 - alpha) * scaled BM25 over the union of ids.
 
-    keywords are scaled over all their rows, vectors over their list.
+    keywords are scaled over all rows, of which it may leave out those that score 0 (rows: how many there are), vectors over their list.
     """
     v = scaled(vectors.select("id", "similarity"), "similarity", "v")
-    w = scaled(keywords.select("id", "bm25"), "bm25", "w").where("bm25 > 0")
+    w = scaled(keywords.select("id", "bm25"), "bm25", "w", rows).where("bm25 > 0")
     both = v.join(w, "id", "full_outer")
     score = alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("w", F.lit(0.0))
     return top(both.select("id", score.alias("score"), F.coalesce("similarity", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25", F.lit(0.0)).alias("bm25_score")), "score", k)

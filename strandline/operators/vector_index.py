@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.keyword_index import versions
+from strandline.operators.keyword_index import claimed_version, versions
 from strandline.session import stored
 
 #: Folders that lists are dealt over, rows of a piece of a list, and queries that meet a piece at once.
@@ -100,7 +100,7 @@ def write_vector_index(rows: DataFrame, path: str, id_: str = "id", embedding: s
                 code = pa.array([c.tobytes() for c in codes], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column("id").take(each), pa.array(scale.astype(np.float32)).take(each), code.take(each), batch.column("v").take(each)], names=["list", "id", "scale", "code", "v"])
 
-    version = max(versions(spark, path), default=0) + 1
+    version = claimed_version(spark, path)
     at, kind = f"{path}/v{version}", dict(rows.dtypes)["v"]
     placed = stored(rows.mapInArrow(assign, f"list int, id long, scale float, code binary, v {kind}"), "vector-lists")
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / PIECE_ROWS).cast("int"))

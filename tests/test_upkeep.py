@@ -24,10 +24,54 @@ def test_index_versions(spark, tmp_path):
         for delta in (None, 1.0):
             scan = {r.id: pytest.approx(r.bm25) for r in S.bm25_scores(docs, q, delta=delta).collect()}
             assert {r.id: r.bm25 for r in N.index_scores(spark, path, q, ids=docs.select("id"), delta=delta).collect()} == scan
-    plan = N.postings(spark, path, ["alpha"])._jdf.queryExecution().toString()
+    now = N.Version(spark, path)
+    plan = now.of_terms(now.postings, ["alpha"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1]
 
 
+def test_index_segments(spark, tmp_path):
+    """Replacing 1 % writes no old file again, scores are those of a fresh index, and a top-k reads fewer rows than the lists hold."""
+    import random
+    from pathlib import Path
+
+    rng = random.Random(1)
+    text = lambda i: " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(5, 400))) + (" rare" * 3 if i % 100 == 7 else "")
+    first = {i: text(i) for i in range(3000)}
+    table = lambda d: spark.createDataFrame(sorted(d.items()), "id long, content string").repartition(4)
+    path, fresh = str(tmp_path / "index"), str(tmp_path / "fresh")
+    N.write_index(table(first), path)
+    before = {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    changed = {i: text(i) for i in range(2990, 3020)}
+    gone = [5, 7, 107, 2991, 99_999]
+    N.change_index(spark, path, table(changed))
+    N.change_index(spark, path, deleted=spark.createDataFrame([(i,) for i in gone], "id long"))
+    after = {f: f.stat().st_mtime_ns for f in before}
+    assert after == before
+    now = {i: t for i, t in (first | changed).items() if i not in gone}
+    N.write_index(table(now), fresh)
+
+    def same():
+        for q in ("w1 w2 rare", "rare", "w3 w50 w3", "nothing", ""):
+            want = {r.id: pytest.approx(r.bm25) for r in N.index_scores(spark, fresh, q).collect()}
+            assert {r.id: r.bm25 for r in N.index_scores(spark, path, q).collect()} == want
+            top = [(r.id, r.bm25) for r in N.index_top(spark, path, q, 10).collect()]
+            assert top == [(i, pytest.approx(s.expected)) for i, s in sorted(want.items(), key=lambda x: (-x[1].expected, x[0]))[:10]]
+        a, b = N.figures(spark, path).first(), N.figures(spark, fresh).first()
+        assert (a.n_docs, a.n_tokens, a.n_terms) == (b.n_docs, b.n_tokens, b.n_terms)
+        assert sorted(map(tuple, N.document_frequencies(spark, path).select("term", "df").collect())) == sorted(map(tuple, N.document_frequencies(spark, fresh).select("term", "df").collect()))
+
+    same()
+    q = N.Query(spark, fresh, "rare w1", N.K1, N.B)
+    rows = lambda b: b.agg(F.sum("n")).first()[0]
+    assert rows(N.needed_blocks(q, 10)) < 0.7 * rows(q.blocks)
+    N.merge(spark, path)
+    N.drop_versions(spark, path, keep=1)
+    assert N.versions(spark, path) == [4] and not [f for f in before if f.exists()]
+    same()
+    padded = N.index_top(spark, path, "nothing", 3, ids=table(now).select("id")).collect()
+    assert [(r.id, r.bm25) for r in padded] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
 def test_usage_stream_resumes(spark, tmp_path):
     from strandline.streaming.streams import upserted_usage
 
