@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import similarity_band
@@ -126,6 +126,26 @@ def greedy_leaders(pairs: DataFrame) -> DataFrame:
     return led.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader")).select("leader", "member")
 
 
+def similar_sets(rows: DataFrame, threshold: float, id_: str = "id", items: str = "items") -> DataFrame:
+    """a, b, jaccard of all pairs a < b of sets with a Jaccard similarity of at least threshold (above 0): exact.
+
+    Items are ordered from the rarest up. Sets of n items that are so similar have one in common among the first
+    n - ceil(threshold * n) + 1 of each, so only these prefixes meet, of sets whose sizes allow it, and a frequent item is
+    asked for only by sets without enough rare ones. The pairs that met are compared whole.
+    """
+    sets = rows.select(F.col(id_).alias("id"), F.array_distinct(F.col(items)).alias("s")).where(F.size("s") > 0)
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
+    first = Window.partitionBy("id").orderBy("often", "x")  # a set's own items
+    prefix = each.join(often, "x").withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    x, y = prefix.select("x", F.col("id").alias("a"), F.col("n").alias("n_a")), prefix.select("x", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    met = x.join(y, "x").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    whole = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return whole.select("a", "b", (both / (F.size("s_a") + F.size("s_b") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+
+
 def duplication_score(pairs: DataFrame, ids: DataFrame, least: float = 0.75) -> DataFrame:
     """id, duplication: the best similarity with any other row, 0 below least."""
     both = pairs.select(F.col("a").alias("id"), "similarity").union(pairs.select("b", "similarity"))
@@ -139,4 +159,4 @@ def merge_candidates(members: DataFrame, pairs: DataFrame, high: float = 0.95, m
     return linked.groupBy("cluster").agg((F.min("similarity") >= high).alias("auto_merge"), F.expr(f"bool_or(similarity >= {medium} AND similarity < {high})").alias("review"))
 
 
-__all__ = ["canonical", "cluster_figures", "clusters", "duplication_score", "greedy_leaders", "lsh_pairs", "merge_candidates", "similar_pairs", "similarity_band"]
+__all__ = ["canonical", "cluster_figures", "clusters", "duplication_score", "greedy_leaders", "lsh_pairs", "merge_candidates", "similar_pairs", "similar_sets", "similarity_band"]

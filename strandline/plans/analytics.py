@@ -13,8 +13,10 @@ from strandline.functions import text as T
 from strandline.operators import git as G
 from strandline.operators import lifecycle as L
 from strandline.operators import metrics as M
+from strandline.operators import sketches as K
 from strandline.operators.filters import MemoryFilter, parse_date, parse_query
 from strandline.plans.registry import query
+from strandline.session import scratch_path
 from strandline.sources.tables import AS_OF, COMMIT_SQL, LOG_SQL, MEM_SQL, as_of, commits, file_changes, memories, query_log, table
 
 MEM, GIT, LOG = f"WITH {MEM_SQL}", f"WITH {COMMIT_SQL}", f"WITH {LOG_SQL}"
@@ -297,6 +299,47 @@ def p95_nearest_rank(spark, sf):
     return M.nearest_rank(query_log(spark, sf), ["kind"], "latency_ms", 0.95, "p95")
 
 
+FIRST, LAST = "2024-01-08", "2024-01-21"
+
+
+def _sketches(spark, sf):
+    path = scratch_path(spark, "sketches")
+    K.write_sketches(K.daily_sketches(query_log(spark, sf), "timestamp", ["kind"], "latency_ms"), path)
+    return path
+
+
+@query("E14 E53")
+def sketch_history(spark, sf):
+    """Median, p95 and p99 of two weeks for each kind, from the sketches of their days. Ranks are tested against all rows."""
+    return K.quantiles(K.merged(spark, _sketches(spark, sf), FIRST, LAST, ["kind"]), ["kind"], p50=0.5, p95=0.95, p99=0.99)
+
+
+@query("E14 E53 L20", f"{LOG} SELECT kind, count(latency_ms) AS n, true AS within FROM log WHERE CAST(timestamp AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}' GROUP BY kind")
+def sketch_rank_bound(spark, sf):
+    """The same sketches against the rows they stand for: whether the p95's rank is off by no more than the bound."""
+    found = K.quantiles(K.merged(spark, _sketches(spark, sf), FIRST, LAST, ["kind"]), ["kind"], p95=0.95)
+    rows = query_log(spark, sf).where(F.to_date("timestamp").between(F.to_date(F.lit(FIRST)), F.to_date(F.lit(LAST))) & F.col("latency_ms").isNotNull())
+    per = rows.join(F.broadcast(found), "kind").groupBy("kind", "n").agg(F.avg((F.col("latency_ms") < F.col("p95")).cast("int")).alias("below"), F.avg((F.col("latency_ms") <= F.col("p95")).cast("int")).alias("upto"))  # a row a kind
+    return per.select("kind", "n", ((F.col("below") - K.RANK_ERROR <= 0.95) & (F.col("upto") + K.RANK_ERROR >= 0.95)).alias("within"))
+
+
+@query("L9 E14 L20", f"{LOG} SELECT CAST(timestamp AS DATE) AS day, kind, count(latency_ms) AS n FROM log GROUP BY ALL")
+def stream_sketches(spark, sf):
+    """A sketch a day and kind from the stream of events."""
+    from strandline.streaming.streams import drained, event_stream
+
+    d = drained(K.daily_sketches(event_stream(spark, sf), "timestamp", ["kind"], "latency_ms"), "complete")
+    return K.quantiles(d, ["day", "kind"]).select("day", "kind", "n")
+
+
+@query("C15", "SELECT page_id, 'hardcoded_urls' AS preset, CAST(len(regexp_extract_all(html, 'https?://[^\\s\"'']+')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, 'https?://[^\\s\"'']+') UNION ALL SELECT page_id, 'magic_numbers', CAST(len(regexp_extract_all(html, '\\b\\d{3,}\\b')) AS BIGINT) FROM pages WHERE regexp_matches(html, '\\b\\d{3,}\\b') UNION ALL SELECT page_id, 'security_keywords', CAST(len(regexp_extract_all(html, '(password|secret|token|api[_-]?key|private[_-]?key)')) AS BIGINT) FROM pages WHERE regexp_matches(html, '(password|secret|token|api[_-]?key|private[_-]?key)')")
+def regex_presets_of_pages(spark, sf):
+    """Three of the presets over all pages."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    found = [p.where(T.matches(F.col("html"), f"@preset:{n}")).select("page_id", F.lit(n).alias("preset"), T.match_count(F.col("html"), f"@preset:{n}").cast("long").alias("n")) for n in ("hardcoded_urls", "magic_numbers", "security_keywords")]
+    return functools.reduce(DataFrame.union, found)
+
+
 @query("E19 L9 E53", f"{LOG} SELECT CAST(timestamp AS DATE) AS day, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency, CAST(floor(avg(result_count)) AS INTEGER) AS avg_results FROM log GROUP BY 1")
 def daily_metrics(spark, sf):
     return M.daily(query_log(spark, sf), "timestamp", F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 6).alias("avg_latency"), F.avg("result_count").cast("int").alias("avg_results"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.functions.vector import l2_normalized
 from strandline.operators import search as S
+from strandline.operators import dictionaries as Y
 from strandline.operators import keyword_index as N
 from strandline.operators.vector_index import index_lists, nearest_in_index, write_vector_index
 from strandline.plans.registry import query
-from strandline.session import scratch_path, scratch_root
+from strandline.session import scratch_path, scratch_root, stored
 from strandline.sources.tables import AS_OF, LOG_SQL, MEM_SQL, as_of, memories, query_log, table
 
 QUERY = "the error of token handling"
@@ -342,6 +343,38 @@ def spelling_corrections(spark, sf):
     return p.select("p_brand", "term", F.array_join(T.spelling_candidates(F.col("term"), ["furniture", "error", "order", "special", "customer"], 4), " ").alias("near"))
 
 
+TYPED_SQL = "SELECT DISTINCT w[1:2] || w[4:] AS word FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS w FROM part) UNION SELECT DISTINCT w || w[-1:] || 'q' FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS w FROM part)"
+
+
+@query("G8 J34", f"WITH {MEM_SQL}, t AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM mem) GROUP BY term), w AS ({TYPED_SQL}), k AS (SELECT word FROM w WHERE word NOT IN (SELECT term FROM t)), n AS (SELECT word, term, df, levenshtein(word, term) AS distance FROM k JOIN t ON length(term) BETWEEN length(word) - 2 AND length(word) + 2 AND length(term) <= 32 WHERE levenshtein(word, term) <= 2) SELECT word, term, CAST(distance AS INTEGER) AS distance, df FROM n QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) <= 3")
+def corpus_spelling(spark, sf):
+    """Misspelt words of part names, against every term that the keyword index holds."""
+    terms = N.document_frequencies(spark, keyword_index(spark, sf)).select("term", "df")
+    w = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
+    short, long = F.concat(F.substring("w", 1, 2), F.substring("w", 4, 100)), F.concat("w", F.substring("w", -1, 1), F.lit("q"))
+    typed = w.select(F.explode(F.array(short, long)).alias("word"))
+    return Y.corrections(typed, stored(Y.delete_index(terms), "deletes")).select("word", "term", "distance", "df")
+
+
+PAIRS_SQL = """t AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t FROM documents),
+p AS (SELECT unnest(flatten([[[t[i], t[i + d]] for i in range(1, len(t) - d + 1)] for d in range(1, 5)])) AS p FROM t), o AS (SELECT least(p[1], p[2]) AS x, greatest(p[1], p[2]) AS y, count(*) AS n FROM p WHERE p[1] <> p[2] GROUP BY ALL),
+o2 AS (SELECT x AS a, y AS b, n FROM o UNION ALL SELECT y, x, n FROM o), u AS (SELECT a, sum(n) AS n_a FROM o2 GROUP BY a), r AS (SELECT o2.a, o2.b, o2.n, ln(o2.n * (SELECT sum(n_a) FROM u)::DOUBLE / (u.n_a * v.n_a)) AS pmi FROM o2 JOIN u ON u.a = o2.a JOIN u AS v ON v.a = o2.b WHERE o2.n >= 5)"""
+
+
+@query("J29 J30", f"WITH {PAIRS_SQL} SELECT a, b, n, round(pmi, 6) AS pmi FROM r")
+def term_associations(spark, sf):
+    """Pairs of terms of all documents that stand within four tokens of each other five times or more."""
+    return Y.associations(table(spark, sf, "documents"), "text").withColumn("pmi", F.round("pmi", 6))
+
+
+@query("J29 J30 J31", f"WITH {PAIRS_SQL}, k AS (SELECT a, b FROM r WHERE pmi >= 1 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(pmi, 9) DESC, n DESC, b) <= 3), c AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS own FROM conversations), m AS (SELECT conv_id, turn, list_sort(list_distinct(list(b))) AS more FROM (SELECT conv_id, turn, unnest(own) AS a FROM c) JOIN k USING (a) GROUP BY ALL) SELECT conv_id, turn, coalesce(array_to_string(list_filter(coalesce(more, []), lambda x: NOT list_contains(own, x))[1:10], ' '), '') AS expansion FROM c LEFT JOIN m USING (conv_id, turn)")
+def corpus_expansion(spark, sf):
+    """Every turn, by terms that stand with its own in the documents; the dictionary is written and joined."""
+    pairs = Y.associations(table(spark, sf, "documents"), "text").withColumn("pmi", F.round("pmi", 9))
+    dictionary = stored(Y.related_terms(pairs), "related-terms")
+    return Y.expanded_by(table(spark, sf, "conversations"), dictionary, ["conv_id", "turn"])
+
+
 @query("J28", """WITH s AS (SELECT conv_id, turn, length(text) AS n, regexp_matches(lower(text), '^(ok|okay|thanks|thank you|cool|got it|hello|hi|yes|no)\\b') AS talk, regexp_matches(lower(text), '\\b(how|what|where|show|find|search|explain|que|wie)\\b') AS want,
  len(list_filter(['error','function','class','api','database','token','config','server'], lambda k: contains(lower(text), k))) AS tech, contains(text, '?') AS ask, regexp_matches(text, '\\(\\)|\\{\\}|\\[\\]|->|=>|::') AS code, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN n < 10 AND talk THEN 0.0 WHEN n <= 30 AND talk AND NOT want THEN 0.1 ELSE greatest(0.0, least(1.0, 0.5 + 0.3 * want::INT + 0.2 * (tech > 0)::INT + 0.15 * ask::INT + 0.15 * code::INT + 0.1 * (words >= 4)::INT + 0.1 * (n > 50)::INT + 0.1 * (tech >= 3)::INT - 0.3 * (talk AND NOT want)::INT - 0.2 * (words <= 2 AND NOT code)::INT)) END::DOUBLE, 6) AS utility FROM s""")
