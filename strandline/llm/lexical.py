@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import arrow_map, bounded_batches, discard, doc_bytes, stored
-from strandline.llm.terms import TERM, batch_terms
+from strandline.llm.terms import batch_terms, term_counts
 
 #: Postings of one block; documents and terms (with repeats) of one shard.
 BLOCK = 64
@@ -129,9 +129,13 @@ class Shard:
 
 def corpus_figures(docs: DataFrame) -> tuple[int, int]:
     """How many documents hold a term, and how many terms with repeats all hold."""
-    n = F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    return int(row[0]), int(row[1] or 0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = term_counts(batch.column("body"))
+        return pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())]), pa.array([int(counts.sum())])], names=["docs", "terms"])
+
+    row = arrow_map(doc_bytes(docs).select("body"), run, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
 
 
 def lexical_index(docs: DataFrame, corpus: tuple[int, int] | None = None) -> DataFrame:
