@@ -83,9 +83,15 @@ def purged(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where(F.col("deletion").isNull() | (F.col("deletion.expires_at") >= now))
 
 
-def merged_rows(rows: DataFrame, group: str, order: str, separator: str = "\n\n---\n\n") -> DataFrame:
-    """group, id (its smallest), content: the distinct contents in order, joined."""
+def merged_rows(rows: DataFrame, group: str, order: str, separator: str = "\n\n---\n\n", most_bytes: int = 256 << 20) -> DataFrame:
+    """group, id (its smallest), content: the distinct contents in order, joined.
+
+    A merged content is one value, so a group of more than most_bytes is refused, before its contents are gathered.
+    """
     firsts = rows.groupBy(group, "content").agg(F.min(order).alias(order))
+    sizes = firsts.groupBy(group).agg(F.sum(F.octet_length("content")).alias("_bytes"))
+    fits = F.when(F.coalesce("_bytes", F.lit(0)) <= most_bytes, True).otherwise(F.raise_error(F.lit("a group is too large to be one row")).cast("boolean"))
+    firsts = firsts.join(sizes.where(fits), group)
     texts = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "content"))).alias("c"))
     return texts.select(group, F.col("c")[0][order].alias("id"), F.array_join(F.transform("c", lambda s: s["content"]), separator).alias("content"), F.size("c").alias("n"))
 

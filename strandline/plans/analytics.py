@@ -95,6 +95,25 @@ def sanitize_and_detect(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(T.sanitized(F.col("html"))).cast("long").alias("n"), T.injection(F.col("html")).alias("risk"))
 
 
+SORTS = ["importance", "created_at; DROP TABLE mem", "created_at", "content"]
+
+
+@query("C16 G1", f"{MEM}, a AS (SELECT 'importance' AS sort, id, row_number() OVER (ORDER BY importance DESC, id) AS place FROM mem UNION ALL SELECT 'created_at', id, row_number() OVER (ORDER BY created_at DESC, id) FROM mem) SELECT sort, id, place FROM a WHERE place <= 20")
+def validated_lists(spark, sf):
+    """First pages by columns that a caller names: what isn't a sortable column is refused before a plan is built."""
+    from strandline.operators.filters import validated_sort
+
+    pages = []
+    for name in SORTS:
+        try:
+            column = validated_sort(name)
+        except ValueError:
+            continue
+        best = memories(spark, sf).select("id", column).orderBy(F.col(column).desc(), "id").limit(20)
+        pages.append(best.select(F.lit(name).alias("sort"), "id", F.row_number().over(Window.orderBy(F.col(column).desc(), "id")).cast("long").alias("place")))
+    return functools.reduce(DataFrame.union, pages)
+
+
 @query("C19 I17", "WITH s AS (SELECT event_id, value / 500 AS s FROM events) SELECT event_id, CASE WHEN s > 0.8 THEN 'excellent' WHEN s >= 0.6 THEN 'good' ELSE 'weak' END AS label, CASE WHEN s >= 0.95 THEN 'high' WHEN s >= 0.85 THEN 'medium' WHEN s >= 0.75 THEN 'low' ELSE 'none' END AS band FROM s")
 def score_labels(spark, sf):
     s = F.col("value") / 500

@@ -8,6 +8,7 @@ from strandline.operators import changes as H
 from strandline.operators import lifecycle as L
 from strandline.operators import sessions as S
 from strandline.plans.registry import query
+from strandline.session import scratch_path
 from strandline.sources.tables import AS_OF, LOG_SQL, MEM_SQL, as_of, memories, query_log, table
 
 MEM, LOG = f"WITH {MEM_SQL}", f"WITH {LOG_SQL}"
@@ -105,6 +106,17 @@ def metadata_merge(spark, sf):
     return e.select("event_id", m["a"].alias("a"), m["kind"].alias("kind"), F.size(m).alias("n"))
 
 
+@query("B3 B4", "SELECT event_id, event_type AS kind, CAST(1 AS INTEGER) AS n, true AS kept FROM events")
+def payload_rules(spark, sf):
+    """Metadata that names core fields can't replace them: these entries are dropped before rows are written."""
+    from strandline.sources.exchange import payload
+
+    meta = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("id"), F.lit("forged"), F.lit("content"), F.lit("forged"))
+    path = scratch_path(spark, "payload")
+    payload(table(spark, sf, "events").select("event_id", F.col("event_id").alias("id"), meta.alias("metadata"))).write.parquet(path)
+    return spark.read.parquet(path).select("event_id", F.col("metadata")["kind"].alias("kind"), F.size("metadata").alias("n"), (F.col("id") == F.col("event_id")).alias("kept"))
+
+
 @query("B6 B8", f"{MEM} SELECT id FROM mem WHERE NOT (category = 'en' AND project_name = 'src1') AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_rows(spark, sf):
     gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))

@@ -178,3 +178,26 @@ def folder_stream(spark, sf):
 
     folders.register(spark)
     return _per_folder(drained(spark.readStream.format("watched_folder").option("suffix", ".txt").load(_folder(spark, sf)), "append"))
+
+
+@query("B1 B2", f"{MEM} SELECT category, count(*) AS n, count(*) AS n_ids, round(sum(importance), 4) AS importance FROM mem WHERE importance >= 0.5 GROUP BY category")
+def inserted_rows(spark, sf):
+    """Rows get ids as they are appended in two batches, and are read back from what was written."""
+    path = scratch_path(spark, "inserted")
+    m = memories(spark, sf).select("category", "importance", "content")
+    for batch in (m.where("importance >= 0.7"), m.where("importance >= 0.5 AND importance < 0.7")):
+        batch.withColumn("id", L.row_id()).write.mode("append").partitionBy("category").parquet(path)
+    return spark.read.parquet(path).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.round(F.sum("importance"), 4).alias("importance"))
+
+
+@query("I8 I1", "WITH RECURSIVE e AS (SELECT DISTINCT page_id AS src, n AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, '[0-9]+')) AS d FROM pages), (SELECT page_id AS n FROM pages) WHERE TRY_CAST(d AS BIGINT) = n AND n <> page_id), w(node, depth) AS (SELECT (SELECT min(src) FROM e), 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node <> (SELECT min(src) FROM e) GROUP BY node")
+def stored_reference_graph(spark, sf):
+    """Pages and the pages whose numbers they name: stored as metadata of each page, from which a later job builds the graph and walks it."""
+    p = table(spark, sf, "pages")
+    path = scratch_path(spark, "references")
+    p.select("page_id", F.transform(F.regexp_extract_all("html", F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("long")).alias("references")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    e = stored.select(F.col("page_id").alias("src"), F.explode(F.array_distinct("references")).alias("dst")).where("src <> dst")
+    e = e.join(stored.select(F.col("page_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    start = e.agg(F.min("src").alias("node")).where("node IS NOT NULL")
+    return R.reachable(e, start, 3).join(F.broadcast(start), "node", "left_anti")  # one row

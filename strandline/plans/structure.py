@@ -10,6 +10,7 @@ from strandline.functions import scores as X
 from strandline.functions import text as T
 from strandline.operators import dedup as D
 from strandline.operators import graph as R
+from strandline.operators.sessions import last_of_each
 from strandline.plans.registry import query
 from strandline.session import spread
 from strandline.sources import code as K
@@ -299,9 +300,10 @@ def entities(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.array_join(X.entities(F.col("text")), " ").alias("entities"))
 
 
-@query("K30 M5", "WITH q AS (SELECT conv_id, list(text) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id), s AS (SELECT conv_id, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(error|bug|fix|fail|exception)\\b'))) / len(t) AS d, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(how|what|explain|understand|que)\\b'))) / len(t) AS l, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(add|create|implement|build)\\b'))) / len(t) AS i, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(find|where|show|list|der)\\b'))) / len(t) AS e FROM q) SELECT conv_id, CASE WHEN greatest(d, l, i, e) = 0 THEN 'general' WHEN d = greatest(d, l, i, e) THEN 'debugging' WHEN l = greatest(d, l, i, e) THEN 'learning' WHEN i = greatest(d, l, i, e) THEN 'implementation' ELSE 'exploration' END AS intent, round(greatest(d, l, i, e), 6) AS confidence FROM s")
+@query("K30 M5", "WITH r AS (SELECT conv_id, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) <= 20), q AS (SELECT conv_id, list(text) AS t FROM r GROUP BY conv_id), s AS (SELECT conv_id, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(error|bug|fix|fail|exception)\\b'))) / len(t) AS d, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(how|what|explain|understand|que)\\b'))) / len(t) AS l, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(add|create|implement|build)\\b'))) / len(t) AS i, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(find|where|show|list|der)\\b'))) / len(t) AS e FROM q) SELECT conv_id, CASE WHEN greatest(d, l, i, e) = 0 THEN 'general' WHEN d = greatest(d, l, i, e) THEN 'debugging' WHEN l = greatest(d, l, i, e) THEN 'learning' WHEN i = greatest(d, l, i, e) THEN 'implementation' ELSE 'exploration' END AS intent, round(greatest(d, l, i, e), 6) AS confidence FROM s")
 def intent_detection(spark, sf):
-    q = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.collect_list("text").alias("t"))
+    """The intent of each conversation's last twenty questions."""
+    q = last_of_each(table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn", 20, "text").groupBy("conv_id").agg(F.collect_list("text").alias("t"))
     return q.select("conv_id", X.intent(F.col("t")).alias("i")).select("conv_id", "i.intent", F.round("i.confidence", 6).alias("confidence"))
 
 

@@ -21,9 +21,9 @@ STATUSES = ["running", "paused", "completed", "failed", "cancelled", "queued"]
 _MOVES_SQL = "MAP {" + ", ".join(f"'{k}': {v or ['-']!r}" for k, v in U.JOB_MOVES.items()) + "}"
 
 
-@query("L17", f"WITH u AS (SELECT user_id % 200 AS job, list(({STATUSES!r})[event_id % 6 + 1] ORDER BY event_id) AS l FROM events WHERE event_id % 7 < 5 GROUP BY 1) SELECT job, list_reduce(list_prepend('queued', l), lambda s, e: CASE WHEN list_contains({_MOVES_SQL}[s], e) THEN e ELSE s END) AS status, CAST(len(l) AS BIGINT) AS n FROM u")
+@query("L17", f"WITH u AS (SELECT user_id % 200 AS job, list(({STATUSES!r})[event_id % 6 + 1] ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT job, list_reduce(list_prepend('queued', l), lambda s, e: CASE WHEN list_contains({_MOVES_SQL}[s], e) THEN e ELSE s END) AS status, CAST(len(l) AS BIGINT) AS n FROM u")
 def job_state_machine(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 7 < 5")
+    e = table(spark, sf, "events")
     u = e.select((F.col("user_id") % 200).alias("job"), F.col("event_id").alias("at"), F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("event_id") % 6 + 1).cast("int")).alias("status"))
     return U.job_states(u).select("job", "status", (F.col("n_moves") + F.col("n_refused")).cast("long").alias("n"))
 
@@ -184,3 +184,45 @@ def suggestion_engine(spark, sf):
     m = memories(spark, sf).where(F.col("context_level").isin("PROJECT_CONTEXT", "SESSION_STATE")).select("id", "importance", F.when(F.col("context_level") == "PROJECT_CONTEXT", "question").otherwise("debugging").alias("kind"))
     best = S.top(m.where("kind = 'question'"), "importance", 3).union(S.top(m.where("kind = 'debugging'"), "importance", 3))
     return c.join(F.broadcast(best), "kind").select("conv_id", "turn", "kind", "id")  # six rows
+
+
+SUGGEST_SQL = f"""q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) <= 5),
+tok AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM mem), df AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM mem) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tok GROUP BY term),
+k AS (SELECT conv_id, term, df, idf FROM (SELECT DISTINCT conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 4)) AS term FROM q) JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY df, term) <= 3),
+c AS (SELECT conv_id, id, round(sum(idf) / any_value(whole), 9) AS similarity FROM k JOIN tok USING (term) JOIN (SELECT conv_id, sum(idf) AS whole FROM k GROUP BY 1) USING (conv_id) GROUP BY conv_id, id QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY similarity DESC, id) <= 20),
+s AS (SELECT conv_id, id, round(greatest(0, least(1, 0.5 * similarity + 0.2 * CASE WHEN a <= 7 THEN 1.0 WHEN a <= 30 THEN 0.8 WHEN a <= 90 THEN 0.5 WHEN a <= 180 THEN 0.3 ELSE 0.1 END + 0.2 * importance + 0.1 * verified::INT))::DOUBLE, 9) AS confidence FROM (SELECT c.*, importance, verified, floor(date_diff('second', last_accessed, TIMESTAMP '{AS_OF}') / 86400) AS a FROM c JOIN mem USING (id)) WHERE id % 10 <> conv_id % 10)"""
+
+
+@query("M6 M5 K29 K31 K32", f"{MEM}, {SUGGEST_SQL} SELECT conv_id, id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY conv_id ORDER BY s.confidence DESC, id) AS place FROM s WHERE s.confidence >= 0.5 QUALIFY place <= 5")
+def proactive_suggestions(spark, sf):
+    """Sessions' last questions, their rarest terms, rows that hold them, confidence, what was shown, the five best."""
+    from strandline.operators import suggestions as P
+    from strandline.operators.keyword_index import document_frequencies
+    from strandline.plans.retrieval import keyword_index
+
+    path = keyword_index(spark, sf)
+    log = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    _, interest = P.session_interest(log, document_frequencies(spark, path), "conv_id", "turn")
+    found = P.candidates(spark, path, interest, "conv_id")
+    m = memories(spark, sf).select("id", "importance", "verified", "last_accessed")
+    shown = found.where("id % 10 = conv_id % 10").select("conv_id", "id")
+    out = P.suggested(found, m, shown, X.age_days(F.col("last_accessed"), as_of()), session="conv_id")
+    return out.select("conv_id", "id", F.round("confidence", 6).alias("confidence"), F.col("place").cast("long").alias("place"))
+
+
+@query("E50", "WITH f AS (SELECT lang AS directory, source AS extension, count(*) AS n_files, sum(n_chars) AS bytes FROM documents GROUP BY ALL), x AS (SELECT *, n_files <= 2 AND round(bytes / sum(bytes) OVER (), 6) > 0.01 AS exclude FROM f) SELECT CAST(sum(n_files) AS BIGINT) AS n_files, CAST(coalesce(sum(n_files) FILTER (exclude), 0) AS BIGINT) AS n_left_out, CAST(coalesce(sum(bytes) FILTER (exclude), 0) AS BIGINT) AS bytes_saved, round(sum(n_files) * 0.1 / greatest(1.0, sum(n_files) * 0.1 - coalesce(sum(n_files) FILTER (exclude), 0) * 0.1)::DOUBLE, 6) AS speedup FROM x")
+def optimisation_estimate(spark, sf):
+    """What leaving out the suggested directories saves, and how much faster indexing gets."""
+    files = table(spark, sf, "documents").select(F.col("lang").alias("directory"), F.col("source").alias("extension"), F.col("n_chars").cast("long").alias("bytes"))
+    e = U.optimisation_estimate(U.directory_analysis(files))
+    return e.select("n_files", "n_left_out", "bytes_saved", F.round("speedup", 6).alias("speedup"))
+
+
+@query("A15 E51", "SELECT source AS repository, CASE WHEN bool_or(toxic = 1) THEN 'failed' WHEN bool_or(text IS NULL) THEN 'error' ELSE 'indexed' END AS status, count(*) AS n_files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS n_units, max(doc_id) AS last FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def repository_index(spark, sf):
+    """Sources as repositories: each one's files are indexed together, and its entry, status and figures are written and read back."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    files = d.select(F.col("source").alias("repository"), F.col("doc_id").alias("at"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("units"), F.when(F.col("toxic") == 1, "failed").when(F.col("text").isNull(), "error").alias("problem"))
+    path = scratch_path(spark, "repositories")
+    U.repository_entries(files).write.partitionBy("status").parquet(path)
+    return spark.read.parquet(path).select("repository", "status", "n_files", "n_units", "last")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandline.operators.sessions import usage, usage_update
-from strandline.session import scratch_path
+from strandline.session import discard, scratch_path, stored
 
 
 def event_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> DataFrame:
@@ -85,29 +85,58 @@ def drained(stream: DataFrame, mode: str, name: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/data")
 
 
+#: Buckets of an upserted table: a batch writes those that it touches.
+BUCKETS = 64
+
+
 def upserted_usage(log: DataFrame, folder: str | None = None) -> DataFrame:
-    """Usage per session user, upserted by micro-batch: each batch reads the last version before it and writes its own.
+    """Usage per session user, upserted by micro-batch: a batch reads the buckets of its own keys and writes these again.
 
-    Versions and the stream's checkpoint stand in a folder. A later call with the same folder resumes there, in a new
-    session, too; a replayed batch writes its own version again from the one before, so it counts once.
+    A version is a list of buckets and of the batches that wrote them. Versions, buckets and the stream's checkpoint stand in a folder. A
+    later call with the same folder resumes there, in a new session, too; a replayed batch writes its own version again from the
+    one before, so it counts once. Buckets that the last two versions don't name are deleted.
     """
     spark = log.sparkSession
     at = folder or scratch_path(spark, "usage")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(of: str) -> list[str]:
+        return [f.getPath().getName() for f in fs.listStatus(path(of))] if fs.exists(path(of)) else []
 
     def known() -> list[int]:
         """Versions that were written whole."""
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(path(at))] if fs.exists(path(at)) else []
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(path(f"{at}/{n}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names(f"{at}/versions") if fs.exists(path(f"{at}/versions/{n}/_SUCCESS")))
+
+    def buckets(version: int) -> dict[int, int]:
+        return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").parquet(f"{at}/versions/v{version}").collect()}  # BUCKETS rows
+
+    def rows(of: dict[int, int]) -> DataFrame:
+        return spark.read.parquet(*[f"{at}/data/v{batch}/bucket={b}" for b, batch in sorted(of.items())])
 
     def sink(df: DataFrame, epoch: int) -> None:
-        new = usage(df.withColumnRenamed("session_id", "item"), "item", "timestamp", "latency_ms")
         before = [e for e in known() if e < epoch]
-        out = usage_update(spark.read.parquet(f"{at}/v{before[-1]}"), new, "item") if before else new
-        out.write.mode("overwrite").parquet(f"{at}/v{epoch}")
+        old = buckets(before[-1]) if before else {}
+        new = stored(usage(df.withColumnRenamed("session_id", "item"), "item", "timestamp", "latency_ms"), "usage-batch")
+        bucket = F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("int")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]
+        held = {b: old[b] for b in touched if b in old}
+        out = usage_update(rows(held), new, "item") if held else new
+        out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/data/v{epoch}")
+        discard(new)
+        now = list((old | dict.fromkeys(touched, epoch)).items())
+        spark.createDataFrame(now, "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{at}/versions/v{epoch}")
+        last = known()
+        used = {f"v{batch}/bucket={b}" for v in last[-2:] for b, batch in buckets(v).items()}
+        for batch in names(f"{at}/data"):
+            if int(batch[1:]) < last[-1]:
+                for b in names(f"{at}/data/{batch}"):
+                    if b.startswith("bucket=") and f"{batch}/{b}" not in used:
+                        fs.delete(path(f"{at}/data/{batch}/{b}"), True)
+        for v in last[:-2]:
+            fs.delete(path(f"{at}/versions/v{v}"), True)
 
     q = log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{at}/v{known()[-1]}")
+    out = rows(buckets(known()[-1]))
     return out.select("item", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_used").cast("timestamp_ntz").alias("last_used"), "use_count", "last_score")

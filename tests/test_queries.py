@@ -33,6 +33,10 @@ def key(rows):
     return sorted(rows, key=lambda r: tuple(x or "" for x in r))
 
 
+#: Queries whose rows the smallest tables don't hold.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", [q.name for q in REGISTRY.values() if q.sql])
 def test_oracle(name, spark, sf, duck):
     q = REGISTRY[name]
@@ -40,11 +44,12 @@ def test_oracle(name, spark, sf, duck):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda d: key([tuple(map(plain, r)) for r in d[sorted(d.columns)].itertuples(index=False)])
     assert rows(got) == rows(want)
+    assert len(got) or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", [q.name for q in REGISTRY.values() if not q.sql])
 def test_runs(name, spark, sf):
-    REGISTRY[name].run(spark, sf).count()
+    assert REGISTRY[name].run(spark, sf).count() > 0
 
 
 def test_survey_is_covered():

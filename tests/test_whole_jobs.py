@@ -39,3 +39,29 @@ def test_lsh_recall_of_the_registered_query(spark):
     found = {(r.a, r.b) for r in REGISTRY["lsh_pairs"].run(spark, sf).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact)
     print("lsh recall", len(found), len(exact))
+
+
+def test_mmr_of_the_registered_query(spark):
+    """Diversity penalty and greedy choice, done again in plain Python over the fifty best rows."""
+    from strandline.operators import keyword_index as N
+    from strandline.operators import search as S
+
+    sf = "/root/testdata/sf0.01"
+    best = S.top(N.index_scores(spark, retrieval.keyword_index(spark, sf), retrieval.QUERY), "bm25", 50).collect()
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").where(F.col("doc_id").isin([r.id for r in best])).collect()}
+    low, high = min(r.bm25 for r in best), max(r.bm25 for r in best)
+    score = {r.id: (r.bm25 - low) / (high - low) for r in best}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    words = lambda t: set(t.lower().split())
+    order, seen = sorted(score, key=lambda i: (-score[i], i)), []
+    for i in order:
+        head = words(texts[i][:100])
+        lowered = score[i] - 0.1 * any(share(head, x) > 0.8 for x in seen)
+        seen.append(head)
+        score[i] = lowered
+    picked = []
+    while len(picked) < 10:
+        left = [i for i in score if i not in picked]
+        picked.append(max(left, key=lambda i: (0.7 * score[i] - 0.3 * max([share(words(texts[i]), words(texts[j])) for j in picked], default=0.0), score[i], -i)))
+    got = sorted(REGISTRY["mmr_rerank"].run(spark, sf).collect(), key=lambda r: r.position)
+    assert [r.id for r in got] == picked
