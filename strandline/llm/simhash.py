@@ -14,7 +14,7 @@ Equal fingerprints meet in an aggregation before any of this, so a group of copi
 fingerprint, whatever its size.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0, which links like
-any other; repeated rows share fingerprint and component; a null doc_id takes part but is never a
+any other; a bit that half of the hashes have is 0; very long texts are hashed in parts; repeated rows share fingerprint and component; a null doc_id takes part but is never a
 component's id unless all of its ids are null; an empty table gives no rows; further columns are not
 read.
 """

@@ -20,7 +20,8 @@ document; it stands in the rep columns of the others.
 
 Defined results: null, empty and short texts have no passages; a row without a doc_id isn't compared;
 identical rows are one document; rows that share a doc_id but not a text are documents of their own, told apart by
-version, the hash of the text; repeats inside one document aren't passages; an empty table gives no rows; further
+version, the hash of the text; equal texts under several ids are told from the smallest of them; repeats inside one document aren't passages; a very
+long text is one block, held whole by a task with some 100 bytes a word; an empty table gives no rows; further
 columns are not read, and remove_passages() carries them.
 """
 
