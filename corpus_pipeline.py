@@ -26,7 +26,11 @@ def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; fitted on labelled documents that aren't held out."""
+    """Documents that the classifier accepts; fitted on labelled documents that aren't held out.
+
+    Null and empty texts are scored like any other, rows without an id too; repeated rows stay or go together; a score at
+    the threshold is accepted.
+    """
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     score = fresh(docs, "score")
     return _same_columns(with_scores(docs, model, score).where(F.col(score) >= THRESHOLD), docs)
@@ -50,17 +54,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier document holds."""
+    """Documents without passages that an earlier document holds.
+
+    Rows without an id and null, empty or short texts stay as they are; identical rows are one document; documents that are left
+    without a word go; very long texts are cut whole.
+    """
     return remove_passages(docs, repeated_passages(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks."""
+    """Documents as often as their source's target weight asks.
+
+    A null source is a source; empty texts weigh nothing and come as often as their source's other documents; repeated rows are documents of their own.
+    """
     return mix(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens and ids of every row; null and empty texts have no ids."""
     encoded = encode_documents(docs, load_unigram(tokenizer_path("piece_bpe_32k.model")))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
