@@ -55,8 +55,9 @@ SHINGLE, RAREST = 5, 48
 
 def shingles(content: Column, n: int = SHINGLE) -> Column:
     """Distinct hashes of all runs of n characters; a shorter text is one run."""
-    last = F.greatest(F.length(content) - n + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(content, i, F.lit(n)))))
+    # characters are cut once and bound by the outer transform, so a run is found by its place and not by counting from the start
+    runs = F.transform(F.array(F.split(content, "")), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(c, i, n))))
+    return F.array_distinct(F.element_at(runs, 1))
 
 
 def rename_candidates(deleted: DataFrame, added: DataFrame, rarest: int = RAREST) -> DataFrame:

@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from strandline.functions.scores import severity
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
+def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, name: str, bins: int = 1024) -> DataFrame:
     """The value at place min(int(n * share), n - 1) of each group's sorted values.
 
-    Counts of each distinct value are summed up to the place: the groups' rows never meet in one
-    list, and equal values shrink before the shuffle.
+    Values are first counted in bins of equal width between a group's bounds. Only the bin that holds the place is looked into: counts of its distinct
+    values are summed up to the place. So no task sorts a group, unless its values all stand close together.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("_c").over(Window.partitionBy(*by))
-    place = F.least(F.floor(total * share), total - 1)
-    reached = counts.withColumn("_up", up_to).withColumn("_place", place).where("_up > _place")
-    return reached.groupBy(*by).agg(F.min(value).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    bounds = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        return left.join(right, same).drop(*[f"_r_{c}" for c in by])
+
+    width = (F.col("_hi") - F.col("_lo")).cast("double")
+    place_in = F.floor((F.col(value) - F.col("_lo")) / width * bins)
+    bin_ = F.when(width > 0, F.coalesce(F.least(place_in, F.lit(bins - 1)), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    binned = joined(rows, bounds).withColumn("_bin", bin_)
+    counts = binned.groupBy(*by, "_n", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))  # bins rows a group
+    place = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
+    holds = counts.withColumn("_up", up_to).withColumn("_place", place).where("_up > _place AND _up - _c <= _place").select(*by, F.col("_bin").alias("_at"), (F.col("_up") - F.col("_c")).alias("_before"), "_place")
+    inside = joined(binned, holds).where("_bin = _at").groupBy(*by, value, "_before", "_place").agg(F.count(F.lit(1)).alias("_c"))
+    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy(value)) + F.col("_before")
+    return inside.withColumn("_up", reached).where("_up > _place").groupBy(*by).agg(F.min(value).alias(name))
 
 
 def daily(df: DataFrame, time: str, *aggs: Column) -> DataFrame:

@@ -90,3 +90,27 @@ def test_sketched_ranks_are_bounded(spark):
         for share, x in ((0.05, got.p05), (0.5, got.p50), (0.95, got.p95)):
             assert sum(v < x for v in r.v) / len(r.v) - K.RANK_ERROR <= share <= sum(v <= x for v in r.v) / len(r.v) + K.RANK_ERROR
     assert REGISTRY["sketch_history"].run(spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_nearest_rank_brute_force(spark):
+    from strandline.operators import metrics as M
+
+    rng = random.Random(9)
+    inf = float("inf")
+    groups = {"even": [rng.random() for _ in range(500)], "skew": [rng.paretovariate(0.3) for _ in range(400)], "same": [7.0] * 50, "one": [-3.5], None: [1.0, 2.0, 2.0, inf], "ends": [-inf, 0.0, 1.0, 5.0, inf, inf], "none": [None, None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        want = {k: sorted(vs)[min(int(len(vs) * share), len(vs) - 1)] for k, vs in groups.items() if k != "none"}
+        assert {r.k: r.p for r in M.nearest_rank(df, ["k"], "v", share, "p", bins=16).collect()} == want
+
+
+def test_shingles_of_long_files(spark):
+    from strandline.operators import changes as H
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh \n") for _ in range(100_000))
+    df = spark.createDataFrame([(text,), ("abc",), ("",), ("abcdef",)], "t string").select("t", F.size(H.shingles(F.col("t"))).alias("n"))
+    got = {len(r.t): r.n for r in df.collect()}
+    assert got == {100_000: len({text[i : i + 5] for i in range(99_996)}), 3: 1, 0: 1, 6: 2}
