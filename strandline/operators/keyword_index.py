@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ POSTINGS = "term string, zone int, n int, max_tf int, min_dl int, entries array<
 FORWARD = "id {id}, dl int, terms array<struct<term: string, tf: int>>, segment int"
 TERMS = "term string, df long, segment int, bucket int"
 DEAD = "in_segment int, id {id}, segment int"
+FIGURES = "n_docs long, n_tokens long, avg_doc_len double, n_terms long, id_type string, stamp string, segments array<int>, term_segments array<int>, dead_segments array<int>"
+#: Lists of a query that hold no more postings than this in all are read whole: that is cheaper than finding out which blocks may be left out.
+FEW_POSTINGS = 1_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -56,40 +60,59 @@ def claimed_version(spark: SparkSession, path: str) -> int:
 
 def figures(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """n_docs, n_tokens, avg_doc_len, n_terms and what a version consists of: one row."""
-    return spark.read.parquet(f"{path}/v{version or versions(spark, path)[-1]}/figures")
+    return spark.read.schema(FIGURES).parquet(f"{path}/v{version or versions(spark, path)[-1]}/figures")
 
 
 def bucket_of(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
-def _read(spark: SparkSession, path: str, what: str, segments: list[int], schema: str) -> DataFrame:
-    read = spark.read.schema(schema)
-    if not segments:
+def _read(spark: SparkSession, path: str, what: str, segments: list[int], schema: str, buckets: list[int] | None = None) -> DataFrame:
+    """Some segments of a table; with buckets only the folders of these are listed."""
+    at = [f"{path}/{what}/segment={n}" for n in segments]
+    if buckets is not None:
+        at = [f for x in at for b in buckets if (folder := _fs(spark, f"{x}/bucket={b}"))[1].exists(folder[0]) for f in [f"{x}/bucket={b}"]]
+    if not at:
         return spark.createDataFrame([], schema)
-    return read.option("basePath", f"{path}/{what}").parquet(*[f"{path}/{what}/segment={n}" for n in segments])
+    return spark.read.schema(schema).option("basePath", f"{path}/{what}").parquet(*at)
 
 
 class Version:
-    """The tables of one version."""
+    """The tables of one version. Each is listed when it is first asked for."""
 
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark, self.path = spark, path
         self.row = figures(spark, path, version).first()
-        kind = self.row["id_type"]
-        self.postings = _read(spark, path, "postings", self.row["segments"], POSTINGS.format(id=kind))
-        self.forward = _read(spark, path, "forward", self.row["segments"], FORWARD.format(id=kind))
-        self.terms = _read(spark, path, "terms", self.row["term_segments"], TERMS)
-        self.dead = _read(spark, path, "dead", self.row["dead_segments"], DEAD.format(id=kind)).select(F.col("in_segment").alias("segment"), "id")
+        self.kind = self.row["id_type"]
+
+    def _whole(self, what: str, buckets: list[int] | None = None) -> DataFrame:
+        column, schema = {"postings": ("segments", POSTINGS), "forward": ("segments", FORWARD), "terms": ("term_segments", TERMS), "dead": ("dead_segments", DEAD)}[what]
+        return _read(self.spark, self.path, what, self.row[column], schema.format(id=self.kind), buckets)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._whole("postings")
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        return self._whole("forward")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self._whole("terms")
+
+    @cached_property
+    def dead(self) -> DataFrame:
+        return self._whole("dead").select(F.col("in_segment").alias("segment"), "id")
 
     def live(self, rows: DataFrame) -> DataFrame:
         """rows (segment, id, ...) without dead ones."""
         return rows.join(self.dead, ["segment", "id"], "left_anti") if self.row["dead_segments"] else rows
 
-    def of_terms(self, table: DataFrame, terms: list[str]) -> DataFrame:
-        """Rows of some terms: only their buckets and row groups are read."""
+    def of_terms(self, what: str, terms: list[str]) -> DataFrame:
+        """Rows of some terms in postings or terms: only their buckets are listed, and of these only some row groups read."""
         mine = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-        return table.where(F.col("bucket").isin(mine) & F.col("term").isin(terms))
+        return self._whole(what, mine).where(F.col("bucket").isin(mine) & F.col("term").isin(terms))
 
 
 def _counted(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -128,7 +151,7 @@ def _write_terms(counts: DataFrame, path: str, number: int) -> None:
 def _publish(spark: SparkSession, path: str, number: int, kind: str, parts: dict, docs: int, n_tokens: int, stamp: str) -> int:
     terms = _read(spark, path, "terms", parts["term_segments"], TERMS).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").count()
     row = (docs, n_tokens, n_tokens / docs if docs else None, terms, kind, stamp, parts["segments"], parts["term_segments"], parts["dead_segments"])
-    spark.createDataFrame([row], "n_docs long, n_tokens long, avg_doc_len double, n_terms long, id_type string, stamp string, segments array<int>, term_segments array<int>, dead_segments array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/figures")
+    spark.createDataFrame([row], FIGURES).coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/figures")
     return number
 
 
@@ -214,10 +237,11 @@ class Query:
     def __init__(self, spark: SparkSession, path: str, query: str, k1: float, b: float):
         self.version, self.k1, self.b = Version(spark, path), k1, b
         often = Counter(query_tokens(query))
-        rows = self.version.of_terms(self.version.terms, sorted(often)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if often else None
-        rows = rows.select("term", _idf(F.lit(self.version.row["n_docs"]), F.col("df"))).collect() if often else []  # a row a term of the query
+        rows = self.version.of_terms("terms", sorted(often)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if often else None
+        rows = rows.select("term", _idf(F.lit(self.version.row["n_docs"]), F.col("df")), "df").collect() if often else []  # a row a term of the query
         self.idf = {r[0]: often[r[0]] * r[1] for r in rows}
-        self.blocks = self.version.of_terms(self.version.postings, sorted(self.idf) or [""])
+        self.df = {r[0]: r[2] for r in rows}
+        self.blocks = self.version.of_terms("postings", sorted(self.idf) or [""])
 
     def part(self, tf: Column, dl: Column) -> Column:
         weight = F.create_map(*[F.lit(x) for kv in sorted(self.idf.items()) for x in kv])[F.col("term")] if self.idf else F.lit(0.0)
@@ -261,10 +285,13 @@ def needed_blocks(q: Query, k: int) -> DataFrame:
 def index_top(spark: SparkSession, path: str, query: str, k: int, k1: float = K1, b: float = B, delta: float | None = None, ids: DataFrame | None = None) -> DataFrame:
     """The k best rows by bm25, ties to the smaller id; ids (id) fill up with rows without a term of the query, if fewer match.
 
-    Zones that can't reach the k-th place are left out before their entries are read.
+    Of long lists, zones that can't reach the k-th place are left out before their entries are read.
     """
     q = Query(spark, path, query, k1, b)
-    found = stored(q.scores(needed_blocks(q, k)).orderBy(F.col("bm25").desc(), "id").limit(k), "best")
-    if ids is not None and (n := found.count()) < k:
-        found = found.union(ids.join(found, "id", "left_anti").orderBy("id").limit(k - n).select("id", F.lit(0.0)))
+    blocks = q.blocks if sum(q.df.values()) <= FEW_POSTINGS else needed_blocks(q, k)
+    found = q.scores(blocks).orderBy(F.col("bm25").desc(), "id").limit(k)
+    if ids is not None and max(q.df.values(), default=0) < k:  # else one term alone has k rows
+        found = stored(found, "best")
+        if (n := found.count()) < k:
+            found = found.union(ids.join(found, "id", "left_anti").orderBy("id").limit(k - n).select("id", F.lit(0.0)))
     return found.withColumn("bm25", F.col("bm25") + q.plus(delta)).orderBy(F.col("bm25").desc(), "id")

@@ -280,12 +280,28 @@ def search_quality(spark, sf):
     return found.select(F.round("best", 6).alias("best"), F.round("worst", 6).alias("worst"), label.alias("quality"))
 
 
-@query("J16 J17")
+def _mmr_sql(k: int) -> str:
+    """Fifty best rows, scaled and lowered by a better row whose head is alike; then a CTE with the best row left for each of k places."""
+    words = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda y: y <> ''))"
+    share = lambda a, b: f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+    ctes = [
+        "best AS MATERIALIZED (SELECT id, content, round(bm25, 9) AS bm25 FROM kw JOIN mem USING (id) WHERE bm25 > 0 ORDER BY round(kw.bm25, 9) DESC, id LIMIT 50)",
+        f"sc AS MATERIALIZED (SELECT id, (bm25 - lo) / (hi - lo) AS score, {words('content')} AS w, {words('content[1:100]')} AS head FROM best, (SELECT min(bm25) AS lo, max(bm25) AS hi FROM best))",
+        f"n0 AS MATERIALIZED (SELECT id, score - 0.1::DOUBLE * EXISTS (SELECT 1 FROM sc b WHERE (b.score > a.score OR b.score = a.score AND b.id < a.id) AND {share('a.head', 'b.head')} > 0.8::DOUBLE)::INT AS score, w, 0::DOUBLE AS near FROM sc a)",
+    ]
+    for i in range(k):
+        ctes.append(f"p{i} AS MATERIALIZED (SELECT id, score, w FROM n{i} ORDER BY 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * near DESC, score DESC, id LIMIT 1)")
+        ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT n{i}.id, n{i}.score, n{i}.w, greatest(near, {share(f'n{i}.w', f'p{i}.w')}) AS near FROM n{i}, p{i} WHERE n{i}.id <> p{i}.id)")
+    picks = " UNION ALL ".join(f"SELECT '{QUERY}' AS query, id, round(score, 6) AS score, {i + 1} AS position FROM p{i}" for i in range(k))
+    return f"{WITH_KW}, {', '.join(ctes)} {picks}"
+
+
+@query("J16 J17", _mmr_sql(10))
 def mmr_rerank(spark, sf):
-    best = S.top(_bm25(spark, sf), "bm25", 50).join(memories(spark, sf).select("id", "content"), "id")
+    best = S.top(_bm25(spark, sf).withColumn("bm25", F.round("bm25", 9)), "bm25", 50).join(memories(spark, sf).select("id", "content"), "id")
     best = best.select(F.lit(QUERY).alias("query"), "id", F.col("bm25").alias("score"), "content")
     best = S.scaled(best, "score", "scaled").withColumn("score", F.col("scaled"))
-    return S.mmr(S.diversified(best).join(best.select("id", "content"), "id"), 10)
+    return S.mmr(S.diversified(best).join(best.select("id", "content"), "id"), 10).withColumn("score", F.round("score", 6))
 
 
 @query("J18 M4", f"{WITH_KW} SELECT id, round(bm25 / ln(length(content) + 2), 6) AS score FROM kw JOIN mem USING (id) WHERE bm25 > 0")

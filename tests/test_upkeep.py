@@ -1,6 +1,7 @@
 """The stored index, the stream that resumes, jobs, caches and ids, on small fixtures."""
 
 import uuid
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,11 +26,13 @@ def test_index_versions(spark, tmp_path):
             scan = {r.id: pytest.approx(r.bm25) for r in S.bm25_scores(docs, q, delta=delta).collect()}
             assert {r.id: r.bm25 for r in N.index_scores(spark, path, q, ids=docs.select("id"), delta=delta).collect()} == scan
     now = N.Version(spark, path)
-    plan = now.of_terms(now.postings, ["alpha"])._jdf.queryExecution().toString()
+    lists = now.of_terms("postings", ["alpha"])
+    plan = lists._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1]
+    assert {f.split("/bucket=")[1].split("/")[0] for f in lists.inputFiles()} == {str(zlib.crc32(b"alpha") % N.BUCKETS)}
 
 
-def test_index_segments(spark, tmp_path):
+def test_index_segments(spark, tmp_path, monkeypatch):
     """Replacing 1 % writes no old file again, scores are those of a fresh index, and a top-k reads fewer rows than the lists hold."""
     import random
     from pathlib import Path
@@ -50,7 +53,8 @@ def test_index_segments(spark, tmp_path):
     now = {i: t for i, t in (first | changed).items() if i not in gone}
     N.write_index(table(now), fresh)
 
-    def same():
+    def same(few=N.FEW_POSTINGS):
+        monkeypatch.setattr(N, "FEW_POSTINGS", few)
         for q in ("w1 w2 rare", "rare", "w3 w50 w3", "nothing", ""):
             want = {r.id: pytest.approx(r.bm25) for r in N.index_scores(spark, fresh, q).collect()}
             assert {r.id: r.bm25 for r in N.index_scores(spark, path, q).collect()} == want
@@ -61,6 +65,7 @@ def test_index_segments(spark, tmp_path):
         assert sorted(map(tuple, N.document_frequencies(spark, path).select("term", "df").collect())) == sorted(map(tuple, N.document_frequencies(spark, fresh).select("term", "df").collect()))
 
     same()
+    same(few=0)  # however short the lists are, blocks are left out
     q = N.Query(spark, fresh, "rare w1", N.K1, N.B)
     rows = lambda b: b.agg(F.sum("n")).first()[0]
     assert rows(N.needed_blocks(q, 10)) < 0.7 * rows(q.blocks)
