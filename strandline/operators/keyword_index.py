@@ -15,17 +15,23 @@ import zlib
 from collections import Counter
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import query_tokens, tokens
 from strandline.operators.search import K1, B
-from strandline.session import discard, spread, stored
+from strandline.session import spread, stored
 
 BUCKETS, ZONE = 64, 256
+#: A zone of long documents holds fewer of them: a task inverts one zone at a time.
+ZONE_TOKENS = 500_000
 #: Zones that a search for the best rows looks into for its first threshold.
 FIRST_ZONES = 8
-POSTINGS = "term string, zone int, n int, max_tf int, min_dl int, entries array<struct<id: {id}, tf: int, dl: int>>, segment int, bucket int"
+BLOCKS = "term string, zone int, n int, max_tf int, min_dl int, entries array<struct<id: {id}, tf: int, dl: int>>"
+POSTINGS = BLOCKS + ", segment int, bucket int"
 FORWARD = "id {id}, dl int, terms array<struct<term: string, tf: int>>, segment int"
 TERMS = "term string, df long, segment int, bucket int"
 DEAD = "in_segment int, id {id}, segment int"
@@ -116,30 +122,61 @@ class Version:
 
 
 def _counted(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, dl, terms (term, tf) of every row: one pass over the texts."""
-    lists = spread(docs.select(F.col(id_).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t")))
-    lists = lists.withColumn("dl", F.size("t"))
-    counted = lists.select("id", "dl", F.explode_outer("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))  # a document's own terms
-    return counted.groupBy("id", "dl").agg(held.alias("terms"))
+    """id, dl, terms (term, tf) of every row: one pass over the texts, no shuffle. Ids are unique, as everywhere in the index.
 
+    A row's tokens are sorted; a term's count is the distance between the places where its run and the next one begin.
+    """
+    lists = spread(docs.select(F.col(id_).alias("id"), F.sort_array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("t")))
+    place = F.transform("t", lambda x, i: i)
+    starts = lists.withColumn("starts", F.filter(place, lambda i: (i == 0) | (F.col("t")[i] != F.col("t")[i - 1])))
+    run = F.transform("starts", lambda i, j: F.struct(F.col("t")[i].alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("t")) - i).alias("tf")))
+    return starts.select("id", F.size("t").alias("dl"), run.alias("terms"))
+
+
+def _write_forward(rows: DataFrame, path: str, number: int) -> DataFrame:
+    """A segment's forward rows, written and read back. They count once a version names the segment."""
+    rows.sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/forward/segment={number}")
+    return _read(rows.sparkSession, path, "forward", [number], FORWARD.format(id=dict(rows.dtypes)["id"])).select("id", "dl", "terms")
+
+
+def _write_postings(forward: DataFrame, path: str, number: int) -> None:
+    """A segment's postings. forward: a written table of id, dl, terms.
+
+    Blocks belong to a zone, so whole documents are dealt to their zones and inverted there: what is shuffled is a row a document, then a row a block.
+    """
+
+    def inverted(rows: pa.Table) -> pa.Table:
+        """A zone's forward rows as its blocks, one for each term."""
+        rows = rows.combine_chunks()
+        lists = rows.column("terms").chunk(0)
+        term, tf = lists.flatten().flatten()
+        place = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = term.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        n = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32)
+        begins = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        place, tf = place[order], tf.to_numpy(zero_copy_only=False)[order]
+        dl = rows.column("dl").chunk(0).to_numpy(zero_copy_only=False)[place]
+        ids = rows.column("id").chunk(0).take(pa.array(place))
+        entries = pa.ListArray.from_arrays(pa.array(begins), pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["id", "tf", "dl"]))
+        most, least = (f.reduceat(x, begins[:-1]) if len(x) else x for f, x in ((np.maximum, tf), (np.minimum, dl)))
+        zone = pa.array(np.full(len(n), rows.column("zone")[0].as_py(), np.int32))
+        return pa.table({"term": coded.dictionary, "zone": zone, "n": pa.array(n), "max_tf": pa.array(most), "min_dl": pa.array(least), "entries": entries})
 
-def _write_segment(forward: DataFrame, path: str, number: int) -> None:
-    """Postings and forward rows of a segment. forward: a stored table of id, dl, terms."""
     length = F.floor(F.log2(F.col("dl") + 1.0) * 4).cast("int")
-    sizes = {r[0]: r[1] for r in forward.groupBy(length.alias("k")).agg(F.count(F.lit(1))).collect()}  # four classes a doubling of length
+    sizes = forward.groupBy(length.alias("k")).agg(F.count(F.lit(1)), F.sum("dl")).collect()  # four classes a doubling of length
     first, zones = 0, {}
-    for k, n in sorted(sizes.items()):
-        zones[k] = (first, max(1, -(-n // ZONE)))
+    for k, n, dl in sorted(sizes):
+        zones[k] = (first, max(1, -(-n // ZONE), -(-dl // ZONE_TOKENS)))
         first += zones[k][1]
     pick = lambda i: F.create_map(*[F.lit(x) for k, v in zones.items() for x in (k, v[i])])[length]
     zone = (pick(0) + F.pmod(F.xxhash64("id"), pick(1))).cast("int") if zones else F.lit(0)
-    entries = forward.select("id", "dl", zone.alias("zone"), F.explode("terms").alias("e")).select("id", "dl", "zone", "e.term", "e.tf")
-    blocks = entries.groupBy("term", "zone").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("id", "tf", "dl")).alias("entries"))
+    dealt = forward.where(F.size("terms") > 0).withColumn("zone", zone)
+    blocks = dealt.groupBy("zone").applyInArrow(inverted, BLOCKS.format(id=dict(forward.dtypes)["id"]))
     # a frequent term's bucket may hold many rows: large partitions are split, small ones joined
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "zone")
     blocks.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings/segment={number}")
-    forward.sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/forward/segment={number}")
 
 
 def _write_terms(counts: DataFrame, path: str, number: int) -> None:
@@ -163,19 +200,17 @@ def _totals(forward: DataFrame) -> tuple[int, int]:
 def write_index(docs: DataFrame, path: str, id_: str = "id", text: str = "content", stamp: str = "") -> int:
     """Writes a version that holds these documents alone, as one segment, and returns its number."""
     spark, number = docs.sparkSession, claimed_version(docs.sparkSession, path)
-    forward = stored(_counted(docs, id_, text), "forward")
-    _write_segment(forward, path, number)
+    forward = _write_forward(_counted(docs, id_, text), path, number)
+    _write_postings(forward, path, number)
     _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
-    done = _publish(spark, path, number, dict(forward.dtypes)["id"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), stamp)
-    discard(forward)
-    return done
+    return _publish(spark, path, number, dict(forward.dtypes)["id"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), stamp)
 
 
 def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None, deleted: DataFrame | None = None, id_: str = "id", text: str = "content") -> int:
     """The next version: docs replace those of their ids or are new, deleted (id) go. No older segment is written again."""
     number, now = claimed_version(spark, path), Version(spark, path)
     kind, parts = now.row["id_type"], {k: list(now.row[k]) for k in ("segments", "term_segments", "dead_segments")}
-    new = stored(_counted(docs, id_, text), "forward") if docs is not None else None
+    new = _write_forward(_counted(docs, id_, text), path, number) if docs is not None else None
     gone = deleted.select(F.col(id_).cast(kind).alias("id")) if deleted is not None else spark.createDataFrame([], f"id {kind}")
     gone = gone.union(new.select("id")) if new is not None else gone
     dead = stored(now.live(now.forward.join(gone.distinct(), "id", "left_semi")), "dead")
@@ -186,7 +221,7 @@ def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None,
         dead.select(F.col("segment").alias("in_segment"), "id").write.mode("overwrite").parquet(f"{path}/dead/segment={number}")
         parts["dead_segments"].append(number)
     if new is not None and (added := _totals(new))[0]:
-        _write_segment(new, path, number)
+        _write_postings(new, path, number)
         parts["segments"].append(number)
         counts = counts.union(new.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")))
         n_docs, n_tokens = n_docs + added[0], n_tokens + added[1]
@@ -198,8 +233,8 @@ def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None,
 def merge(spark: SparkSession, path: str) -> int:
     """The next version: all living documents in one segment, from the forward rows; no text is read."""
     number, now = claimed_version(spark, path), Version(spark, path)
-    forward = stored(now.live(now.forward).select("id", "dl", "terms"), "forward")
-    _write_segment(forward, path, number)
+    forward = _write_forward(now.live(now.forward).select("id", "dl", "terms"), path, number)
+    _write_postings(forward, path, number)
     _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
     return _publish(spark, path, number, now.row["id_type"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), now.row["stamp"])
 
