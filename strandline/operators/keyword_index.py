@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -28,6 +29,8 @@ from strandline.session import spread, stored
 BUCKETS, ZONE = 64, 256
 #: A zone of long documents holds fewer of them: a task inverts one zone at a time.
 ZONE_TOKENS = 500_000
+#: Postings that a task sorts and writes.
+TASK_POSTINGS = 1_000_000
 #: Zones that a search for the best rows looks into for its first threshold.
 FIRST_ZONES = 8
 BLOCKS = "term string, zone int, n int, max_tf int, min_dl int, entries array<struct<id: {id}, tf: int, dl: int>>"
@@ -142,40 +145,73 @@ def _write_forward(rows: DataFrame, path: str, number: int) -> DataFrame:
 def _write_postings(forward: DataFrame, path: str, number: int) -> None:
     """A segment's postings. forward: a written table of id, dl, terms.
 
-    Blocks belong to a zone, so whole documents are dealt to their zones and inverted there: what is shuffled is a row a document, then a row a block.
+    Blocks belong to a zone, so whole documents are dealt to their zones and inverted there. What is shuffled is packed: a row a
+    document, then a row for each zone and bucket, whose terms are one string and whose numbers stand in arrays.
     """
 
+    def lists(of: pa.Array, begins: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), of)
+
     def inverted(rows: pa.Table) -> pa.Table:
-        """A zone's forward rows as its blocks, one for each term."""
         rows = rows.combine_chunks()
-        lists = rows.column("terms").chunk(0)
-        term, tf = lists.flatten().flatten()
-        place = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        coded = term.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        id_, dl, words, tf = (rows.column(c).chunk(0) for c in ("id", "dl", "words", "tf"))
+        place = np.repeat(np.arange(len(rows)), pc.list_value_length(tf).to_numpy(zero_copy_only=False))
+        coded = pc.split_pattern(words, " ").flatten().dictionary_encode()
+        bucket = np.array([zlib.crc32(t) % BUCKETS for t in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        by = np.argsort(bucket, kind="stable")
+        new = np.empty(len(by), np.int64)
+        new[by] = np.arange(len(by))
+        codes = new[coded.indices.to_numpy(zero_copy_only=False)]
         order = np.argsort(codes, kind="stable")
-        n = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32)
-        begins = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        place, tf = place[order], tf.to_numpy(zero_copy_only=False)[order]
-        dl = rows.column("dl").chunk(0).to_numpy(zero_copy_only=False)[place]
-        ids = rows.column("id").chunk(0).take(pa.array(place))
-        entries = pa.ListArray.from_arrays(pa.array(begins), pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["id", "tf", "dl"]))
-        most, least = (f.reduceat(x, begins[:-1]) if len(x) else x for f, x in ((np.maximum, tf), (np.minimum, dl)))
-        zone = pa.array(np.full(len(n), rows.column("zone")[0].as_py(), np.int32))
-        return pa.table({"term": coded.dictionary, "zone": zone, "n": pa.array(n), "max_tf": pa.array(most), "min_dl": pa.array(least), "entries": entries})
-
+        n = np.bincount(codes, minlength=len(by)).astype(np.int32)
+        place = place[order]
+        at = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))  # where a bucket's terms begin, and where their entries do
+        entries = np.concatenate([[0], np.cumsum(n)])[at]
+        out = {
+            "bucket": pa.array(np.arange(BUCKETS, dtype=np.int32)),
+            "zone": pa.array(np.full(BUCKETS, rows.column("zone")[0].as_py(), np.int32)),
+            "words": pc.binary_join(lists(coded.dictionary.take(pa.array(by)), at), " "),
+            "n": lists(pa.array(n), at),
+            "id": lists(id_.take(pa.array(place)), entries),
+            "tf": lists(tf.flatten().take(pa.array(order)), entries),
+            "dl": lists(dl.take(pa.array(place)), entries),
+        }
+        return pa.table(out).filter(pa.array(at[1:] > at[:-1]))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 64):
+                rows = whole.slice(first, 64)
+                n = rows["n"].flatten().to_numpy(zero_copy_only=False)
+                begins = np.concatenate([[0], np.cumsum(n)])
+                terms = pc.list_value_length(rows["n"]).to_numpy(zero_copy_only=False)
+                id_, tf, dl = (rows[c].flatten() for c in ("id", "tf", "dl"))
+                out = {
+                    "term": pc.split_pattern(rows["words"], " ").flatten(),
+                    "zone": pa.array(np.repeat(rows["zone"].to_numpy(zero_copy_only=False), terms)),
+                    "n": pa.array(n),
+                    "max_tf": pa.array(np.maximum.reduceat(tf.to_numpy(zero_copy_only=False), begins[:-1])),
+                    "min_dl": pa.array(np.minimum.reduceat(dl.to_numpy(zero_copy_only=False), begins[:-1])),
+                    "entries": lists(pa.StructArray.from_arrays([id_, tf, dl], ["id", "tf", "dl"]), begins),
+                    "bucket": pa.array(np.repeat(rows["bucket"].to_numpy(zero_copy_only=False), terms)),
+                }
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    spark, kind = forward.sparkSession, dict(forward.dtypes)["id"]
     length = F.floor(F.log2(F.col("dl") + 1.0) * 4).cast("int")
-    sizes = forward.groupBy(length.alias("k")).agg(F.count(F.lit(1)), F.sum("dl")).collect()  # four classes a doubling of length
+    sizes = forward.groupBy(length.alias("k")).agg(F.count(F.lit(1)), F.sum("dl"), F.sum(F.size("terms"))).collect()  # four classes a doubling of length
     first, zones = 0, {}
-    for k, n, dl in sorted(sizes):
+    for k, n, dl, _ in sorted(sizes):
         zones[k] = (first, max(1, -(-n // ZONE), -(-dl // ZONE_TOKENS)))
         first += zones[k][1]
     pick = lambda i: F.create_map(*[F.lit(x) for k, v in zones.items() for x in (k, v[i])])[length]
     zone = (pick(0) + F.pmod(F.xxhash64("id"), pick(1))).cast("int") if zones else F.lit(0)
-    dealt = forward.where(F.size("terms") > 0).withColumn("zone", zone)
-    blocks = dealt.groupBy("zone").applyInArrow(inverted, BLOCKS.format(id=dict(forward.dtypes)["id"]))
-    # a frequent term's bucket may hold many rows: large partitions are split, small ones joined
-    blocks = blocks.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "zone")
+    dealt = forward.where(F.size("terms") > 0).select(zone.alias("zone"), "id", "dl", F.concat_ws(" ", "terms.term").alias("words"), F.col("terms.tf").alias("tf"))
+    packed = dealt.groupBy("zone").applyInArrow(inverted, f"bucket int, zone int, words string, n array<int>, id array<{kind}>, tf array<int>, dl array<int>")
+    # zones give each bucket about as much, so a bucket that is large is cut by its zones
+    parts = -(-sum(r[3] for r in sizes) // TASK_POSTINGS)
+    packed = packed.repartition(max(parts, min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket", F.col("zone") % max(1, -(-parts // BUCKETS)))
+    blocks = packed.mapInArrow(unpacked, BLOCKS.format(id=kind) + ", bucket int").sortWithinPartitions("bucket", "term", "zone")
     blocks.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings/segment={number}")
 
 
