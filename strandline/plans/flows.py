@@ -243,7 +243,7 @@ def stream_debounced(spark, sf):
     from strandline.streaming.streams import drained, event_stream
 
     with_rocksdb(spark)
-    e = event_stream(spark, sf).select("timestamp", F.col("session_id").alias("path"), F.unix_millis("timestamp").alias("at"), F.col("id").alias("place"), F.col("id").alias("event_id"), F.col("latency_ms").alias("value"))
+    e = event_stream(spark, sf, in_ms=True).select("timestamp", F.col("session_id").alias("path"), F.unix_millis("timestamp").alias("at"), F.col("id").alias("place"), F.col("id").alias("event_id"), F.col("latency_ms").alias("value"))
     return drained(last_after_quiet(e, "path", {"event_id": "long", "value": "double"}, quiet_ms=QUIET_MS, key_type="long"), "append").select("path", F.col("at").alias("at_ms"), "event_id", "value")
 
 
@@ -257,5 +257,5 @@ def stream_shown_ids(spark, sf):
     from strandline.streaming.streams import drained, event_stream
 
     with_rocksdb(spark)
-    e = event_stream(spark, sf).select("timestamp", "session_id", (F.col("id") % 10).alias("id"), F.unix_millis("timestamp").alias("at"))
+    e = event_stream(spark, sf, in_ms=True).select("timestamp", "session_id", (F.col("id") % 10).alias("id"), F.unix_millis("timestamp").alias("at"))
     return drained(shown_in_session(e, GAP_MS), "update").select("session_id", "last", "n_shown")

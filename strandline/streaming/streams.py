@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,12 +13,22 @@ from strandline.operators.sessions import usage, usage_update
 from strandline.session import discard, scratch_path, stored
 
 
-def event_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour") -> DataFrame:
-    """The events file as a stream with event time and a watermark."""
+def nearest_ms(time: Column) -> Column:
+    """A time in whole milliseconds, the nearest, halves away from 1970: long."""
+    return F.call_function("div", F.round(F.unix_micros(time), -3), F.lit(1000))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, lateness: str = "1 hour", in_ms: bool = False) -> DataFrame:
+    """The events file as a stream with event time and a watermark.
+
+    in_ms: event times are the nearest milliseconds, before the watermark is taken from them, so it and what counts in milliseconds agree.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     folder, files = _folder(spark, sf_dir)
     e = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("latency_ms")).withWatermark("timestamp", lateness)
+    time = F.col("ts").cast("timestamp")
+    time = F.timestamp_millis(nearest_ms(time)) if in_ms else time
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("kind"), time.alias("timestamp"), F.col("value").alias("latency_ms")).withWatermark("timestamp", lateness)
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> tuple[str, str]:

@@ -230,3 +230,22 @@ def test_nearest_over_blocks(spark):
     for block_rows in (25, 1000):
         assert {(r.query, r.id) for r in S.nearest(v, 5, block_rows).collect()} == want
     assert S.nearest(v.limit(1), 5).count() == 0 and S.nearest(v.where("false"), 5).count() == 0
+
+
+def test_stream_times_are_the_nearest_milliseconds(spark, tmp_path):
+    """Times of microseconds, on both sides of half a millisecond; the watermark passes one path's quiet time by its rounded time alone."""
+    import duckdb
+
+    from strandline.plans import flows  # noqa: F401  it fills the registry
+    from strandline.plans.registry import REGISTRY
+
+    hour = 3600 * 10**6
+    times = {1: [1_500, 2 * hour + 1_500, 5 * hour + 2_499], 2: [7_499], 3: [7_500, 12 * hour + 500], 4: [8 * hour], 5: [11 * hour + 499]}
+    rows = [(i, u, t + 1_704_067_200_000_000) for i, (u, t) in enumerate((u, t) for u, ts in times.items() for t in ts)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t long").select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name, columns in (("stream_debounced", ["path", "at_ms", "event_id"]), ("stream_shown_ids", ["session_id", "last", "n_shown"])):
+        got = REGISTRY[name].run(spark, str(tmp_path)).select(columns).collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({REGISTRY[name].sql})").fetchall())
