@@ -310,7 +310,7 @@ class Query:
         often = Counter(query_tokens(query))
         rows = self.version.of_terms("terms", sorted(often)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if often else None
         rows = rows.select("term", _idf(F.lit(self.version.row["n_docs"]), F.col("df")), "df").collect() if often else []  # a row a term of the query
-        self.idf = {r[0]: often[r[0]] * r[1] for r in rows}
+        self.idf = {r[0]: often[r[0]] * r[1] for r in sorted(rows, key=lambda r: list(often).index(r[0]))}
         self.df = {r[0]: r[2] for r in rows}
         self.blocks = self.version.of_terms("postings", sorted(self.idf) or [""])
 
@@ -322,8 +322,11 @@ class Query:
         return sum(self.idf.values()) * delta if delta else 0.0
 
     def scores(self, blocks: DataFrame) -> DataFrame:
+        """id and bm25. A row's parts are added in the order of the query's terms, so rows of equal texts have equal scores to the last bit."""
         rows = blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.id", "e.tf", "e.dl")
-        return self.version.live(rows).groupBy("id").agg(F.sum(self.part(F.col("tf"), F.col("dl"))).alias("bm25"))
+        part = self.part(F.col("tf"), F.col("dl"))
+        each = [F.coalesce(F.sum(F.when(F.col("term") == t, part)), F.lit(0.0)) for t in self.idf]  # one part a row and term
+        return self.version.live(rows).groupBy("id").agg(sum(each[1:], each[0]).alias("bm25") if each else F.lit(0.0).alias("bm25"))
 
     def zones(self) -> DataFrame:
         """segment, zone and bound: no document of the zone scores more. Heads of blocks are read, no entries."""
@@ -343,26 +346,31 @@ def index_scores(spark: SparkSession, path: str, query: str, k1: float = K1, b:
     return found.withColumn("bm25", F.col("bm25") + q.plus(delta)) if delta is not None else found
 
 
-def needed_blocks(q: Query, k: int) -> DataFrame:
-    """The blocks of zones that may hold one of the k best rows: those whose bound reaches the k-th score of the most promising zones."""
+def needed_blocks(q: Query, k: int, plus: float = 0.0) -> DataFrame:
+    """The blocks of zones that may hold one of the k best rows: those whose bound reaches the k-th score of the most promising zones.
+
+    plus: what is added to all scores; those that are equal after that count as equal.
+    """
     zones = stored(q.zones(), "zones")
     in_zones = lambda z: q.blocks.join(z.select("segment", "zone"), ["segment", "zone"], "left_semi")
     first = q.scores(in_zones(zones.orderBy(F.col("bound").desc(), "segment", "zone").limit(FIRST_ZONES)))
     best = [r[0] for r in first.select("bm25").orderBy(F.col("bm25").desc()).limit(k).collect()]
-    least = best[-1] * (1 - 1e-12) if len(best) == k else 0.0  # sums may differ in their last bits
+    least = best[-1] - 1e-12 * (best[-1] + plus) if len(best) == k else 0.0  # sums may differ in their last bits
     return in_zones(zones.where(F.col("bound") >= least))
 
 
 def index_top(spark: SparkSession, path: str, query: str, k: int, k1: float = K1, b: float = B, delta: float | None = None, ids: DataFrame | None = None) -> DataFrame:
     """The k best rows by bm25, ties to the smaller id; ids (id) fill up with rows without a term of the query, if fewer match.
 
-    Of long lists, zones that can't reach the k-th place are left out before their entries are read.
+    Of long lists, zones that can't reach the k-th place are left out before their entries are read. What delta adds is added before rows are
+    ranked: a sum has fewer digits left for the difference of two rows, and equal sums go by id.
     """
     q = Query(spark, path, query, k1, b)
-    blocks = q.blocks if sum(q.df.values()) <= FEW_POSTINGS else needed_blocks(q, k)
-    found = q.scores(blocks).orderBy(F.col("bm25").desc(), "id").limit(k)
+    plus = q.plus(delta)
+    blocks = q.blocks if sum(q.df.values()) <= FEW_POSTINGS else needed_blocks(q, k, plus)
+    found = q.scores(blocks).withColumn("bm25", F.col("bm25") + plus).orderBy(F.col("bm25").desc(), "id").limit(k)
     if ids is not None and max(q.df.values(), default=0) < k:  # else one term alone has k rows
         found = stored(found, "best")
         if (n := found.count()) < k:
-            found = found.union(ids.join(found, "id", "left_anti").orderBy("id").limit(k - n).select("id", F.lit(0.0)))
-    return found.withColumn("bm25", F.col("bm25") + q.plus(delta)).orderBy(F.col("bm25").desc(), "id")
+            found = found.union(ids.join(found, "id", "left_anti").orderBy("id").limit(k - n).select("id", F.lit(plus)))
+    return found.orderBy(F.col("bm25").desc(), "id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.operators import keyword_index as N
 from strandline.operators import search as S
 from strandline.operators import upkeep as U
+from strandline.session import scratch_path
 
 
 def test_index_versions(spark, tmp_path):
@@ -107,3 +108,16 @@ def test_scratch_must_be_shared_on_a_cluster(spark):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         scratch_root(cluster)
+
+
+def test_bonus_counts_before_rows_are_ranked(spark):
+    """Rows that differ in the last bits of their score alone are equal with a bonus, and go by id."""
+    words = ["alpha", "beta", "gamma"]
+    rows = [(i, " ".join([words[i % 3]] * 2 + [words[(i + 1) % 3]] + ["filler"] * (i % 4))) for i in range(60)] + [(60 + i, "other") for i in range(60)]
+    path = scratch_path(spark, "test-index")
+    N.write_index(spark.createDataFrame(rows, "id long, content string"), path)
+    every = N.index_scores(spark, path, "gamma alpha beta", delta=1e6)
+    want = sorted(((-r.bm25, r.id) for r in every.collect()))[:25]
+    assert [(-r.bm25, r.id) for r in N.index_top(spark, path, "gamma alpha beta", 25, delta=1e6).collect()] == want
+    same = N.index_scores(spark, path, "beta gamma alpha").join(spark.createDataFrame(rows, "id long, content string"), "id").groupBy("content").agg(F.countDistinct("bm25").alias("n"))
+    assert same.where("n > 1").isEmpty()
