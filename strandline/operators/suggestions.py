@@ -35,7 +35,7 @@ def candidates(spark: SparkSession, path: str, interest: DataFrame, session: str
     whole = interest.groupBy(session).agg(F.sum("idf").alias("whole"))
     held = rows.join(interest, "term").groupBy(session, "id").agg(F.sum("idf").alias("held")).join(whole, session)
     place = F.row_number().over(Window.partitionBy(session).orderBy(F.col("similarity").desc(), "id"))
-    return held.select(session, "id", F.round(F.col("held") / F.col("whole"), 9).alias("similarity")).withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return held.select(session, "id", X.rounded(F.col("held") / F.col("whole"), 9).alias("similarity")).withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def suggested(found: DataFrame, rows: DataFrame, shown: DataFrame, age_days: Column, threshold: float = 0.5, most: int = 5, session: str = "session_id") -> DataFrame:
@@ -45,6 +45,6 @@ def suggested(found: DataFrame, rows: DataFrame, shown: DataFrame, age_days: Col
     """
     scored = found.join(rows, "id").join(shown.select(session, "id"), [session, "id"], "left_anti")
     confidence = X.suggestion_confidence(F.col("similarity"), X.stepped_recency(age_days), F.col("importance"), F.col("verified").cast("int"))
-    scored = scored.withColumn("confidence", F.round(confidence, 9)).where(F.col("confidence") >= threshold)
+    scored = scored.withColumn("confidence", X.rounded(confidence, 9)).where(F.col("confidence") >= threshold)
     place = F.row_number().over(Window.partitionBy(session).orderBy(F.col("confidence").desc(), "id"))
     return scored.withColumn("place", place).where(F.col("place") <= most).select(session, "id", "confidence", "place")

@@ -207,7 +207,7 @@ def proactive_suggestions(spark, sf):
     m = memories(spark, sf).select("id", "importance", "verified", "last_accessed")
     shown = found.where("id % 10 = conv_id % 10").select("conv_id", "id")
     out = P.suggested(found, m, shown, X.age_days(F.col("last_accessed"), as_of()), session="conv_id")
-    return out.select("conv_id", "id", F.round("confidence", 6).alias("confidence"), F.col("place").cast("long").alias("place"))
+    return out.select("conv_id", "id", X.rounded(F.col("confidence"), 6).alias("confidence"), F.col("place").cast("long").alias("place"))
 
 
 @query("E50", "WITH f AS (SELECT lang AS directory, source AS extension, count(*) AS n_files, sum(n_chars) AS bytes FROM documents GROUP BY ALL), x AS (SELECT *, n_files <= 2 AND round(bytes / sum(bytes) OVER (), 6) > 0.01 AS exclude FROM f) SELECT CAST(sum(n_files) AS BIGINT) AS n_files, CAST(coalesce(sum(n_files) FILTER (exclude), 0) AS BIGINT) AS n_left_out, CAST(coalesce(sum(bytes) FILTER (exclude), 0) AS BIGINT) AS bytes_saved, round(sum(n_files) * 0.1 / greatest(1.0, sum(n_files) * 0.1 - coalesce(sum(n_files) FILTER (exclude), 0) * 0.1)::DOUBLE, 6) AS speedup FROM x")

@@ -121,3 +121,18 @@ def test_bonus_counts_before_rows_are_ranked(spark):
     assert [(-r.bm25, r.id) for r in N.index_top(spark, path, "gamma alpha beta", 25, delta=1e6).collect()] == want
     same = N.index_scores(spark, path, "beta gamma alpha").join(spark.createDataFrame(rows, "id long, content string"), "id").groupBy("content").agg(F.countDistinct("bm25").alias("n"))
     assert same.where("n > 1").isEmpty()
+
+
+def test_confidence_rounds_as_sql_does(spark):
+    """Similarities of nine digits give halves at the ninth digit of the confidence: DuckDB's figures and places."""
+    import duckdb
+
+    from strandline.operators import suggestions as P
+
+    d = duckdb.sql("SELECT i % 40 AS session, i AS id, ((i * 7919777) % 1000003) / 1000003 AS x, (20 + i % 5 * 4) / 100 AS importance, i % 3 = 0 AS verified, [3, 20, 60, 100, 300][i % 5 + 1] AS age FROM range(4000) t(i)")
+    d = duckdb.sql("SELECT session, id, round(x, 9) AS similarity, importance, verified, age FROM d")
+    sql = "SELECT session, id, round(greatest(0, least(1, 0.5 * similarity + 0.2 * CASE WHEN age <= 7 THEN 1.0 WHEN age <= 30 THEN 0.8 WHEN age <= 90 THEN 0.5 WHEN age <= 180 THEN 0.3 ELSE 0.1 END + 0.2 * importance + 0.1 * verified::INT))::DOUBLE, 9) AS confidence FROM d"
+    want = duckdb.sql(f"SELECT session, id, confidence, row_number() OVER (PARTITION BY session ORDER BY confidence DESC, id) AS place FROM ({sql}) WHERE confidence >= 0.3 QUALIFY place <= 50").fetchall()
+    rows = spark.createDataFrame(d.df())
+    got = P.suggested(rows.select("session", "id", "similarity"), rows.select("id", "importance", "verified", "age"), rows.select("session", "id").where("false"), F.col("age"), threshold=0.3, most=50, session="session")
+    assert sorted(map(tuple, got.select("session", "id", "confidence", "place").collect())) == sorted(want)
