@@ -114,3 +114,18 @@ def test_shingles_of_long_files(spark):
     df = spark.createDataFrame([(text,), ("abc",), ("",), ("abcdef",)], "t string").select("t", F.size(H.shingles(F.col("t"))).alias("n"))
     got = {len(r.t): r.n for r in df.collect()}
     assert got == {100_000: len({text[i : i + 5] for i in range(99_996)}), 3: 1, 0: 1, 6: 2}
+
+
+def test_similar_sets_compare_few_pairs(spark):
+    """Sets of two hundred items that all share frequent ones, near copies and equal copies: hardly more pairs are compared than found."""
+    import glob
+
+    rng = random.Random(8)
+    sets = {i: sorted({int(rng.paretovariate(0.6)) % 3000 for _ in range(400)}) for i in range(120)}
+    sets |= {200 + i: sets[i][: len(sets[i]) - 12] for i in range(20)} | {300 + i: sets[0] for i in range(60)}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(x := set(sets[a]) & set(sets[b])) >= 0.6 * (len(sets[a]) + len(sets[b]) - len(x))}
+    before = set(glob.glob(f"{scratch_path(spark, '').rpartition('/')[0]}/met-sets-*"))
+    got = D.similar_sets(spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in sets.items()], "id long, items array<string>"), 0.6)
+    assert {(r.a, r.b) for r in got.collect()} == want
+    (met,) = set(glob.glob(f"{scratch_path(spark, '').rpartition('/')[0]}/met-sets-*")) - before
+    assert spark.read.parquet(met).count() < 1000 < len(want)  # of 9,730 pairs of different sets
