@@ -83,10 +83,14 @@ def nearest(rows: DataFrame, k: int, block_rows: int = 4000, id_: str = "id", em
             q = ids[asks][i : i + 256]
             s = m[asks][i : i + 256] @ targets.T
             s[q[:, None] == t[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # targets stand by id, so ties go to the smaller one
-            found = np.take_along_axis(s, best, axis=1)
-            keep = np.isfinite(found)
-            out.append((np.repeat(q, keep.sum(axis=1)), t[best][keep], found[keep]))
+            # a row's k-th value bounds what is sorted; targets stand by id, so ties go to the smaller one
+            least = np.partition(s, max(0, len(t) - k), axis=1)[:, max(0, len(t) - k)] if len(t) > k else np.full(len(q), -np.inf)
+            row, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            found = s[row, at]
+            order = np.lexsort((at, -found, row))
+            row, at, found = row[order], at[order], found[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((q[row[keep]], t[at[keep]], found[keep]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query": cols[0], "id": cols[1], "similarity": cols[2]})
 
