@@ -116,13 +116,20 @@ def json_round_trip(spark, sf):
     return import_json(spark, path, "id long, category string, importance double").withColumn("importance", F.round("importance", 6))
 
 
+#: Lines of one dump, more or less.
+DUMP_LINES = 1_000_000
+
+
 def _dumps(spark, sf):
     """Orders as commits and their lines as changes, written as a folder of dumps of many commits each."""
     head = table(spark, sf, "orders").select(F.col("o_orderkey").alias("dump"), F.lit(0).alias("line"), F.expr(DUMP).alias("value"))
     body = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     body = body.select(F.col("l_orderkey").alias("dump"), F.col("l_linenumber").alias("line"), F.concat_ws("\t", F.col("l_quantity").cast("long"), "l_linenumber", F.concat(F.lit("f"), "l_partkey")).alias("value"))
     path = scratch_path(spark, "dumps")
-    head.unionByName(body).repartitionByRange(4, "dump").sortWithinPartitions("dump", "line").select("value").write.text(path)
+    # how many dumps there are follows from the rows: a task sorts one of them
+    lines = head.unionByName(body)
+    parts = max(4, -(-(head.count() + table(spark, sf, "lineitem").count()) // DUMP_LINES))
+    lines.repartitionByRange(parts, "dump").sortWithinPartitions("dump", "line").select("value").write.text(path)
     return path
 
 

@@ -124,3 +124,13 @@ def test_vector_index_of_odd_rows(spark):
     assert [(r["query"], r.id) for r in got] == [(1, 7), (1, 5)] and got[0].similarity == pytest.approx(1)
     assert V.nearest_in_index(asked.where("false"), path, 2).count() == 0
     assert np.allclose(V.unit_matrix(df.where("id in (1, 2)").toArrow().column("embedding")), [[1, 0], [0, 0]])
+
+
+def test_dumps_follow_the_rows(spark, sf, monkeypatch):
+    """A task sorts one dump, so there are more of them where there are more rows."""
+    from strandline.plans import ingest
+
+    monkeypatch.setattr(ingest, "DUMP_LINES", 500)
+    files = [f for f in os.listdir(ingest._dumps(spark, sf)) if f.endswith(".txt")]
+    rows = table(spark, sf, "orders").count() + table(spark, sf, "lineitem").count()
+    assert len(files) >= rows // 500 > 4
