@@ -22,20 +22,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.text import query_tokens, tokens
+from strandline.functions.text import query_tokens
+from strandline.functions.token_batches import batch_tokens, lowered, numbered, runs, slices
 from strandline.operators.search import K1, B
 from strandline.session import spread, stored
 
 BUCKETS, ZONE = 64, 256
+#: Changes with the columns below: an index of another format isn't read.
+FORMAT = 2
 #: A zone of long documents holds fewer of them: a task inverts one zone at a time.
 ZONE_TOKENS = 500_000
 #: Postings that a task sorts and writes.
 TASK_POSTINGS = 1_000_000
 #: Zones that a search for the best rows looks into for its first threshold.
 FIRST_ZONES = 8
-BLOCKS = "term string, zone int, n int, max_tf int, min_dl int, entries array<struct<id: {id}, tf: int, dl: int>>"
+BLOCKS = "term string, zone int, n int, max_tf int, min_dl int, ids array<{id}>, tfs array<int>, dls array<int>"
 POSTINGS = BLOCKS + ", segment int, bucket int"
-FORWARD = "id {id}, dl int, terms array<struct<term: string, tf: int>>, segment int"
+#: A document's distinct terms in order, with spaces between, and how often each stands there.
+FORWARD = "id {id}, dl int, words string, tf array<int>, segment int"
 TERMS = "term string, df long, segment int, bucket int"
 DEAD = "in_segment int, id {id}, segment int"
 FIGURES = "n_docs long, n_tokens long, avg_doc_len double, n_terms long, id_type string, stamp string, segments array<int>, term_segments array<int>, dead_segments array<int>"
@@ -125,25 +129,32 @@ class Version:
 
 
 def _counted(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, dl, terms (term, tf) of every row: one pass over the texts, no shuffle. Ids are unique, as everywhere in the index.
+    """id, dl, words, tf of every row: one pass over the texts, no shuffle. Ids are unique, as everywhere in the index."""
 
-    A row's tokens are sorted; a term's count is the distance between the places where its run and the next one begin.
-    """
-    lists = spread(docs.select(F.col(id_).alias("id"), F.sort_array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("t")))
-    place = F.transform("t", lambda x, i: i)
-    starts = lists.withColumn("starts", F.filter(place, lambda i: (i == 0) | (F.col("t")[i] != F.col("t")[i - 1])))
-    run = F.transform("starts", lambda i, j: F.struct(F.col("t")[i].alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("t")) - i).alias("tf")))
-    return starts.select("id", F.size("t").alias("dl"), run.alias("terms"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rows in slices(whole, "body"):
+                words, n = batch_tokens(rows["body"])
+                codes, names = numbered(words)
+                keys, tf = runs(np.repeat(np.arange(len(rows)), n) * max(1, len(names)) + codes)
+                doc, term = np.divmod(keys, max(1, len(names)))
+                begins = pa.array(np.searchsorted(doc, np.arange(len(rows) + 1)).astype(np.int32))
+                terms = pc.binary_join(pa.ListArray.from_arrays(begins, names.take(pa.array(term))), " ")
+                counts = pa.ListArray.from_arrays(begins, pa.array(tf.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows["id"], pa.array(n.astype(np.int32)), terms, counts], ["id", "dl", "words", "tf"])
+
+    texts = spread(docs.select(F.col(id_).alias("id"), lowered(F.col(text)).alias("body")))
+    return texts.mapInArrow(counted, f"id {dict(texts.dtypes)['id']}, dl int, words string, tf array<int>")
 
 
 def _write_forward(rows: DataFrame, path: str, number: int) -> DataFrame:
     """A segment's forward rows, written and read back. They count once a version names the segment."""
     rows.sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/forward/segment={number}")
-    return _read(rows.sparkSession, path, "forward", [number], FORWARD.format(id=dict(rows.dtypes)["id"])).select("id", "dl", "terms")
+    return _read(rows.sparkSession, path, "forward", [number], FORWARD.format(id=dict(rows.dtypes)["id"])).select("id", "dl", "words", "tf")
 
 
 def _write_postings(forward: DataFrame, path: str, number: int) -> None:
-    """A segment's postings. forward: a written table of id, dl, terms.
+    """A segment's postings. forward: a written table of id, dl, words, tf.
 
     Blocks belong to a zone, so whole documents are dealt to their zones and inverted there. What is shuffled is packed: a row a
     document, then a row for each zone and bucket, whose terms are one string and whose numbers stand in arrays.
@@ -192,21 +203,23 @@ def _write_postings(forward: DataFrame, path: str, number: int) -> None:
                     "n": pa.array(n),
                     "max_tf": pa.array(np.maximum.reduceat(tf.to_numpy(zero_copy_only=False), begins[:-1])),
                     "min_dl": pa.array(np.minimum.reduceat(dl.to_numpy(zero_copy_only=False), begins[:-1])),
-                    "entries": lists(pa.StructArray.from_arrays([id_, tf, dl], ["id", "tf", "dl"]), begins),
+                    "ids": lists(id_, begins),
+                    "tfs": lists(tf, begins),
+                    "dls": lists(dl, begins),
                     "bucket": pa.array(np.repeat(rows["bucket"].to_numpy(zero_copy_only=False), terms)),
                 }
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     spark, kind = forward.sparkSession, dict(forward.dtypes)["id"]
     length = F.floor(F.log2(F.col("dl") + 1.0) * 4).cast("int")
-    sizes = forward.groupBy(length.alias("k")).agg(F.count(F.lit(1)), F.sum("dl"), F.sum(F.size("terms"))).collect()  # four classes a doubling of length
+    sizes = forward.groupBy(length.alias("k")).agg(F.count(F.lit(1)), F.sum("dl"), F.sum(F.size("tf"))).collect()  # four classes a doubling of length
     first, zones = 0, {}
     for k, n, dl, _ in sorted(sizes):
         zones[k] = (first, max(1, -(-n // ZONE), -(-dl // ZONE_TOKENS)))
         first += zones[k][1]
     pick = lambda i: F.create_map(*[F.lit(x) for k, v in zones.items() for x in (k, v[i])])[length]
     zone = (pick(0) + F.pmod(F.xxhash64("id"), pick(1))).cast("int") if zones else F.lit(0)
-    dealt = forward.where(F.size("terms") > 0).select(zone.alias("zone"), "id", "dl", F.concat_ws(" ", "terms.term").alias("words"), F.col("terms.tf").alias("tf"))
+    dealt = forward.where("words <> ''").select(zone.alias("zone"), "id", "dl", "words", "tf")
     packed = dealt.groupBy("zone").applyInArrow(inverted, f"bucket int, zone int, words string, n array<int>, id array<{kind}>, tf array<int>, dl array<int>")
     # zones give each bucket about as much, so a bucket that is large is cut by its zones
     parts = -(-sum(r[3] for r in sizes) // TASK_POSTINGS)
@@ -215,6 +228,11 @@ def _write_postings(forward: DataFrame, path: str, number: int) -> None:
     blocks.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings/segment={number}")
 
 
+def _frequencies(spark: SparkSession, path: str, number: int, kind: str) -> DataFrame:
+    """term and df of a segment, a row a term and zone: the blocks' heads, no entries and no documents."""
+    return _read(spark, path, "postings", [number], POSTINGS.format(id=kind)).select("term", F.col("n").alias("df"))
+
+
 def _write_terms(counts: DataFrame, path: str, number: int) -> None:
     """counts: term, df (may be negative)."""
     rows = counts.groupBy("term").agg(F.sum("df").cast("long").alias("df")).where("df <> 0").withColumn("bucket", bucket_of(F.col("term")))
@@ -238,7 +256,7 @@ def write_index(docs: DataFrame, path: str, id_: str = "id", text: str = "conten
     spark, number = docs.sparkSession, claimed_version(docs.sparkSession, path)
     forward = _write_forward(_counted(docs, id_, text), path, number)
     _write_postings(forward, path, number)
-    _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
+    _write_terms(_frequencies(spark, path, number, dict(forward.dtypes)["id"]), path, number)
     return _publish(spark, path, number, dict(forward.dtypes)["id"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), stamp)
 
 
@@ -250,7 +268,7 @@ def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None,
     gone = deleted.select(F.col(id_).cast(kind).alias("id")) if deleted is not None else spark.createDataFrame([], f"id {kind}")
     gone = gone.union(new.select("id")) if new is not None else gone
     dead = stored(now.live(now.forward.join(gone.distinct(), "id", "left_semi")), "dead")
-    counts = dead.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("df"))
+    counts = dead.where("words <> ''").select(F.explode(F.split("words", " ")).alias("term"), F.lit(-1).alias("df"))
     n_docs, n_tokens = now.row["n_docs"], now.row["n_tokens"]
     lost = _totals(dead)
     if lost[0]:
@@ -259,7 +277,7 @@ def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None,
     if new is not None and (added := _totals(new))[0]:
         _write_postings(new, path, number)
         parts["segments"].append(number)
-        counts = counts.union(new.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")))
+        counts = counts.union(_frequencies(spark, path, number, kind))
         n_docs, n_tokens = n_docs + added[0], n_tokens + added[1]
     _write_terms(counts, path, number)
     parts["term_segments"].append(number)
@@ -269,9 +287,9 @@ def change_index(spark: SparkSession, path: str, docs: DataFrame | None = None,
 def merge(spark: SparkSession, path: str) -> int:
     """The next version: all living documents in one segment, from the forward rows; no text is read."""
     number, now = claimed_version(spark, path), Version(spark, path)
-    forward = _write_forward(now.live(now.forward).select("id", "dl", "terms"), path, number)
+    forward = _write_forward(now.live(now.forward).select("id", "dl", "words", "tf"), path, number)
     _write_postings(forward, path, number)
-    _write_terms(forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")), path, number)
+    _write_terms(_frequencies(spark, path, number, now.row["id_type"]), path, number)
     return _publish(spark, path, number, now.row["id_type"], {"segments": [number], "term_segments": [number], "dead_segments": []}, *_totals(forward), now.row["stamp"])
 
 
@@ -323,7 +341,7 @@ class Query:
 
     def scores(self, blocks: DataFrame) -> DataFrame:
         """id and bm25. A row's parts are added in the order of the query's terms, so rows of equal texts have equal scores to the last bit."""
-        rows = blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.id", "e.tf", "e.dl")
+        rows = blocks.select("segment", "term", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))).alias("e")).select("segment", "term", "e.id", "e.tf", "e.dl")
         part = self.part(F.col("tf"), F.col("dl"))
         each = [F.coalesce(F.sum(F.when(F.col("term") == t, part)), F.lit(0.0)) for t in self.idf]  # one part a row and term
         return self.version.live(rows).groupBy("id").agg(sum(each[1:], each[0]).alias("bm25") if each else F.lit(0.0).alias("bm25"))

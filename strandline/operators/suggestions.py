@@ -31,7 +31,7 @@ def candidates(spark: SparkSession, path: str, interest: DataFrame, session: str
     """
     now = Version(spark, path)
     lists = now.postings.join(interest.select("term").distinct(), "term", "left_semi")
-    rows = now.live(lists.select("segment", "term", F.explode("entries.id").alias("id"))).select("term", "id")
+    rows = now.live(lists.select("segment", "term", F.explode("ids").alias("id"))).select("term", "id")
     whole = interest.groupBy(session).agg(F.sum("idf").alias("whole"))
     held = rows.join(interest, "term").groupBy(session, "id").agg(F.sum("idf").alias("held")).join(whole, session)
     place = F.row_number().over(Window.partitionBy(session).orderBy(F.col("similarity").desc(), "id"))

@@ -56,7 +56,7 @@ def keyword_index(spark: SparkSession, sf: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     stamp = " ".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)))
-    at = f"{scratch_root(spark)}/strandline/keyword-index/{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    at = f"{scratch_root(spark)}/strandline/keyword-index-{N.FORMAT}/{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
     known = N.versions(spark, at)
     if not known or N.figures(spark, at, known[-1]).first()["stamp"] != stamp:
         N.write_index(_contents(spark, sf), at, stamp=stamp)
