@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import tokens
+from strandline.functions.token_batches import batch_tokens, lowered, numbered, runs, slices
+from strandline.session import spread, stored
 
 #: Longer terms aren't words, and have no spelling: deletes grow with the square of a term's length.
 LONGEST_WORD = 32
+#: Text whose pairs a task counts at once, and ends of pairs a bucket (before they are counted): both bound a worker's memory.
+CHUNK_BYTES, BUCKET_ENDS = 16 << 20, 16_000_000
+PACKED = pa.schema([("bucket", pa.int32()), ("words", pa.string()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
 
 def _one_less(word: Column) -> Column:
@@ -46,21 +57,107 @@ def corrections(words: DataFrame, index: DataFrame, distance: int = 2, limit: in
     return near.withColumn("place", place).where(F.col("place") <= limit).select("word", "term", "distance", "df", "place")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Tokens' numbers, their texts' numbers and the terms in order, for about CHUNK_BYTES of texts at once."""
+
+    def coded(held: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        words, n = batch_tokens(pa.concat_arrays(held))
+        codes, names = numbered(words)
+        return codes, np.repeat(np.arange(len(n)), n), names
+
+    held: list[pa.Array] = []
+    for batch in batches:
+        for rows in slices(batch, "body"):
+            held.append(rows["body"])
+            if sum(h.nbytes for h in held) >= CHUNK_BYTES:
+                yield coded(held)
+                held = []
+    if held:
+        yield coded(held)
+
+
+def _met(codes: np.ndarray, text: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both ends of each pair of different tokens that stand so many places apart in a text, distance by distance."""
+    for d in range(1, reach + 1):
+        ok = (text[d:] == text[:-d]) & (codes[d:] != codes[:-d])
+        yield codes[:-d][ok], codes[d:][ok]
+
+
+def _ends(texts: DataFrame, reach: int) -> DataFrame:
+    """a, n_a: how many pairs hold a term. A task sends a row a term and chunk."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, text, names in _chunks(batches):
+            n = np.zeros(len(names), np.int64)
+            for ends in _met(codes, text, reach):
+                for end in ends:
+                    n += np.bincount(end, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(n)], ["a", "n"])
+
+    return texts.mapInArrow(counted, "a string, n long").groupBy("a").agg(F.sum("n").alias("n_a")).where("n_a > 0")
+
+
+def _pair_counts(texts: DataFrame, reach: int, support: int, buckets: int) -> DataFrame:
+    """x, y, n: pairs (x < y) that stand together at least support times.
+
+    What is shuffled is a row a chunk and bucket of pairs: the terms there as one string, and numbers in it for both ends, and counts.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, text, names in _chunks(batches):
+            size = max(1, len(names))
+            pairs, n = runs(np.concatenate([np.minimum(a, b) * size + np.maximum(a, b) for a, b in _met(codes, text, reach)]))
+            x, y = np.divmod(pairs, size)
+            crc = np.array([zlib.crc32(t) for t in names.cast(pa.binary()).to_pylist()], np.int64)
+            bucket = (crc[x] * 31 + crc[y]) % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                mine = order[ends[i] : ends[i + 1]]
+                seen = np.zeros(size, bool)
+                seen[x[mine]] = seen[y[mine]] = True
+                local = np.cumsum(seen, dtype=np.int32) - 1
+                words = " ".join(names.filter(pa.array(seen)).to_pylist())
+                row = {"bucket": [int(i)], "words": [words]} | {k: pa.array([v.astype(np.int32)]) for k, v in (("x", local[x[mine]]), ("y", local[y[mine]]), ("n", n[mine]))}
+                yield pa.RecordBatch.from_pydict(row, schema=PACKED)
+
+    def summed(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        words = pc.split_pattern(rows.column("words").chunk(0), " ")
+        codes, names = numbered(words.flatten())
+        x, y, n = (rows.column(c).chunk(0) for c in ("x", "y", "n"))
+        first = np.repeat(words.offsets.to_numpy()[:-1], pc.list_value_length(n).to_numpy())
+        keys = codes[first + x.flatten().to_numpy()] * len(names) + codes[first + y.flatten().to_numpy()]
+        order = np.argsort(keys)
+        keys = keys[order]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n.flatten().to_numpy().astype(np.int64)[order], begins)
+        kept = total >= support
+        x, y = np.divmod(keys[begins][kept], len(names))
+        return pa.table({"x": names.take(pa.array(x)), "y": names.take(pa.array(y)), "n": pa.array(total[kept])})
+
+    rows = texts.mapInArrow(packed, "bucket int, words string, x array<int>, y array<int>, n array<int>")
+    return rows.groupBy("bucket").applyInArrow(summed, "x string, y string, n long")
+
+
 def associations(docs: DataFrame, text: str = "content", reach: int = 4, support: int = 5) -> DataFrame:
     """a, b, n, pmi in both directions: pairs of terms within so many tokens of each other at least support times.
 
     pmi is ln(n * N / (n_a * n_b)), where n_a counts the pairs that hold a and N all pairs, each pair with both its ends. A token
-    makes reach pairs at most, so rows stay linear in tokens; pairs are counted before they are shuffled.
+    makes reach pairs at most, so the work stays linear in tokens; pairs are counted before they are shuffled. Texts are read twice: for
+    the terms' own counts, which also say how many buckets the pairs ask for, and for the pairs.
     """
-    t = docs.select(tokens(F.col(text)).alias("t")).where(F.size("t") > 1)
-    n = F.size("t")
-    at = lambda d: F.when(n > d, F.zip_with(F.slice("t", F.lit(1), n - d), F.slice("t", F.lit(d + 1), n - d), lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))).otherwise(F.array())
-    pairs = t.select(F.explode(F.concat(*[at(d) for d in range(1, reach + 1)])).alias("p")).select("p.x", "p.y").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "n").union(pairs.select("y", "x", "n"))
-    alone = both.groupBy("a").agg(F.sum("n").alias("n_a"))
-    total = alone.agg(F.sum("n_a").alias("total"))
-    kept = both.where(F.col("n") >= support).join(alone, "a").join(alone.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b")
-    return kept.crossJoin(F.broadcast(total)).select("a", "b", "n", F.log(F.col("n") * F.col("total") / (F.col("n_a") * F.col("n_b"))).alias("pmi"))  # one row
+    spark = docs.sparkSession
+    texts = spread(docs.select(lowered(F.col(text)).alias("body")))
+    alone = stored(_ends(texts, reach), "ends")
+    total = alone.agg(F.coalesce(F.sum("n_a"), F.lit(0))).first()[0]  # one number
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ENDS))
+    kept = _pair_counts(texts, reach, support, buckets)
+    of = lambda end, n: alone.select(F.col("a").alias(end), F.col("n_a").alias(n))
+    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_x").cast("double") * F.col("n_y")))
+    rows = kept.join(of("x", "n_x"), "x").join(of("y", "n_y"), "y").select("x", "y", "n", pmi.alias("pmi"))
+    both = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    return rows.select(both.alias("p"), "n", "pmi").select("p.a", "p.b", "n", "pmi")
 
 
 def related_terms(pairs: DataFrame, least: float = 1.0, limit: int = 3) -> DataFrame:

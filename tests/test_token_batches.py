@@ -47,3 +47,25 @@ def test_tokens_are_those_of_a_regex():
     words, n = B.batch_tokens(bodies)
     want = [[w for w in re.findall("[a-z0-9_]+", t.decode()) if len(w) > 1] for t in bodies.to_pylist()]
     assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+
+
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_pairs_of_odd_texts(spark, monkeypatch, size):
+    """Chunks of one text and of all, buckets that hold one pair or many: the same pairs as by brute force."""
+    from strandline.operators import dictionaries as Y
+
+    monkeypatch.setattr(Y, "CHUNK_BYTES", size)
+    monkeypatch.setattr(Y, "BUCKET_ENDS", size)
+    docs = spark.createDataFrame([(t,) for t in [*ODD, *ODD, "zz ab cd"]], "content string").coalesce(2)
+    n = Counter()
+    for r in docs.select(tokens(F.col("content")).alias("t")).collect():
+        t = r.t or []
+        n.update((min(a, b), max(a, b)) for i, a in enumerate(t) for b in t[i + 1 : i + 5] if a != b)
+    alone = Counter()
+    for p, k in n.items():
+        alone.update({p[0]: k, p[1]: k})
+    whole = sum(alone.values())
+    want = {(a, b): (k, np.log(k * whole / (alone[a] * alone[b]))) for p, k in n.items() if k >= 3 for a, b in (p, p[::-1])}
+    got = {(r.a, r.b): (r.n, r.pmi) for r in Y.associations(docs, support=3).collect()}
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-12 for p in want)
+    assert Y.associations(docs.where("content IS NULL")).count() == 0
