@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions.scores import clamp
-from strandline.functions.text import BOUNDARY, ascii_bounds
+from strandline.functions.text import ascii_bounds, hits
 
 _C = [r"\bif\b", r"\belse if\b", r"\bfor\b", r"\bwhile\b", r"\bdo\b", r"\bcase\b", r"\bcatch\b", r"&&", r"\|\|", r"\?.*:"]
 #: Decision points by language: fixed values that the complexity figures depend on.
@@ -110,12 +113,18 @@ ENTRY_NAMES = r"^(main|app|index|server|run|start|handler|init)"
 
 
 def security_keywords(text: Column) -> Column:
+    """Those of SECURITY that stand in the text as words. A pattern is compiled once, and sees only texts that hold its word."""
     low = F.lower(text)
-    return F.filter(F.array(*[F.lit(k) for k in SECURITY]), lambda k: F.regexp_like(low, F.concat(F.lit(BOUNDARY), k, F.lit(BOUNDARY))))
+    return F.array_compact(F.array(*[F.when(hits(low, rf"\b{k}\b"), k) for k in SECURITY]))
+
+
+def decorated(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & text.rlike(DECORATORS)
 
 
 def handles_errors(text: Column) -> Column:
-    return text.rlike(ascii_bounds(r"\b(try|catch|except|rescue)\b|Result<|if err != nil"))
+    words = [hits(text, rf"\b{k}\b") for k in ("try", "catch", "except", "rescue")]
+    return reduce(or_, words, F.contains(text, F.lit("Result<")) | F.contains(text, F.lit("if err != nil")))
 
 
 def proximity(path: Column, name: Column) -> Column:

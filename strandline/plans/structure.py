@@ -239,7 +239,7 @@ def criticality_boost(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
     n, errors = F.size(C.security_keywords(F.col("text"))), C.handles_errors(F.col("text"))
     near = C.proximity(F.concat_ws("/", "lang", "source"), F.col("source"))
-    return d.select("doc_id", n.alias("n_keywords"), errors.alias("errors"), F.round(C.criticality(n, errors, F.col("text").rlike(C.DECORATORS), near), 6).alias("boost"))
+    return d.select("doc_id", n.alias("n_keywords"), errors.alias("errors"), F.round(C.criticality(n, errors, C.decorated(F.col("text")), near), 6).alias("boost"))
 
 
 @query("K19 K20 K21", "WITH u AS (SELECT l_partkey AS part, count(DISTINCT l_orderkey) AS callers FROM lineitem GROUP BY 1), b AS (SELECT p_partkey, least(0.2, CASE WHEN callers >= 40 THEN 0.10 WHEN callers >= 20 THEN 0.03 + (callers - 20) / 20 * 0.07 WHEN callers > 0 THEN callers / 20 * 0.03 ELSE 0 END + CASE WHEN p_name LIKE '\\_%' ESCAPE '\\' THEN 0 ELSE 0.03 END + CASE WHEN p_type = 'ECONOMY' THEN 0.03 ELSE 0 END + CASE WHEN p_size > 40 THEN 0.04 ELSE 0 END) AS boost, p_size FROM part LEFT JOIN (SELECT part, callers FROM u) ON part = p_partkey) SELECT p_partkey, round(coalesce(boost, 0)::DOUBLE, 6) AS boost, round(greatest(0, least(1, (0.3 + coalesce(boost, 0) + 0.1) / 1.2))::DOUBLE, 6) AS importance FROM b")
