@@ -99,17 +99,22 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
 def store_git(spark: SparkSession, path: str, commits: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Appends commits and file changes under ids that follow from their keys; what is there already isn't written twice.
 
-    Returns both stored tables. Dates are stored as epoch seconds.
+    Returns both stored tables. Dates are stored as epoch seconds. Rows meet by their keys' text, which is shorter than the ids made of it.
     """
-    commits = commits.withColumn("id", uuid5(F.concat(F.lit("commit:"), F.col("commit_hash").cast("string")))).withColumn("author_date", F.unix_seconds(F.col("author_date").cast("timestamp")))
-    changes = changes.withColumn("id", uuid5(F.concat_ws(":", F.lit("change"), F.col("commit_hash").cast("string"), F.col("file_path").cast("string"))))
+    commits = commits.withColumn("author_date", F.unix_seconds(F.col("author_date").cast("timestamp")))
+    text = lambda c: F.col(c).cast("string")
     out = []
-    for name, rows in (("git_commits", commits), ("git_file_changes", changes)):
-        at = f"{path}/{name}"
+    own = F.col("_key")
+    for name, rows, key, of in (
+        ("git_commits", commits, F.coalesce(F.concat(F.lit(":"), text("commit_hash")), F.lit("")), F.concat(F.lit("commit"), F.nullif(own, F.lit("")))),
+        ("git_file_changes", changes, F.concat_ws(":", F.lit(""), text("commit_hash"), text("file_path")), F.concat(F.lit("change"), own)),
+    ):
+        at, rows = f"{path}/{name}", rows.withColumn("_key", key)
         there = spark._jvm.org.apache.hadoop.fs.Path(at)
         if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-            rows = rows.join(spark.read.parquet(at).select("id"), "id", "left_anti")
-        rows.dropDuplicates(["id"]).write.mode("append").parquet(at)
+            rows = rows.join(spark.read.parquet(at).select(key.alias("_key")), "_key", "left_anti")
+        rows = rows.dropDuplicates(["_key"]).withColumn("id", uuid5(of))
+        rows.drop("_key").write.mode("append").parquet(at)
         out.append(spark.read.parquet(at))
     return out[0], out[1]
 

@@ -117,8 +117,9 @@ def git_sinks(spark, sf):
     path = scratch_path(spark, "git")
     for _ in range(2):
         c, d = U.store_git(spark, path, commits(spark, sf), file_changes(spark, sf))
-    counts = c.agg(F.count(F.lit(1)).alias("n_commits"), F.sum("author_date").alias("seconds"), F.countDistinct("id").alias("ids"))
-    return counts.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("id").alias("more_ids")))).select("n_commits", "seconds", "n_changes", ((F.col("ids") == F.col("n_commits")) & (F.col("more_ids") == F.col("n_changes"))).alias("unique_ids"))
+    own = F.unhex(F.replace("id", F.lit("-"), F.lit("")))  # 16 bytes for 36 characters
+    counts = c.agg(F.count(F.lit(1)).alias("n_commits"), F.sum("author_date").alias("seconds"), F.countDistinct(own).alias("ids"))
+    return counts.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct(own).alias("more_ids")))).select("n_commits", "seconds", "n_changes", ((F.col("ids") == F.col("n_commits")) & (F.col("more_ids") == F.col("n_changes"))).alias("unique_ids"))
 
 
 @query("D2 J19", f"{MEM}, {VEC_SQL}, {LOG_SQL}, u AS (SELECT session_id AS id, count(*) AS n, max(date_trunc('second', timestamp)) AS seen FROM log GROUP BY 1) SELECT m.id, round(greatest(0, least(1, 0.6 * similarity + 0.2 * 2.0 ^ (-(date_diff('second', coalesce(u.seen, m.created_at), TIMESTAMP '{AS_OF}') / 3600.0) / 168) + 0.2 * least(1, ln(coalesce(u.n, 0) + 1) / ln(1001)))), 6) AS score FROM mem m JOIN vec USING (id) LEFT JOIN u ON u.id = m.id")
