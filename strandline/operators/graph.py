@@ -64,53 +64,82 @@ def shortest_path(edges: DataFrame, source, target, depth: int = 10) -> DataFram
     return ring.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
 
 
-def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and label: the least node that reaches it, itself included. Only labels that changed are sent on."""
-    labels = stored(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
-    while not (moved := labels.where("moved")).isEmpty():
-        sent = moved.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-        now = labels.join(sent, "node", "left")
-        before, labels = labels, stored(now.select("node", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("moved")), "labels")
+def _runs_in(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, at, least, loops (and fell) for each node with one edge in: the first node behind it that hasn't one, and the least label from there (without it) to the node.
+
+    Each job doubles how far back a node has looked. Behind nodes with loops there is no such node, but a ring of nodes with one
+    edge in; their least label is final. It ends when no node finds the end of its run any more and no label falls.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("at")).where("n = 1")
+    run = stored(into.join(labels.hint("merge"), "node").select("node", "at", F.col("label").alias("least"), F.lit(True).alias("loops"), F.lit(False).alias("fell")), "runs")
+    known, n = (run.count(), 1), -1
+    while known[0] and (known[0] != n or known[1]):
+        n = known[0]
+        behind = run.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("least").alias("more"))
+        far = run.join(behind.hint("merge"), "at", "left")
+        fell = F.coalesce(F.col("more") < F.col("least"), F.lit(False))
+        before, run = run, stored(far.select("node", F.coalesce("to", "at").alias("at"), F.least("least", "more").alias("least"), F.col("to").isNotNull().alias("loops"), fell.alias("fell")), "runs")
+        discard(before)
+        known = run.agg(F.count_if("loops"), F.count_if("fell")).first()
+    return run
+
+
+def _least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and label: the least label of the nodes that reach it, its own included. labels: node, label; edges are distinct, without loops.
+
+    What reaches a node with one edge in comes by that edge. Such nodes are skipped, and step by step labels go only between the
+    others, by jobs as many as the longest way over these. Only labels that fell are sent on.
+    """
+    run = _runs_in(edges, labels)
+    skip = run.select(F.col("node").alias("src"), "at", "least", "loops")
+    ways = edges.join(run.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").join(skip.hint("merge"), "src", "left")
+    ways = stored(ways.select(F.when(F.col("at").isNull(), F.col("src")).when(~F.col("loops"), F.col("at")).alias("src"), "dst", "least"), "ways")
+    first = ways.groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("given"))
+    now = stored(labels.join(run.select("node").hint("merge"), "node", "left_anti").join(first.hint("merge"), "node", "left").select("node", F.least("label", "given").alias("label"), F.lit(True).alias("moved")), "labels")
+    hops = stored(ways.where("src <> dst").select("src", "dst").distinct(), "hops")
+    while not (moved := now.where("moved")).isEmpty():
+        sent = moved.join(hops.hint("merge"), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+        before, now = now, stored(now.join(sent.hint("merge"), "node", "left").select("node", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("moved")), "labels")
         discard(before)
-    return labels.select("node", "label")
+    ends = now.select(F.col("node").alias("at"), "label")
+    skipped = run.join(ends.hint("merge"), "at", "left").select("node", F.least("least", F.when(~F.col("loops"), F.col("label"))).alias("label"))
+    out = stored(now.select("node", "label").union(skipped), "labels")
+    for x in (run, ways, hops, now):
+        discard(x)
+    return out
 
 
-def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
-    """node, component (its smallest node): nodes that reach each other, by forward and backward colouring.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node): nodes that reach each other, by the least nodes before and behind them.
 
-    A round drops nodes without an edge in or out, which are alone; colours each other node with the least one that reaches
-    it; and goes back from the nodes that kept their own colour within that colour: what it meets is one component. Its
-    nodes leave with their edges. What a round leaves is written, and rounds end when no edge is left.
+    A round finds for each node the least one that reaches it and the least one that it reaches. Where both are the same, that
+    node's component is found; an edge whose ends differ in either lies in no component and goes. Nodes of a component never differ, and
+    rounds end when no edge is left. From the second round on nodes are ordered by a hash, another one each round, so that no
+    numbering of the nodes makes many rounds. What a round leaves is written. Joins aren't broadcast: their sides would pass through the driver in each step.
     """
     live = stored(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found: list[DataFrame] = []
+    every, turn = None, 0
     while not live.isEmpty():
-        for _ in range(trims):
-            both = live.select(F.col("src").alias("node")).intersect(live.select("dst"))
-            kept = live.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            before, live = live, stored(kept.select("src", "dst"), "edges")
-            n = before.count()
-            discard(before)
-            if live.count() == n:
-                break
-        colours = stored(_least_reaching(live, live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()), "colours")
-        of = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        coloured = stored(live.join(of("src"), "src").join(of("dst"), "dst"), "coloured")
-        back = coloured.where("src_label = dst_label").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = colours.where("node = label").select("node")
-        own = reachable(back, roots, depth=1 << 30).select("node").union(roots).distinct()
-        found.append(stored(colours.join(own, "node", "left_semi").select("node", F.col("label").alias("component")), "components"))
-        done = found[-1].select("node")
-        before, live = live, stored(live.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-        for x in (before, colours, coloured):
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
+        ends = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+        labels = stored(ends.select("node", F.struct(order.alias("place"), "node").alias("label")), "labels")
+        fore, back = _least_reaching(live, labels), _least_reaching(reversed_edges(live), labels)
+        both = stored(fore.withColumnRenamed("label", "fore").join(back.withColumnRenamed("label", "back").hint("merge"), "node"), "both")
+        whole = both.where("fore = back").select("node", "fore")
+        least = whole.select("node", F.col("fore.node").alias("component"))
+        if turn:
+            least = whole.join(whole.groupBy("fore").agg(F.min("node").alias("component")).hint("merge"), "fore").select("node", "component")
+        found = stored(least, "components")
+        every = found if every is None else every.union(found)
+        of = lambda end: both.where("fore <> back").select(F.col("node").alias(end), F.struct("fore", "back").alias(f"of_{end}"))
+        before, live = live, stored(live.join(of("src").hint("merge"), "src").join(of("dst").hint("merge"), "dst").where("of_src = of_dst").select("src", "dst"), "edges")
+        for x in (before, labels, fore, back, both):
             discard(x)
-    every = found[0] if found else None
-    for more in found[1:]:
-        every = every.union(more)
+        turn += 1
     if every is None:
         return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(every, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(every.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:

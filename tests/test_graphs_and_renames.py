@@ -45,6 +45,20 @@ def test_a_dense_acyclic_graph_has_no_paths_to_follow(spark):
     assert R.strong_components(edges.where("false")).count() == 0
 
 
+def test_strong_components_of_long_rings_and_chains(spark):
+    """A ring of 250 nodes, 20 pairs of which each leads to the next one, and a way into the ring: jobs don't follow the ways."""
+    ring = [(i, i - 1) for i in range(1, 250)] + [(0, 249), (900, 249)]
+    pairs = [e for i in range(300, 340, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))]
+    spark.sparkContext.setJobGroup("long-rings", "")
+    try:
+        got = {r.node: r.component for r in R.strong_components(spark.createDataFrame(ring + pairs, "src long, dst long")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-rings"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {n: 0 for n in range(250)} | {n: n - n % 2 for n in range(300, 340)} | {340: 340, 900: 900}
+    assert jobs < 600
+
+
 def test_leaders_in_rounds_brute_force(spark):
     rng = random.Random(3)
     pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)} | {(100 + i, 101 + i) for i in range(12)}
