@@ -166,7 +166,7 @@ def vector_index_topk(spark, sf):
 
 @query("G3 N9", "SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10")
 def vector_index_all_lists(spark, sf):
-    """With all lists probed, what is left to the bytes is the choice of candidates; the exact ranking of these gives the exact answer."""
+    """With all lists probed, bytes only leave out what can't be among the best ten; the exact ranking of the rest gives the exact answer."""
     path = vector_index(spark, sf)
     return nearest_in_index(_asked(spark, sf), path, 10, index_lists(spark, path).count()).withColumn("similarity", F.round("similarity", 6))
 

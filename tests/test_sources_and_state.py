@@ -114,6 +114,42 @@ def test_vector_index_recall_and_versions(spark):
     assert one.count() == 3
 
 
+def test_all_lists_meet_a_query_once_a_group(spark, monkeypatch):
+    """Groups of pieces, several blocks of queries: all lists probed give the exact answer, and a query is sent a group, not a list."""
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(V, "GROUP_NUMBERS", 150 * 64)
+    monkeypatch.setattr(V, "PIECE_ROWS", 60)
+    monkeypatch.setattr(V, "QUERY_ROWS", 10)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path, asked = scratch_path(spark, "grouped-index"), retrieval._asked(spark, sf)
+    V.write_vector_index(vectors, path, copies=3)
+    lists = V.index_lists(spark, path).count()
+    want = {(r["query"], r.id): r.similarity for r in REGISTRY["nearest_of_all"].run(spark, sf).where("query % 20 = 0").collect()}
+    for probes in (lists, lists - 1):  # all of them by first copies, and hardly fewer by pieces
+        got = V.nearest_in_index(asked, path, 10, probes)
+        rows = got.collect()
+        found = {(r["query"], r.id): round(r.similarity, 6) for r in rows}
+        assert len(found) == len(rows) == len(want)
+        same = found.keys() & want.keys()
+        assert len(same) == len(want) if probes == lists else len(same) >= 0.99 * len(want)
+        assert all(found[x] == pytest.approx(want[x], abs=2e-6) for x in same)
+
+
+def test_all_lists_are_exact_among_near_copies(spark):
+    """More near copies than the bytes tell apart, and equal vectors: the best ones, ties to the smaller id."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    m = base + np.concatenate([rng.normal(size=(400, 32)) * 1e-3, np.zeros((200, 32))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    path = scratch_path(spark, "near-copies")
+    V.write_vector_index(rows, path)
+    asked = spark.createDataFrame([(i, m[i].tolist()) for i in (0, 7, 500)], "query long, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q, found in {q: sorted((r for r in V.nearest_in_index(asked, path, 5, 1000).collect() if r["query"] == q), key=lambda r: (-r.similarity, r.id)) for q in (0, 7, 500)}.items():
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-round(float(u[i] @ u[q]), 13), i))[:5]
+        assert [r.id for r in found] == want
+
+
 def test_vector_index_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [0.9, 0.1]), (6, [-1.0, 0.0]), (7, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<double>")
