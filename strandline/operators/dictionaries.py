@@ -43,20 +43,30 @@ def delete_index(terms: DataFrame, distance: int = 2) -> DataFrame:
     return words.select("term", "df", F.explode(deletes(F.col("term"), distance)).alias("key")).select("key", "term", "df")
 
 
-def corrections(words: DataFrame, index: DataFrame, distance: int = 2, limit: int = 3) -> DataFrame:
+def corrections(words: DataFrame, index: DataFrame, distance: int = 2, limit: int = 3, terms: DataFrame | None = None) -> DataFrame:
     """word, term, distance, df, place: the nearest terms of each word (word), then the most frequent, then by spelling.
 
     Two words within so many edits have a string in common that both reach by so many deletes (symmetric deletes), so
-    words meet terms by equal keys, and only those that meet are compared. A word that is a term itself has no corrections.
+    words meet terms by equal keys, and only those that meet are compared. A word that is a term itself has no corrections. terms: the index' terms, where they are at hand
+    without their deletes.
     """
     asked = words.select("word").distinct().where(F.length("word") <= LONGEST_WORD)
-    asked = asked.join(index.select(F.col("term").alias("word")).distinct(), "word", "left_anti")
+    asked = asked.join((index if terms is None else terms).select(F.col("term").alias("word")).distinct(), "word", "left_anti")
     met = asked.select("word", F.explode(deletes(F.col("word"), distance)).alias("key")).join(index, "key").select("word", "term", "df").distinct()
     near = met.withColumn("distance", F.levenshtein("word", "term")).where(F.col("distance") <= distance)
     place = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.col("df").desc(), "term"))
     return near.withColumn("place", place).where(F.col("place") <= limit).select("word", "term", "distance", "df", "place")
 
 
+def corrections_of(words: DataFrame, terms: DataFrame, distance: int = 2, limit: int = 3) -> DataFrame:
+    """corrections() without a stored index: deletes are made of the terms only whose length is within reach of a word's, as they are met."""
+    asked = stored(words.select("word").distinct().where(F.length("word") <= LONGEST_WORD), "asked-words")
+    lengths = [r[0] for r in asked.select(F.length("word")).distinct().collect()]  # LONGEST_WORD + 1 at most
+    reach = sorted({n + d for n in lengths for d in range(-distance, distance + 1)})
+    near = stored(terms.select("term", "df").where(F.length("term").isin(reach)), "near-terms")
+    return corrections(asked, delete_index(spread(near), distance), distance, limit, near)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     """Tokens' numbers, their texts' numbers and the terms in order, for about CHUNK_BYTES of texts at once."""
 

@@ -369,7 +369,7 @@ def corpus_spelling(spark, sf):
     w = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
     short, long = F.concat(F.substring("w", 1, 2), F.substring("w", 4, 100)), F.concat("w", F.substring("w", -1, 1), F.lit("q"))
     typed = w.select(F.explode(F.array(short, long)).alias("word"))
-    return Y.corrections(typed, stored(Y.delete_index(terms), "deletes")).select("word", "term", "distance", "df")
+    return Y.corrections_of(typed, terms).select("word", "term", "distance", "df")
 
 
 PAIRS_SQL = """t AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t FROM documents),

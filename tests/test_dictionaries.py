@@ -40,6 +40,21 @@ def test_corrections_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 100
 
 
+def test_corrections_make_deletes_of_terms_within_reach(spark):
+    """The same corrections as by an index of all terms, and no deletes of terms that are too short or too long for every word."""
+    rng = random.Random(3)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 33))): rng.randrange(1, 9) for _ in range(400)}
+    rows = spark.createDataFrame(list(terms.items()), "term string, df long")
+    made = []
+    for asked in (["abc", "abca", "cabbac", None], ["", "bb", "a" * 40], []):
+        words = spark.createDataFrame([(w,) for w in asked] * 2, "word string")
+        got = Y.corrections_of(words, rows)
+        want = Y.corrections(words, Y.delete_index(rows)).collect()
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want}
+        made.append(len(want))
+    assert made[0] > 5
+
+
 def test_associations_brute_force(spark):
     rng = random.Random(4)
     docs = [" ".join(rng.choice(["red", "blue", "green", "big", "sky", "x"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", "one"]
