@@ -147,6 +147,11 @@ def _counted(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return texts.mapInArrow(counted, f"id {dict(texts.dtypes)['id']}, dl int, words string, tf array<int>")
 
 
+def distinct_terms(rows: DataFrame, id_: str, text: str, terms: str) -> DataFrame:
+    """id and the distinct terms of every row that has a term, in order."""
+    return _counted(rows, id_, text).where("words <> ''").select(F.col("id").alias(id_), F.split("words", " ").alias(terms))
+
+
 def _write_forward(rows: DataFrame, path: str, number: int) -> DataFrame:
     """A segment's forward rows, written and read back. They count once a version names the segment."""
     rows.sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/forward/segment={number}")

@@ -10,6 +10,7 @@ from strandline.functions import scores as X
 from strandline.functions import text as T
 from strandline.operators import dedup as D
 from strandline.operators import graph as R
+from strandline.operators.keyword_index import distinct_terms
 from strandline.operators.sessions import last_of_each
 from strandline.plans.registry import query
 from strandline.session import spread
@@ -190,9 +191,9 @@ def jaccard_pairs(spark, sf):
 @query("H5", "WITH b AS (SELECT item_id AS id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS t FROM benchmark UNION ALL SELECT 1000000 + doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2)) FROM documents), p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM b x JOIN b y ON x.id < y.id AND least(len(x.t), len(y.t)) >= 0.6 * greatest(len(x.t), len(y.t)) - 0.001 AND len(x.t) > 0) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i / (n - i) >= 0.6")
 def similar_sets(spark, sf):
     """Texts and benchmark items whose sets of terms are alike to 0.6."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("items"))
-    d = table(spark, sf, "documents").select((F.col("doc_id") + 1_000_000).alias("id"), T.tokens(F.col("text")).alias("items"))
-    return D.similar_sets(b.union(d), 0.6).withColumn("jaccard", F.round("jaccard", 6))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    d = table(spark, sf, "documents").select((F.col("doc_id") + 1_000_000).alias("id"), "text")
+    return D.similar_sets(distinct_terms(b.union(d), "id", "text", "items"), 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # code metrics over page sources

@@ -144,3 +144,49 @@ def test_similar_sets_compare_few_pairs(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
     (met,) = set(glob.glob(f"{scratch_path(spark, '').rpartition('/')[0]}/met-sets-*")) - before
     assert spark.read.parquet(met).count() < 1000 < len(want)  # of 9,730 pairs of different sets
+
+
+def _shuffled(spark):
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def _jaccards(sets, threshold):
+    n = {(a, b): len(set(sets[a]) & set(sets[b])) for a, b in itertools.combinations(sorted(sets), 2)}
+    found = {(a, b): i / (len(sets[a]) + len(sets[b]) - i) for (a, b), i in n.items() if i}
+    return {p: pytest.approx(x) for p, x in found.items() if x >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.02, 0.3, 0.6, 0.9])
+def test_similar_sets_in_small_blocks(spark, threshold, monkeypatch):
+    """Bands of several blocks, tasks that sort and compare in many steps: all pairs of all sizes."""
+    from strandline.operators import set_pairs
+
+    for name, value in (("BLOCK_ITEMS", 400), ("MEETINGS", 60), ("PAIRS", 7), ("KNOWN_ITEMS", 20)):
+        monkeypatch.setattr(set_pairs, name, value)
+    rng = random.Random(4)
+    sets = {i: sorted({int(rng.paretovariate(0.7)) % 500 for _ in range(rng.choice((1, 3, 12, 60, 150)))}) for i in range(90)}
+    sets |= {100 + i: sets[i][rng.randrange(0, 4) :] + [900 + i] for i in range(60)}
+    got = D.similar_sets(spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in sets.items()], "id long, items array<string>"), threshold)
+    assert {(r.a, r.b): r.jaccard for r in got.collect()} == _jaccards(sets, threshold)
+
+
+def test_similar_sets_shuffle_no_pairs_that_only_meet(spark):
+    """1,500 sets of two hundred items, nearly all pairs of which have some rare items in common: a million pairs meet, none leaves its task. Items are made once."""
+    rng = random.Random(2)
+    sets = {i: rng.sample(range(1500), 80) + rng.sample(range(2000, 2240), 120) for i in range(1500)}
+    sets |= {2000 + i: sets[i][5:] for i in range(10)}
+    made = spark.sparkContext.accumulator(0)
+
+    def items(rows):
+        for batch in rows:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in sets.items()], "id long, items array<string>").mapInPandas(items, "id long, items array<string>")
+    before = _shuffled(spark)
+    got = D.similar_sets(rows, 0.6).collect()
+    assert {(r.a, r.b) for r in got} >= {(i, 2000 + i) for i in range(10)} and len(got) < 40
+    assert made.value == len(sets)
+    assert _shuffled(spark) - before < 6_000_000
