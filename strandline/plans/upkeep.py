@@ -12,7 +12,7 @@ from strandline.operators import search as S
 from strandline.operators import upkeep as U
 from strandline.plans.registry import query
 from strandline.plans.retrieval import VEC_SQL, _similar
-from strandline.session import scratch_path
+from strandline.session import scratch_path, stored
 from strandline.sources import code as K
 from strandline.sources.tables import AS_OF, COMMIT_SQL, LOG_SQL, MEM_SQL, as_of, commits, file_changes, memories, query_log, table
 
@@ -204,7 +204,7 @@ def proactive_suggestions(spark, sf):
     path = keyword_index(spark, sf)
     log = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     _, interest = P.session_interest(log, document_frequencies(spark, path), "conv_id", "turn")
-    found = P.candidates(spark, path, interest, "conv_id")
+    found = P.candidates(spark, path, stored(interest, "interest"), "conv_id")
     m = memories(spark, sf).select("id", "importance", "verified", "last_accessed")
     shown = found.where("id % 10 = conv_id % 10").select("conv_id", "id")
     out = P.suggested(found, m, shown, X.age_days(F.col("last_accessed"), as_of()), session="conv_id")

@@ -136,3 +136,58 @@ def test_confidence_rounds_as_sql_does(spark):
     rows = spark.createDataFrame(d.df())
     got = P.suggested(rows.select("session", "id", "similarity"), rows.select("id", "importance", "verified", "age"), rows.select("session", "id").where("false"), F.col("age"), threshold=0.3, most=50, session="session")
     assert sorted(map(tuple, got.select("session", "id", "confidence", "place").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_candidates_brute_force(spark, kind, monkeypatch):
+    """Many rounds, ranges, blocks of sessions and steps; equal similarities, replaced and deleted rows, terms that no row holds, a session of no name."""
+    import math
+    import random
+
+    from strandline.operators import suggestions as P
+
+    for name, value in (("FIRST_ROWS", 8), ("ROUND_FACTOR", 3), ("RANGE_ROWS", 16), ("BLOCK_SESSIONS", 11), ("BROUGHT", 20)):
+        monkeypatch.setattr(P, name, value)
+    rng = random.Random(5)
+    word = lambda: f"w{min(60, int(rng.paretovariate(0.5)))}"
+    docs = {i * 7 - 300: {word() for _ in range(rng.randrange(0, 9))} for i in range(200)}
+    path = scratch_path(spark, "test-candidates")
+    schema = f"id {kind}, content string"
+    name = (lambda i: i) if kind == "long" else (lambda i: f"d{i}")
+    table = lambda d: spark.createDataFrame([(name(i), " ".join(sorted(t))) for i, t in d.items()], schema)
+    N.write_index(table({i: t if i % 3 else {"old", "w1"} for i, t in docs.items()}), path)
+    N.change_index(spark, path, table({i: t for i, t in docs.items() if i % 3 == 0}))
+    gone = [i for i in docs if i % 10 == 0]
+    N.change_index(spark, path, deleted=spark.createDataFrame([(name(i),) for i in gone], f"id {kind}"))
+    docs = {i: t for i, t in docs.items() if i % 10}
+    df = {f"w{k}": sum(f"w{k}" in t for t in docs.values()) for k in range(1, 61)}
+    idf = {t: math.log((len(docs) - n + 0.5) / (n + 0.5) + 1) for t, n in df.items()}
+    asked = {s: rng.sample(sorted(idf, key=lambda t: -df[t])[: rng.choice((4, 12, 60))], rng.randrange(1, 5)) for s in range(60)}
+    rows = [(s, t, df[t], idf[t]) for s, ts in asked.items() for t in ts] + [(None, "w1", df["w1"], idf["w1"])]
+    got = P.candidates(spark, path, spark.createDataFrame(rows, "s int, term string, df long, idf double"), "s", 5)
+    want = {}
+    for s, ts in asked.items():
+        of = {name(i): math.floor(sum(idf[t] for t in sorted(ts) if t in held) / sum(idf[t] for t in sorted(ts)) * 1e9 + 0.5) / 1e9 for i, held in docs.items() if held & set(ts)}
+        for i in sorted(of, key=lambda i: (-of[i], i))[:5]:
+            want[s, i] = pytest.approx(of[i], abs=2e-9)
+    assert {(r.s, r.id): r.similarity for r in got.collect()} == want and len(want) > 150
+    assert got.schema["id"].dataType.simpleString() == {"long": "bigint", "string": "string"}[kind]
+
+
+def test_candidates_of_frequent_terms_leave_most_rows(spark):
+    """600 sessions ask for terms that a third of 6,000 rows hold: millions of rows of sessions, of which few are shuffled."""
+    from strandline.operators import suggestions as P
+
+    def shuffled():
+        context = spark._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    path = scratch_path(spark, "test-frequent")
+    docs = spark.range(6000).select("id", F.concat_ws(" ", F.lit("all"), *[F.when(F.pmod(F.xxhash64("id", F.lit(k)), 3) == 0, F.lit(f"term{k}")) for k in range(12)]).alias("content"))
+    N.write_index(docs, path)
+    terms = spark.range(600).select(F.col("id").alias("s"), F.explode(F.array(*[F.concat(F.lit("term"), (F.col("id") * 5 + k * 4) % 12) for k in range(3)])).alias("term"))
+    before = shuffled()
+    got = P.candidates(spark, path, terms.join(N.document_frequencies(spark, path), "term"), "s").collect()
+    assert shuffled() - before < 3_000_000
+    assert len(got) == 600 * 20 and all(r.similarity == 1.0 for r in got)
