@@ -20,8 +20,8 @@ from strandline.session import stored
 KNOWN_ITEMS = 1 << 18
 #: A block holds sets of so many items in all at most; the sizes of its sets differ by this factor at most.
 BLOCK_ITEMS, BLOCK_SPAN = 1 << 25, 1.15
-#: Meetings that a task sorts at once, and pairs that it compares at once.
-MEETINGS, PAIRS = 1 << 22, 1 << 22
+#: Meetings that a task sorts at once, and pairs that a task compares; a large group of near copies has many times as many.
+MEETINGS, PAIRS = 1 << 22, 1 << 19
 
 
 class Blocks:
